@@ -8,6 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.shipping import ship
 
 #: The bytes that separate words everywhere in this subpackage: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -15,6 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +39,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A new schema: the fields of schema, then those of ddl."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
