@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module that holds it.
 NAMES = {
+    "op4_fingerprints": "q_fingerprints",
+    "op9_url_filter": "q_urls",
     "op1_best_fit_packing": "q_tokens",
     "op5_bpe_round_trip": "q_tokens",
     "op7_secret_scan": "q_secrets",
