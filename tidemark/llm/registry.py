@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds it.
 NAMES = {
+    "op2_license_scan": "q_licenses",
     "op6_toxicity": "q_toxicity",
     "op10_nearest_neighbours": "q_nearest",
     "op3_lm_scores": "q_language_model",
