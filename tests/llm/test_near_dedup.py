@@ -79,8 +79,10 @@ def test_registers_agree_as_often_as_sets_are_alike():
         n = int(2 * shared / (1 + shared) * 2000)
         x, y = a[:2000], np.concatenate([a[:n], rng.integers(0, 2**63, 2000 - n, dtype="u8")])
         sx, sy = nd.sketch([np.sort(x), np.sort(y)])
-        est = nd.likelihood_estimate(sx[None], sy[None], np.array([2000.0]), np.array([2000.0]))[0]
-        assert abs(est - shared) < 0.15
+        n2 = np.array([2000.0])
+        assert abs(nd.likelihood_estimate(sx[None], sy[None], n2, n2, nd.B)[0] - shared) < 0.15
+        fx, fy = nd.registers(nd.minima([np.sort(x), np.sort(y)], nd.FINE), nd.FINE_B, nd.FINE_Q)
+        assert abs(nd.likelihood_estimate(fx[None], fy[None], n2, n2)[0] - shared) < 0.08
         assert (nd.merge(sx, sy) == nd.sketch([np.union1d(x, y)])[0]).all()
 
 
