@@ -193,6 +193,11 @@ class Model:
     weights: np.ndarray
     share: float | None = None  # the score of every text, if there was nothing to learn from
 
+    def score(self, features: list[float]) -> float:
+        if self.share is not None:
+            return self.share
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features, self.weights))))))
+
 
 def _terms(words: list[str]) -> set[str]:
     """The distinct words of a text, and their stems behind a mark."""
@@ -274,6 +279,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(lexicon, fitted(x, y))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs whose text scores less than a half, unchanged."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        m = Matcher(model.lexicon)
+        for b in batches:
+            yield b.filter(pa.array([model.score(m.features(words_of(t))) < 0.5 for t in b.column(text).to_pylist()], "bool"))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", held: int = 0) -> DataFrame:
     """docs without the text, plus held_out, score, predicted, matches (array of place in words, kind, quoted)."""
     names = [c for c in docs.columns if c not in (text, "held_out", "score", "predicted", "matches")]
@@ -288,8 +307,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             scores, found = [], []
             for t in b.column(text).to_pylist():
                 words = words_of(t)
-                z = float(np.dot(m.features(words), model.weights))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if model.share is None else model.share)
+                scores.append(model.score(m.features(words)))
                 found.append([{"word": i, "kind": k, "quoted": q} for i, k, q in m.matches(words)])
             matches = pa.array(found, pa.list_(pa.struct([("word", pa.int32()), ("kind", pa.int32()), ("quoted", pa.bool_())])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, "float64"), matches], names=[*names, "score", "matches"])
