@@ -28,7 +28,7 @@ def recent(observations: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
 
 def percentiles(observations: DataFrame, value: str = "lag_us") -> DataFrame:
     """One row of nearest-rank percentiles: n, p50, p90, p99, max."""
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
+    p = lambda q: F.expr(f"cast(percentile_disc({q}) within group (order by {value}) as bigint)")
     return observations.agg(F.count(value).alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max(value).alias("max"))
 
 
