@@ -17,11 +17,16 @@ from tidemark.shipping import ship
 
 #: The bytes that separate words everywhere in this subpackage: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+BATCH = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of documents or the like. Rows may be long texts, so a batch that goes to Python holds BATCH of them."""
     ship(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH:
+        spark.conf.set(batch, BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, settings, with_fields
+from tidemark.llm.common import materialize, release, settings, with_fields
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import identity, mixed, numbers, shingle_set, words_of
 from tidemark.shipping import ship
@@ -74,6 +74,13 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return registers(minima(sets)) if sets else np.zeros((0, M), "<u2")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: sets and registers of a whole batch of texts would fill a worker's memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
@@ -101,7 +108,7 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = with_fields(docs.select(key).schema, "n long, ident binary, regs binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, sets, where = [], [], {}
             for t in b.column(1).to_pylist():
                 words = words_of(t)
@@ -123,9 +130,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 4000):
             na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
             ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, FINE) for c in ("ra", "rb"))
             looks = likelihood_estimate(ra, rb, na, nb)
@@ -192,7 +197,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 if last[0] != tb:
@@ -215,7 +220,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame
     found = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(wanted, same).select("node", "ident", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(k, t, w) for k, t, i in zip(*(b.column(c).to_pylist() for c in ("node", "text", "ident"))) if identity(w := words_of(t)) == i]
             sets = [shingle_set(w) for _, _, w in rows]
             least = minima(sets, FINE) if sets else np.zeros((0, FINE), "u8")
@@ -252,6 +257,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shared = materialize(members.join(hubs, "bucket"), "shared")
     texts = _texts(docs, classes.join(shared.select("node").distinct(), "node", "left_semi"), key, text)
 
+    release(docs.sparkSession)
 
     stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = _best(_estimated(stars, texts), texts)
@@ -259,13 +265,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # Rows of blocks are large, so few of them go to Python at a time.
     with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
         near = materialize(_open_pairs(shared.filter(F.col("band") < FIRST_BANDS), labels, texts, True), "near")
+    release(docs.sparkSession)
     turned = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "looks")
     links = links.unionByName(_best(near.unionByName(turned), texts))
     labels = connected(links)
     with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
         rest = materialize(_open_pairs(shared, labels, texts, False), "rest")
+    release(docs.sparkSession)
     links = links.unionByName(materialize(_confirmed(rest, texts), "links"))
     labels = materialize(connected(links), "labels")
+    release(docs.sparkSession)
 
     named = classes.select("ident", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -278,11 +287,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that are not kept: one row of each component stays, and all rows without words.
 
-    If a component's smallest key is that of several rows, the first of their texts in order stays.
+    If a component's smallest key is that of several rows, one row of each of their texts stays.
     """
     found = components(docs, key, text).select(F.col(key).alias("__key"), "kept", F.col("n_shingles").alias("__n"))
     keep = found.filter("kept").groupBy("__key").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__rows"))
     kept = docs.join(keep, F.col(key).eqNullSafe(F.col("__key")) if keep.filter("__key is null").limit(1).count() else F.col(key) == F.col("__key"))
-    several = kept.filter("__rows > 1 and __n > 0")
-    first = several.withColumn("__i", F.row_number().over(Window.partitionBy("__key").orderBy(text))).filter("__i = 1").drop("__i")
+    first = kept.filter("__rows > 1 and __n > 0").dropDuplicates(["__key", text])
     return kept.filter("not (__rows > 1 and __n > 0)").unionByName(first).select(docs.columns)
