@@ -71,14 +71,17 @@ def decode_json(raw: DataFrame, names: Mapping[str, str] | None = None, foreign:
     # Strings are taken out first, so that brackets in them do not count.
     bare = F.regexp_replace(p, r'"(?:[^"\\]|\\.)*+"', '""')
     shape = F.regexp_replace(bare, r"[^\[\]{}]", "")
-    depth = F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, x: F.struct((a["d"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(x.isin("{", "["), 1).otherwise(0)).alias("m")), lambda a: a["m"])
+    deepest = F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, x: F.struct((a["d"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(x.isin("{", "["), 1).otherwise(0)).alias("m")), lambda a: a["m"])
+    # Brackets are only counted where there are enough of them.
+    deep = F.when(F.length(shape) > MAX_DEPTH, deepest > MAX_DEPTH).otherwise(False)
     # A second object, or more text, behind the first one's end.
     trailing = bare.rlike(r"(?s)^\s*\{") & ~bare.rlike(r"(?s)^\s*\{.*\}\s*$")
-    several = F.aggregate(F.split(F.regexp_replace(bare, r"[^{}]", ""), ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("n")), lambda a, x: F.struct((a["d"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("d"), (a["n"] + ((x == "{") & (a["d"] == 0)).cast("int")).alias("n")), lambda a: a["n"]) > 1
+    # An object or array right behind the end of another is nowhere allowed within one.
+    several = bare.rlike(r"[}\]]\s*[{\[]")
     rows = raw.withColumn("__j", F.from_json(p, f"{schema}, __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
     broken = (
         F.when(F.octet_length(p) > MAX_PAYLOAD_BYTES, "too_large").when(p.isNull() | ~bare.rlike(r"(?s)^\s*\{") | F.col("__j.__corrupt").isNotNull() | trailing, "malformed")
-        .when(depth > MAX_DEPTH, "too_large").when(several, "malformed")
+        .when(deep, "too_large").when(several, "malformed")
     )
     text = {f: F.col(f"__j.`{w}`") for f, w in wire.items()}
     return _event(rows, text, broken, foreign or {}, False).drop("__j")
