@@ -174,7 +174,7 @@ def _(spark, d):
     return validate.conservation(_reasoned(spark, d))
 
 
-@query("val_5_decode_suspicion", A + " select key, case when last_order < 50 * 530 then 'suspect' else 'complete' end as trust from xs")
+@query("val_5_decode_suspicion", A + " select key, case when last_order < (select max(event_id * 10) from r where event_id % 53 = 0 and event_id <= 2650) then 'suspect' else 'complete' end as trust from xs")
 def _(spark, d):
     bad = base.received(spark, d).filter("event_id % 53 = 0 and event_id <= 2650").agg(F.max(F.col("event_id") * 10).alias("arrival"))
     floor = trust.floors(base.judged(spark, d).limit(0), errors=bad)
