@@ -56,6 +56,12 @@ def test_context_tells_quotation_from_abuse():
     assert [k for _, k, _ in m.matches(tx.words_of("1d10t Idiiot idio"))] == [tx.EXACT, tx.NEAR, tx.NEAR]
 
 
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tx, "MEMORY", 2)
+    m = tx.Matcher(tx.Lexicon(["idiot", "moron"], []))
+    assert [k for _, k, _ in m.matches(tx.words_of("a idiot b c d moron e f moroon"))] == [tx.EXACT, tx.EXACT, tx.NEAR]
+
+
 @pytest.fixture(scope="module")
 def scored(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("docs"))

@@ -33,6 +33,8 @@ from tidemark.shipping import ship
 
 FIT_ROWS, MIN_TEXTS, MIN_TOXIC, MAX_ENTRIES = 50_000, 4, 0.02, 2000
 LONG, WINDOW, STEMS = 5, 4, range(4, 8)
+#: Words that a task remembers, and terms that it counts, before it starts anew.
+MEMORY = 150_000
 #: Log odds that an entry must reach: how much likelier a toxic text holds it than a clean one.
 WORD_ODDS, STEM_ODDS = 2.5, 3.0
 TOKEN = re.compile(r"\w(?:[\w@$*!]*\w)?|[\"“”«»„]")
@@ -150,22 +152,20 @@ class Matcher:
     def kind(self, word: str) -> int:
         k = self.known.get(word)
         if k is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             k = self.known[word] = self.lexicon.match(plain(word))
         return k
 
     def matches(self, words: list[str]) -> list[tuple[int, int, bool]]:
         """Place, kind and whether it is quotation, for each match."""
-        found = []
-        for w in set(words):
-            if self.kind(w):
-                found += [i for i, x in enumerate(words) if x == w]
+        # Kinds are kept for the text, as the memory may be emptied meanwhile.
+        kinds = {w: k for w in set(words) if (k := self.kind(w))}
         out = []
-        for i in sorted(found):
+        for i in [i for i, w in enumerate(words) if w in kinds] if kinds else []:
             before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
             quoted = bool(QUOTES & set(before) and QUOTES & set(after)) or bool(REPORTING & set(before))
-            out.append((i, self.known[words[i]], quoted))
+            out.append((i, kinds[words[i]], quoted))
         return out
 
     def features(self, words: list[str]) -> list[float]:
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for term in (*_terms(words_of(t)), "^"):
                     found.setdefault(term, [0, 0])[int(y > 0)] += 1
-                if len(found) > 500_000:
+                if len(found) > MEMORY:
                     yield taken()
         yield taken()
 
