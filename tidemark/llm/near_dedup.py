@@ -130,7 +130,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4000):
+        for b in slices(batches):
             na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
             ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, FINE) for c in ("ra", "rb"))
             looks = likelihood_estimate(ra, rb, na, nb)
@@ -161,7 +161,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, best_onl
         return node, label, n, fine, bands
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             out = [], [], []
             for r in batch.to_pylist():
                 node_a, label_a, n_a, fine_a, bands_a = side(r["ma"])
@@ -172,19 +172,17 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, best_onl
                 for k in range(r["band"]):
                     ok &= bands_a[:, None, k] != bands_b[None, :, k]
                 x, y = np.nonzero(ok)
-                for at in range(0, len(x), 4096):
-                    u, v = x[at : at + 4096], y[at : at + 4096]
-                    looks = likelihood_estimate(fine_a[u], fine_b[v], n_a[u], n_b[v])
-                    good = looks >= LOOKS
-                    u, v, looks = u[good], v[good], looks[good]
-                    if best_only and len(u):
-                        order = np.argsort(-looks, kind="stable")
-                        _, first = np.unique(u[order], return_index=True)
-                        _, other = np.unique(v[order], return_index=True)
-                        pick = order[np.union1d(first, other)]
-                        u, v, looks = u[pick], v[pick], looks[pick]
-                    for c, values in zip(out, (node_a[u], node_b[v], looks)):
-                        c.extend(values.tolist())
+                looks = np.concatenate([likelihood_estimate(fine_a[x[k : k + 500]], fine_b[y[k : k + 500]], n_a[x[k : k + 500]], n_b[y[k : k + 500]]) for k in range(0, len(x), 500)] or [np.zeros(0)])
+                good = looks >= LOOKS
+                u, v, looks = x[good], y[good], looks[good]
+                if best_only and len(u):
+                    order = np.argsort(-looks, kind="stable")
+                    _, first = np.unique(u[order], return_index=True)
+                    _, other = np.unique(v[order], return_index=True)
+                    pick = order[np.union1d(first, other)]
+                    u, v, looks = u[pick], v[pick], looks[pick]
+                for c, values in zip(out, (node_a[u], node_b[v], looks)):
+                    c.extend(values.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], "int64"), pa.array(out[1], "int64"), pa.array(out[2], "float64")], names=["a", "b", "looks"])
 
     return both.mapInArrow(work, "a long, b long, looks double")
@@ -263,13 +261,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     links = _best(_estimated(stars, texts), texts)
     labels = connected(links)
     # Rows of blocks are large, so few of them go to Python at a time.
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):
         near = materialize(_open_pairs(shared.filter(F.col("band") < FIRST_BANDS), labels, texts, True), "near")
     release(docs.sparkSession)
     turned = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "looks")
     links = links.unionByName(_best(near.unionByName(turned), texts))
     labels = connected(links)
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):
         rest = materialize(_open_pairs(shared, labels, texts, False), "rest")
     release(docs.sparkSession)
     links = links.unionByName(materialize(_confirmed(rest, texts), "links"))
