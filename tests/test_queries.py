@@ -2,6 +2,7 @@
 
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -20,6 +21,19 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """Columns, types and rows of all queries that are asked for, several at a time: most of the time is planning."""
+
+    def run(name):
+        df = registry.queries()[name](spark, DIR)
+        return df.columns, df.dtypes, df.collect()
+
+    names = {i.callspec.params["name"] for i in request.session.items if getattr(i, "callspec", None) and "name" in i.callspec.params}
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(run, n) for n in sorted(names)}
+
+
 def rows(names, found):
     order = sorted(range(len(names)), key=lambda i: names[i])
     shown = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
@@ -27,13 +41,12 @@ def rows(names, found):
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_query_equals_its_sql(spark, db, name):
-    df = registry.queries()[name](spark, DIR)
-    found = df.collect()
-    assert not any(t in ("void", "array", "struct") for _, t in df.dtypes)
+def test_query_equals_its_sql(results, db, name):
+    columns, types, found = results[name].result()
+    assert not any(t in ("void", "array", "struct") for _, t in types)
     if name in SQL:
         other = db.sql(SQL[name])
-        assert rows(df.columns, found) == rows(other.columns, other.fetchall())
+        assert rows(columns, found) == rows(other.columns, other.fetchall())
 
 
 def test_every_sql_has_a_query():
