@@ -39,10 +39,23 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What this application has written so far.
+written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while written:
+        at = path(written.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: cuts the lineage, so a lost executor costs no more than a read."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    written.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
