@@ -161,3 +161,10 @@ def test_malformed_globs_match_nothing(spark):
 def test_key_templates():
     with pytest.raises(ValueError):
         fn.key_template("{{.Nothing}}", {})
+
+
+def test_every_pattern_of_a_long_table_is_tried(spark):
+    rows = spark.createDataFrame([(f"p{i}:x", "complete", i) for i in range(1100)] + [("q:x", "complete", -1), (None, "complete", -1)], "key string, trust string, n int")
+    got = trust.mark_patterns(rows, spark.createDataFrame([(f"^p{i}:",) for i in range(1100)], "regex string"))
+    assert got.columns == rows.columns and got.count() == 1102
+    assert [r.n for r in got.filter("trust = 'complete'").collect()] == [-1, -1]

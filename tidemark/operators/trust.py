@@ -9,6 +9,8 @@ from tidemark.functions.columns import glob_to_regex
 from tidemark.operators.sequence import running
 
 RANKS = {"complete": 0, "suspect": 1, "adopted": 2}
+#: Patterns that are tried one by one in a single expression.
+PATTERNS = 1024
 
 
 def floors(judged: DataFrame, errors: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
@@ -41,10 +43,19 @@ def mark_pattern(rows: DataFrame, pattern: str) -> DataFrame:
 
 
 def mark_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The same with a table of patterns (regex), one for each damaged publisher: a few rows, so each is tried on every key."""
-    regexes = [r.regex for r in patterns.select("regex").distinct().limit(1025).collect()]
+    """The same with a table of patterns (regex), one for each damaged publisher, however many: usually a few rows, which are tried on every key.
+
+    Where there are more than PATTERNS, the different keys of complete rows are tried with the table itself.
+    """
+    regexes = patterns.filter("regex is not null").select("regex").distinct()
+    few = [r.regex for r in regexes.limit(PATTERNS + 1).collect()]
+    if len(few) > PATTERNS:
+        keys = rows.filter((F.col("trust") == "complete") & F.col("key").isNotNull()).select("key").distinct()
+        found = keys.join(regexes, F.expr("key rlike regex"), "left_semi").withColumn("__hit", F.lit(True))
+        rows = rows.join(found, "key", "left")
+        return rows.withColumn("trust", F.when((F.col("trust") == "complete") & F.col("__hit"), "suspect").otherwise(F.col("trust"))).drop("__hit")
     hit = F.lit(False)
-    for x in regexes:
+    for x in few:
         hit = hit | F.col("key").rlike(x)
     return rows.withColumn("trust", F.when((F.col("trust") == "complete") & hit, "suspect").otherwise(F.col("trust")))
 
