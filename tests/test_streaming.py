@@ -96,3 +96,31 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "spec.yaml").write_text("source: {type: nothing}\n")
     assert main(["diff", *at, f"{tmp_path}/same.json"]) == 2
     assert main(["version"]) == 0
+
+
+def _compare(spark, at, shape, events, store):
+    import json
+
+    from tidemark.plans import config, run
+
+    (at / "events.jsonl").write_text("\n".join(json.dumps({"publisher": "p", "epoch": 1, "ts": "2026-01-01T00:00:00Z"} | e) for e in events))
+    (at / "store.json").write_text(json.dumps(store))
+    return run.compare(spark, config.Spec(source={"type": "file"}, projection={"type": shape}), str(at / "events.jsonl"), str(at / "store.json"))
+
+
+def test_sets_and_counters_are_compared(spark, tmp_path):
+    ops = [("a", "add", "x"), ("a", "add", "y"), ("a", "remove", "x"), ("b", "add", "z"), ("c", "add", "z"), ("d", "add", "z"), ("d", "remove", "z")]
+    events = [{"seq": i, "op": op, "key": k, "member": m} for i, (k, op, m) in enumerate(ops, 1)]
+    got = _compare(spark, tmp_path, "set", events, {"sets": {"a": ["y"], "b": ["z", "w"]}, "scalars": {"c": "z"}})
+    assert {(r.key, r.category) for r in got.findings.collect()} == {("b", "member_mismatch"), ("c", "type_mismatch")}
+    events = [{"seq": i, "op": "incr", "key": k, "delta": n} for i, (k, n) in enumerate([("a", 2), ("a", 3), ("b", 1), ("c", 1)], 1)]
+    got = _compare(spark, tmp_path, "counter", events, {"scalars": {"a": "5", "b": "7"}})
+    assert {(r.key, r.category) for r in got.findings.collect()} == {("b", "counter_mismatch"), ("c", "missing_in_target")}
+
+
+def test_changes_after_a_restart_within_an_epoch_are_applied(spark, tmp_path):
+    events = [{"seq": s, "op": "set", "key": "k", "value": f"{s}"} for s in (1, 2, 2000, 1, 2, 3)]
+    got = _compare(spark, tmp_path, "scalar", events, {"scalars": {"k": "3"}})
+    assert got.findings.count() == 0
+    row = got.publishers.first()
+    assert (row.restarts, row.high, row.missing) == (1, 3, 0)

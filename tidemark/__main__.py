@@ -35,6 +35,9 @@ def main(args: list[str] | None = None) -> int:
         return 2
     for w in spec.warnings():
         print(f"warning: {w}", file=sys.stderr)
+    if a.command == "watch" and spec.projection.get("type") != "scalar":
+        print("watch audits scalars only", file=sys.stderr)
+        return 2
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -36,9 +36,13 @@ def category(e_kind: Column, s_kind: Column, equal: Column, adopted: Column, sup
     )
 
 
-def sweep(state: DataFrame, store: DataFrame) -> DataFrame:
-    """key, category, trust, expected and stored value, version: disagreements of settled scalar keys with what is stored."""
-    read = typed(store, "scalar").select("key", F.col("kind").alias("s_kind"), F.col("value").alias("s_value"))
+def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar") -> DataFrame:
+    """key, category, trust, expected and stored value, version: disagreements of settled keys with what is stored.
+
+    Values of sets are their sorted members as JSON, those of counters their digits.
+    """
+    value = F.to_json("members") if shape == "set" else F.col("counter").cast("string") if shape == "counter" else F.col("value")
+    read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), value.alias("s_value"))
     rows = state.filter("is_settled and trust <> 'adopted'").join(read, "key", "left")
     found = rows.withColumn("category", category(F.col("kind"), F.col("s_kind"), F.col("value").eqNullSafe(F.col("s_value")), F.lit(False), F.lit(False)))
     return found.filter("category is not null").select("key", "category", "trust", F.col("value").alias("expected"), F.col("s_value").alias("stored"), "version", "user_id")

@@ -138,6 +138,17 @@ def sequential(events: DataFrame) -> DataFrame:
     return events.groupBy("publisher").applyInPandas(work, kind)
 
 
+def judged(events: DataFrame) -> DataFrame:
+    """events with verdicts and incarnations: those of verdicts(), and by sequential() for publishers that may restart within an epoch. Arrivals are unique."""
+    odd = needs_sequential(events).persist()
+    if odd.isEmpty():
+        return verdicts(events).withColumn("incarnation", F.lit(0).cast("long"))
+    own = events.join(odd, "publisher", "left_semi")
+    found = sequential(own.select("publisher", "epoch", "seq", "arrival")).select("arrival", "verdict", "incarnation")
+    plain = verdicts(events.join(odd, "publisher", "left_anti")).withColumn("incarnation", F.lit(0).cast("long"))
+    return plain.unionByName(own.join(found, "arrival"))
+
+
 def gaps(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """publisher, epoch, lo, hi: maximal runs of numbers that never came, above each epoch's first."""
     base = events.groupBy("publisher", "epoch").agg(F.min_by("seq", "arrival").alias("__base"))
@@ -178,6 +189,9 @@ def missing(found: DataFrame) -> DataFrame:
 def publishers(judged: DataFrame) -> DataFrame:
     """One row for each publisher: epoch, highest number, restarts, events, first and last seen, numbers missing in its epoch."""
     live = judged.filter("verdict <> 'stale_epoch'")
+    if "incarnation" in judged.columns:  # numbers start again within an epoch
+        last = live.groupBy("publisher", "epoch").agg(F.max("incarnation").alias("incarnation"))
+        live = live.join(last, ["publisher", "epoch", "incarnation"], "left_semi")
     seen = judged.groupBy("publisher").agg(F.count(F.lit(1)).alias("events"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count_if(F.col("verdict") == "after_restart").alias("restarts"), F.max("epoch").alias("epoch"))
     high = live.groupBy("publisher", "epoch").agg(F.max("seq").alias("high"))
     lost = missing(gaps(live)).select("publisher", "epoch", "missing")

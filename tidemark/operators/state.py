@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import projections
+
 RING, NEVER_SETTLED = 16, 10
 
 
@@ -34,6 +36,23 @@ def expected(events: DataFrame, order: str = "arrival") -> DataFrame:
     )
 
 
+def expected_fold(events: DataFrame, shape: str, order: str = "arrival") -> DataFrame:
+    """expected() for set and counter audits: kind (set, counter, absent) and value as reconcile.sweep() compares it. Each change counts as one of the value."""
+    if shape == "set":
+        rows = events.filter("op in ('set', 'delete', 'add', 'remove')").withColumn("member", F.when(F.col("op") == "set", F.coalesce("member", "value")).otherwise(F.col("member")))
+        found = projections.members(rows, order).groupBy("key").agg(F.to_json(F.array_sort(F.collect_list("member"))).alias("value"))
+    else:
+        rows = events.filter("op in ('incr', 'delete') or (op = 'set' and try_cast(value as bigint) is not null)")
+        found = projections.counter(rows, order).select("key", F.col("value").cast("string").alias("value"))
+    last = F.max_by(F.struct("seq", "epoch", "publisher", "observed_at"), order).alias("w")
+    seen = rows.groupBy("key").agg(last, F.count(F.lit(1)).alias("version"), F.max(order).alias("last_order"), F.min("observed_at").alias("created_at"), F.max("user_id").alias("user_id"))
+    return seen.join(found, "key", "left").select(
+        "key", F.when(F.col("value").isNull(), "absent").otherwise(shape).alias("kind"), "value", F.lit(None).cast("long").alias("ttl"), "version", "created_at",
+        F.col("w.observed_at").alias("last_event_at"), F.col("w.observed_at").alias("last_change_at"), F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"),
+        F.col("w.publisher").alias("last_publisher"), "last_order", "user_id",
+    )
+
+
 def plus(at: Column, micros: Column | int) -> Column:
     """A time so many microseconds later."""
     us = micros if isinstance(micros, Column) else F.lit(micros)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,22 +47,27 @@ def decode(raw: DataFrame, spec: Spec) -> DataFrame:
 
 
 def compare(spark: SparkSession, spec: Spec, events: str, store: str) -> Result:
-    """events: a file of lines; store: a file with one JSON object {"scalars": {key: value}}."""
+    """events: a file of lines; store: a file with one JSON object {"scalars": {key: value}, "sets": {key: [member]}}; counters are scalars."""
     raw = files.lines(spark, events).drop("observed_at")
     # A file's lines come in order; numbers grow along a partition and from one to the next.
     rows = decode(raw.withColumn("arrival", F.monotonically_increasing_id()), spec)
     rows = rows.withColumns({"epoch": F.col("epoch").cast("long"), "seq": F.col("seq").cast("long"), "observed_at": F.coalesce("published_at", F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
     rows = rows.withColumn("problem", F.when(F.col("err").isNull(), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")])))
-    good = rows.filter("err is null and problem is null")
-    judged = sequence.verdicts(good)
+    # Told apart from other runs, as a file may have changed since they kept its rows.
+    good = rows.filter("err is null and problem is null").withColumn("run", F.lit(uuid.uuid4().hex)).persist()
+    judged = sequence.judged(good).persist()
+    shape = spec.projection.get("type", "scalar")
     applied = judged.filter(sequence.accepted(F.col("verdict"))).filter(validate.touches_key(F.col("op")))
     now = F.lit(rows.agg(F.max("observed_at").alias("t")).first().t).cast("timestamp_ntz") + F.expr("interval 1 day")
-    known = state.settled(state.expected(applied), now, spec.policy.window_us, spec.policy.max_window_us)
+    known = state.settled(state.expected(applied) if shape == "scalar" else state.expected_fold(applied, shape), now, spec.policy.window_us, spec.policy.max_window_us)
     known = trust.effective_trust(known, trust.floors(judged, errors=rows.filter("err is not null")))
-    kept = spark.read.text(store, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.scalars"), "map<string,string>")).alias("key", "scalar")).withColumn("stored_type", F.lit("string"))
+    whole = spark.read.text(store, wholetext=True)
+    part = lambda name, kind: F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"map<string,{kind}>"))
+    kept = whole.select(part("scalars", "string").alias("key", "scalar")).withColumn("stored_type", F.lit("string"))
+    kept = kept.unionByName(whole.select(part("sets", "array<string>").alias("key", "members")).withColumn("stored_type", F.lit("set")), allowMissingColumns=True)
     dropped = rows.join(judged.select("arrival", "verdict"), "arrival", "left").withColumn("reason", validate.drop_reason(F.col("err"), F.col("problem"), F.col("verdict")))
     drops = dropped.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    return Result(known, reconcile.sweep(known, kept), drops, sequence.publishers(judged))
+    return Result(known, reconcile.sweep(known, kept, shape), drops, sequence.publishers(judged))
 
 
 def explain_key(result: Result, key: str) -> str:
