@@ -74,11 +74,33 @@ def test_trust_at_each_write(streams, events):
 
 
 def test_restarts_within_an_epoch(spark):
-    rows = [(1, s) for s in range(1, 1500)] + [(1, s) for s in range(1, 50)]
-    df = spark.createDataFrame([("a", e, s, i) for i, (e, s) in enumerate(rows)] + [("b", 1, 1, 0)], EVENT)
-    assert [r.publisher for r in sequence.needs_sequential(df).collect()] == ["a"]
-    found = sequence.sequential(df.filter("publisher = 'a'")).orderBy("arrival").collect()
-    assert found[1499].verdict == "after_restart" and found[-1].incarnation == 1 and found[1500].verdict == "accept"
+    rng = random.Random(5)
+    sent = {"a": [(1, s) for s in range(1, 1500)] + [(1, s) for s in range(1, 50)], "b": [(1, 1)]}
+    # Restarts near the least height, so that earlier candidates decide, with repeats, losses and late numbers among them.
+    for p in "cdef":
+        out, epoch = [], 1
+        for _ in range(5):
+            top = rng.choice([900, 1003, 1040, 1090, 1200, 2500])
+            for s in range(rng.randint(1, 99), top):
+                if rng.random() < 0.97:
+                    out.append((epoch, s))
+                if rng.random() < 0.01:
+                    out.append((epoch, rng.randint(1, 99) if rng.random() < 0.5 else max(1, s - rng.randint(0, 50))))
+            if rng.random() < 0.2:
+                epoch += 1
+        sent[p] = out
+    df = spark.createDataFrame([(p, e, s, i) for p, rows in sent.items() for i, (e, s) in enumerate(rows)], EVENT)
+    got = {(r.publisher, r.arrival): r for r in sequence.verdicts(df, 700).collect()}
+    restarts = 0
+    for p, rows in sent.items():
+        t, numbers = Tracker(), {}
+        for i, (e, s) in enumerate(rows):
+            v = t.observe(e, s)
+            restarts += v == "after_restart"
+            assert got[p, i].verdict == v, (p, i, e, s, v)
+            if v != "stale_epoch":
+                assert numbers.setdefault((e, got[p, i].incarnation), t.incarnation) == t.incarnation
+    assert restarts > 10
 
 
 def test_capped_intervals_equal_merging(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
+from tidemark.tables import stored
 
 #: Arrivals in a block of a running value, sequence numbers in a block of a gap search.
 BLOCK = 1_000_000
@@ -34,22 +35,81 @@ def running(rows: DataFrame, keys: Sequence[str], order: str, values: dict[str,
 
 
 def verdicts(events: DataFrame, block: int = BLOCK) -> DataFrame:
-    """events (publisher, epoch, seq, arrival) with a verdict, as a tracker that sees them in the order of arrival gives it.
+    """events (publisher, epoch, seq, arrival) with verdict and incarnation, as a tracker that sees them in the order of arrival gives them.
 
-    Holds while no publisher restarts without a new epoch; needs_sequential() finds those that may, sequential() does them.
+    An incarnation is named by the arrival of the restart that began it, 0 before any. Arrivals of a publisher are unique.
+    Epochs in which a publisher may have restarted are looked for first, by one aggregate; they go a longer way, step by
+    step through tables, as each step needs the one before twice.
     """
-    keys = ["publisher"]
-    a = running(events, keys, "arrival", {"__pe": F.col("epoch")}, block)
+    epochs = running(events, ["publisher"], "arrival", {"__pe": F.col("epoch")}, block)
     start = F.when(F.col("__pe").isNull(), "first_seen").when(F.col("epoch") > F.col("__pe"), "after_restart").when(F.col("epoch") < F.col("__pe"), "stale_epoch")
-    a = a.withColumn("__v0", start).drop("__pe")
-    live = a.filter(~F.col("__v0").eqNullSafe("stale_epoch"))
-    c = running(live, ["publisher", "epoch"], "arrival", {"__h": F.col("seq")}, block)
-    base = live.groupBy("publisher", "epoch").agg(F.min_by("seq", "arrival").alias("__base"))
-    c = c.join(base, ["publisher", "epoch"]).withColumn("__rn", F.row_number().over(Window.partitionBy("publisher", "epoch", "seq").orderBy("arrival")))
+    epochs = epochs.withColumn("__v0", start).drop("__pe")
+    stale = epochs.filter("__v0 = 'stale_epoch'").withColumn("incarnation", F.lit(0).cast("long")).withColumnRenamed("__v0", "verdict")
+    live = epochs.filter(~F.col("__v0").eqNullSafe("stale_epoch"))
+    keys = ["publisher", "epoch"]
+    odd = events.groupBy(*keys).agg(F.max(F.when(F.col("seq") < RESTART_BELOW, F.col("arrival"))).alias("low"), F.min(F.when(F.col("seq") > RESTART_DROP, F.col("arrival"))).alias("high")).filter("low > high").select(*keys)
+    if odd.isEmpty():
+        live = running(live, keys, "arrival", {"__h": F.col("seq")}, block).withColumn("incarnation", F.lit(0).cast("long"))
+        return _seen(live).unionByName(stale)
+    live, odd = stored(running(live, keys, "arrival", {"__h": F.col("seq")}, block), "live"), stored(odd, "odd")
+    plain = live.join(odd, keys, "left_anti").withColumn("incarnation", F.lit(0).cast("long"))
+    again = stored(_incarnations(live.join(odd, keys, "left_semi"), block).drop("__h"), "incarnations")
+    again = running(again, [*keys, "incarnation"], "arrival", {"__h": F.col("seq")}, block)
+    return _seen(plain.unionByName(again)).unionByName(stale)
+
+
+def _may_restart(high: str) -> Column:
+    return (F.col(high) - F.col("seq") > RESTART_DROP) & (F.col("seq") < RESTART_BELOW)
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """rows (with __v0 and __h, the highest number before) with the verdict within their incarnation."""
+    keys = ["publisher", "epoch", "incarnation"]
+    first = rows.groupBy(*keys).agg(F.min_by("seq", "arrival").alias("__base"))
+    rows = rows.join(first, keys).withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "seq").orderBy("arrival")))
     seen = F.when(F.col("seq") == F.col("__h") + 1, "accept").when(F.col("seq") > F.col("__h") + 1, "with_gap").when((F.col("__rn") == 1) & (F.col("seq") > F.col("__base")), "late_fill").otherwise("duplicate")
-    c = c.withColumn("verdict", F.coalesce("__v0", seen)).drop("__v0", "__h", "__base", "__rn")
-    stale = a.filter("__v0 = 'stale_epoch'").withColumnRenamed("__v0", "verdict")
-    return c.unionByName(stale)
+    return rows.withColumn("verdict", F.coalesce("__v0", seen)).drop("__v0", "__h", "__base", "__rn")
+
+
+def _incarnations(rows: DataFrame, block: int) -> DataFrame:
+    """rows with __h, the highest number of the epoch so far, with incarnation and the verdict of restarts in __v0.
+
+    Candidates for a restart are low numbers after a high one. If a number since the candidate before is high enough, it is
+    a restart whatever came earlier. If no number since the last such restart is, it is none. What is left are candidates
+    that a number of RESTART_DROP to RESTART_DROP + RESTART_BELOW before an earlier candidate decides; these few are
+    followed one by one, each stretch between two sure restarts for itself.
+    """
+    keys = ["publisher", "epoch"]
+    rows = running(rows.withColumn("__c", _may_restart("__h")), keys, "arrival", {"__before": F.when(F.col("__c"), F.col("arrival"))}, block)
+    rows = stored(rows.withColumn("__before", F.coalesce("__before", F.lit(-1))), "candidates")
+    stretch = F.when(F.col("__c"), F.col("arrival")).otherwise(F.col("__before"))
+    highs = rows.groupBy(*keys, stretch.alias("__before")).agg(F.max("seq").alias("__m"))
+    found = rows.filter("__c").select(*keys, "arrival", "seq", "__before").join(highs, [*keys, "__before"])
+    found = stored(found.withColumn("__sure", F.col("__m") - F.col("seq") > RESTART_DROP), "found")
+    found = running(found, keys, "arrival", {"__since": F.when(F.col("__sure"), F.col("arrival"))}, block).withColumn("__since", F.coalesce("__since", F.lit(-1)))
+    found = stored(found, "since")
+    most = stored(running(found, [*keys, "__since"], "arrival", {"__a": F.col("__m")}, block).withColumn("__a", F.greatest("__a", "__m")), "most")
+    open_ = most.filter(~F.col("__sure") & (F.col("__a") - F.col("seq") > RESTART_DROP)).select(*keys, "__since").distinct()
+    ship(rows.sparkSession)
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("arrival", kind="stable")
+        high, out = -1, []
+        for at, seq, m in zip(part.arrival, part.seq, part["__m"]):
+            high = max(high, m)
+            if high - seq > RESTART_DROP:
+                out.append(at)
+                high = seq
+        return part[part.arrival.isin(out)][[*keys, "arrival"]]
+
+    # The stretch's own end, a sure restart, is found again here; without it the numbers of the stretch say what they said.
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*keys, "arrival").schema)
+    unsure = most.join(open_, [*keys, "__since"], "left_semi").groupBy(*keys, "__since").applyInPandas(follow, kinds)
+    restarts = found.filter("__sure").select(*keys, "arrival").unionByName(unsure).distinct().withColumn("__r", F.lit(True))
+    rows = stored(rows.drop("__c", "__before").join(restarts, [*keys, "arrival"], "left"), "restarts")
+    rows = running(rows, keys, "arrival", {"__i": F.when(F.col("__r"), F.col("arrival"))}, block)
+    incarnation = F.coalesce(F.when(F.col("__r"), F.col("arrival")), F.col("__i"), F.lit(0)).cast("long")
+    return rows.withColumn("incarnation", incarnation).withColumn("__v0", F.when(F.col("__r"), "after_restart").otherwise(F.col("__v0"))).drop("__r", "__i")
 
 
 def accepted(verdict: Column) -> Column:
@@ -62,14 +122,8 @@ def first_arrivals(events: DataFrame) -> DataFrame:
     return events.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def needs_sequential(events: DataFrame) -> DataFrame:
-    """Publishers of which some event may be a restart within its epoch."""
-    h = running(events, ["publisher", "epoch"], "arrival", {"__h": F.col("seq")})
-    return h.filter((F.col("__h") - F.col("seq") > RESTART_DROP) & (F.col("seq") < RESTART_BELOW)).select("publisher").distinct()
-
-
 class Tracker:
-    """One publisher's state: epoch, highest number, gaps, restarts. Small and exact; for streams and odd publishers."""
+    """One publisher's state: epoch, highest number, gaps, restarts. Small and exact; for streams."""
 
     def __init__(self) -> None:
         self.epoch = self.high = None
@@ -124,29 +178,11 @@ def merged(intervals: list[list[int]], most: int) -> list[list[int]]:
     return found
 
 
-def sequential(events: DataFrame) -> DataFrame:
-    """events with verdicts and incarnations by a Tracker for each publisher; only for publishers that needs_sequential() names."""
-    ship(events.sparkSession)
-    kind = events.schema.simpleString()[len("struct<") : -1] + ",verdict:string,incarnation:bigint"
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        t = Tracker()
-        rows = rows.sort_values("arrival", kind="stable")
-        found = [(t.observe(int(e), int(s)), t.incarnation) for e, s in zip(rows.epoch, rows.seq)]
-        return rows.assign(verdict=[v for v, _ in found], incarnation=[i for _, i in found])
-
-    return events.groupBy("publisher").applyInPandas(work, kind)
-
-
-def judged(events: DataFrame) -> DataFrame:
-    """events with verdicts and incarnations: those of verdicts(), and by sequential() for publishers that may restart within an epoch. Arrivals are unique."""
-    odd = needs_sequential(events).persist()
-    if odd.isEmpty():
-        return verdicts(events).withColumn("incarnation", F.lit(0).cast("long"))
-    own = events.join(odd, "publisher", "left_semi")
-    found = sequential(own.select("publisher", "epoch", "seq", "arrival")).select("arrival", "verdict", "incarnation")
-    plain = verdicts(events.join(odd, "publisher", "left_anti")).withColumn("incarnation", F.lit(0).cast("long"))
-    return plain.unionByName(own.join(found, "arrival"))
+def current(judged: DataFrame) -> DataFrame:
+    """The rows of each epoch's last incarnation, without those of stale epochs: what numbers a publisher misses is told from these."""
+    live = judged.filter("verdict <> 'stale_epoch'")
+    last = live.groupBy("publisher", "epoch").agg(F.max("incarnation").alias("incarnation"))
+    return live.join(last, ["publisher", "epoch", "incarnation"], "left_semi")
 
 
 def gaps(events: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -188,10 +224,7 @@ def missing(found: DataFrame) -> DataFrame:
 
 def publishers(judged: DataFrame) -> DataFrame:
     """One row for each publisher: epoch, highest number, restarts, events, first and last seen, numbers missing in its epoch."""
-    live = judged.filter("verdict <> 'stale_epoch'")
-    if "incarnation" in judged.columns:  # numbers start again within an epoch
-        last = live.groupBy("publisher", "epoch").agg(F.max("incarnation").alias("incarnation"))
-        live = live.join(last, ["publisher", "epoch", "incarnation"], "left_semi")
+    live = current(judged)
     seen = judged.groupBy("publisher").agg(F.count(F.lit(1)).alias("events"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count_if(F.col("verdict") == "after_restart").alias("restarts"), F.max("epoch").alias("epoch"))
     high = live.groupBy("publisher", "epoch").agg(F.max("seq").alias("high"))
     lost = missing(gaps(live)).select("publisher", "epoch", "missing")

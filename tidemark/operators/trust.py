@@ -70,19 +70,19 @@ def stamped(judged: DataFrame) -> DataFrame:
 
     Missing so far is the highest number less the first, plus one, less the different numbers seen.
     """
-    w = Window.partitionBy("publisher", "epoch", "seq").orderBy("arrival")
+    keys = ["publisher", "epoch", "incarnation"]
+    w = Window.partitionBy(*keys, "seq").orderBy("arrival")
     rows = judged.filter("verdict <> 'stale_epoch'").withColumn("__new", (F.row_number().over(w) == 1).cast("long"))
-    base = rows.groupBy("publisher", "epoch").agg(F.min_by("seq", "arrival").alias("__base"))
-    rows = running(rows.join(base, ["publisher", "epoch"]), ["publisher", "epoch"], "arrival", {"__high": F.col("seq")})
+    base = rows.groupBy(*keys).agg(F.min_by("seq", "arrival").alias("__base"))
+    rows = running(rows.join(base, keys), keys, "arrival", {"__high": F.col("seq")})
     rows = rows.withColumn("__new", F.when(F.col("seq") >= F.col("__base"), F.col("__new")).otherwise(0))
-    seen = _running_sum(rows)
+    seen = _running_sum(rows, keys)
     missing = F.greatest("__high", "seq", "__base") - F.col("__base") + 1 - F.col("__seen")
     return seen.withColumn("trust", F.when(missing > 0, "suspect").otherwise("complete")).drop("__new", "__base", "__high", "__seen")
 
 
-def _running_sum(rows: DataFrame, block: int = 1_000_000) -> DataFrame:
+def _running_sum(rows: DataFrame, keys: list[str], block: int = 1_000_000) -> DataFrame:
     rows = rows.withColumn("__b", F.floor(F.col("arrival") / block))
-    keys = ["publisher", "epoch"]
     whole = rows.groupBy(*keys, "__b").agg(F.sum("__new").alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__c"))

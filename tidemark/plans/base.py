@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import reconcile, sequence, state, trust
 from tidemark.plans import streams
 from tidemark.plans.sql import MAX_WINDOW_US, WINDOW_US
+from tidemark.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables that the running query has written, by name.
+_kept: ContextVar[dict[str, DataFrame] | None] = ContextVar("kept", default=None)
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -21,7 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
+
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            before = _kept.set({})
+            try:
+                return f(spark, d)
+            finally:
+                _kept.reset(before)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -29,6 +43,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def kept(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several parts of a query need: written once for the query, then read."""
+    found = _kept.get()
+    if found is None:
+        return stored(make(), name)
+    if name not in found:
+        found[name] = stored(make(), name)
+    return found[name]
+
+
 def stream(spark: SparkSession, d: str) -> DataFrame:
     return streams.change_stream(spark, d)
 
@@ -38,7 +62,12 @@ def received(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.verdicts(received(spark, d))
+    return (_kept.get() or {}).get("judged") or sequence.verdicts(received(spark, d))
+
+
+def judged_once(spark: SparkSession, d: str) -> DataFrame:
+    """judged(), for queries of which several parts start from it."""
+    return kept("judged", lambda: sequence.verdicts(received(spark, d)))
 
 
 def applied(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +76,7 @@ def applied(spark: SparkSession, d: str) -> DataFrame:
 
 def clock(spark: SparkSession, d: str) -> Column:
     """The time at which tables are audited: ten seconds after the last event."""
-    last = spark.read.parquet(f"{d}/events.parquet").agg(F.max("ts").alias("t"))
-    return F.lit(last.first().t).cast("timestamp_ntz") + F.expr("interval 10 seconds")
+    return spark.read.parquet(f"{d}/events.parquet").agg(F.max("ts") + F.expr("interval 10 seconds")).scalar()
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
@@ -60,21 +88,28 @@ def settled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_trust(spark: SparkSession, d: str) -> DataFrame:
-    early = judged(spark, d).filter("event_id < 5000")
-    return trust.effective_trust(settled(spark, d), trust.floors(early))
+    def make() -> DataFrame:
+        rows = judged_once(spark, d)
+        return trust.effective_trust(settled(spark, d), trust.floors(rows))
+
+    return kept("with_trust", make)
 
 
 def store(spark: SparkSession, d: str) -> DataFrame:
-    present = state.expected(streams.as_scalars(stream(spark, d))).filter("kind = 'scalar'")
-    return streams.snapshot_of(present, F.col("user_id"))
+    return streams.snapshot_of(present(spark, d), F.col("user_id"))
+
+
+def present(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds that missed nothing."""
+    return (_kept.get() or {}).get("present") or state.expected(streams.as_scalars(stream(spark, d))).filter("kind = 'scalar'")
 
 
 def later_store(spark: SparkSession, d: str) -> DataFrame:
     """The store a while later: some lost keys are back, some left-over keys are gone."""
-    present = state.expected(streams.as_scalars(stream(spark, d))).filter("kind = 'scalar'")
+    whole = kept("present", lambda: present(spark, d))
     u = F.col("user_id")
     now = store(spark, d).filter("user_id % 34 = 0 or not (user_id % 17 = 0 and key = concat('user:', cast(user_id + 1000000 as string)))")
-    own = present.filter("user_id % 14 = 3").select("key", F.when(u % 13 == 6, "other").otherwise("string").alias("stored_type"), F.when(u % 11 == 5, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("scalar"), "user_id")
+    own = whole.filter("user_id % 14 = 3").select("key", F.when(u % 13 == 6, "other").otherwise("string").alias("stored_type"), F.when(u % 11 == 5, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("scalar"), "user_id")
     return now.unionByName(own)
 
 

@@ -222,9 +222,9 @@ def _(spark, d):
     return _lags(spark, d).select("id", "lag_us")
 
 
-@query("agg_9_percentiles", PROBES + " select count(*) as n, percentile_disc(0.5) within group (order by lag_us) as p50, percentile_disc(0.9) within group (order by lag_us) as p90, percentile_disc(0.99) within group (order by lag_us) as p99, max(lag_us) as max from lg")
+@query("agg_9_percentiles", PROBES + " select count(*) as n, percentile_disc(0.5) within group (order by lag_us) as p50, percentile_disc(0.9) within group (order by lag_us) as p90, percentile_disc(0.99) within group (order by lag_us) as p99, max(lag_us) as max from (select * from lg order by seen_at desc, id desc limit 10000)")
 def _(spark, d):
-    return lag.percentiles(_lags(spark, d))
+    return lag.percentiles(lag.recent(_lags(spark, d)))
 
 
 @query("agg_10_recent", PROBES + " select id, lag_us from rc")
@@ -232,12 +232,12 @@ def _(spark, d):
     return lag.recent(_lags(spark, d), 5000).select("id", "lag_us")
 
 
-@query("agg_11_window", PROBES + """, w as (select percentile_disc(0.99) within group (order by lag_us) as p99, count(*) as n from rc), k as (select cast(o_orderkey as bigint) as id, (o_orderkey % 130) * 1000000 as cur, (o_orderkey % 3) * 40000000 as since, (o_orderkey % 5) * 60 as n from orders where o_orderkey < 400)
+@query("agg_11_window", PROBES + """, w as (select percentile_disc(0.99) within group (order by lag_us) as p99, count(*) as n from rc), k as (select cast(o_orderkey as bigint) as id, (o_orderkey % 130) * 1000000 as cur, (o_orderkey % 3) * 40000000 as since, (o_orderkey % 5) * 60 as n from orders)
 select id, case when k.n < 100 then 1000000 when abs(least(greatest(p99 * 3, 1000000), 120000000) - cur) > cur * 0.2 and since >= 60000000 then least(greatest(p99 * 3, 1000000), 120000000) else cur end as next_us from k, w""")
 def _(spark, d):
     p = lag.percentiles(lag.recent(_lags(spark, d), 5000)).select("p99")
     o = F.col("o_orderkey")
-    rows = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 400").join(F.broadcast(p))
+    rows = spark.read.parquet(f"{d}/orders.parquet").join(F.broadcast(p))
     return rows.select(o.alias("id"), lag.Controller().step(o % 5 * 60, F.col("p99"), o % 130 * 1_000_000, o % 3 * 40_000_000).alias("next_us"))
 
 
@@ -265,10 +265,10 @@ STATUS = A + """, status as (select (select count(*) from xs) as keys, (select c
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
+    judged = base.judged_once(spark, d)
     counts = base.settled(spark, d).agg(F.count(F.lit(1)).alias("keys"), F.count_if("is_settled").alias("settled"))
     found = base.findings(spark, d).agg(F.count_if(F.col("trust") != "suspect").alias("divergent"), F.count_if(F.col("trust") == "suspect").alias("suspect"))
-    judged = base.judged(spark, d)
-    lost = sequence.gaps(judged.filter("verdict <> 'stale_epoch'")).agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("missing"))
+    lost = sequence.gaps(sequence.current(judged)).agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("missing"))
     seen = judged.agg(F.count(F.lit(1)).alias("received"), F.count_if(sequence.accepted(F.col("verdict"))).alias("applied"))
     # Each side is one row.
     return counts.join(F.broadcast(found)).join(F.broadcast(lost)).join(F.broadcast(seen))
@@ -327,13 +327,13 @@ def _(spark, d):
 
 
 STATES = """with s as (select event_id as id, event_id % 11 = 0 as paused, event_id % 7 = 0 as awaiting, event_id % 13 = 0 as failed, event_id % 5 <> 0 as connected, event_id % 17 = 0 as saturated, event_id % 3 <> 0 as reachable, (event_id // 7) % 4 as divergent, user_id, ts,
-(event_id % 6) * 1000000 as window_us, event_id % 4 as missing, event_id % 2 as multi_writers, event_id % 9 <> 0 as commutative from events where event_id < 3000),
+(event_id % 6) * 1000000 as window_us, event_id % 4 as missing, event_id % 2 as multi_writers, event_id % 9 <> 0 as commutative from events),
 ph as (select *, case when paused then 'Paused' when awaiting then 'AwaitingSnapshot' when failed then 'Failed' when not connected or saturated then 'Degraded' else 'Watching' end as phase from s)"""
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    rows = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 3000").select(
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
         e.alias("id"), (e % 11 == 0).alias("paused"), (e % 7 == 0).alias("awaiting"), (e % 13 == 0).alias("failed"), (e % 5 != 0).alias("connected"), (e % 17 == 0).alias("saturated"), (e % 3 != 0).alias("reachable"),
         F.expr("(event_id div 7) % 4").alias("divergent"), "user_id", F.col("ts").alias("at"), (e % 6 * 1_000_000).alias("window_us"), (e % 4).alias("missing"), (e % 2).alias("multi_writers"), (e % 9 != 0).alias("commutative"), F.lit(8_000_000).alias("sweep_us"),
     )
@@ -372,23 +372,34 @@ FACTS = A + """, pubs as (select publisher, max(epoch) as epoch from v group by
 (select arg_max(date_diff('microsecond', observed_at, published_at), arrival) from v where v.publisher = p.publisher) as skew from pubs p),
 hs as (select key, least(count(*), 16) as h, bool_or(epoch = 2) and bool_or(epoch = 1) as restarted from x_e group by key),
 facts as (select coalesce(t.key, s.key) as key, t.key is not null as known, s.key is not null as stored, coalesce(s.s_kind <> 'wrong_type', true) as readable, coalesce(t.is_settled, true) as settled, coalesce(t.trust, 'complete') as trust, coalesce(t.kind, 'absent') as kind,
-coalesce(t.value, '') = coalesce(s.s_value, '') and (coalesce(t.kind, 'absent') = 'absent') = (s.key is null) as equal, coalesce(p.m, 0) as publisher_missing, coalesce(hs.restarted, false) as restarted, coalesce(p.skew, 0) as skew_us, coalesce(hs.h, 0) as history
-from xt t full join sread s on t.key = s.key left join pm p on p.publisher = t.last_publisher left join hs on hs.key = t.key)"""
+coalesce(t.value, '') = coalesce(s.s_value, '') and (coalesce(t.kind, 'absent') = 'absent') = (s.key is null) as equal, coalesce(p.m, 0) as publisher_missing, coalesce(hs.restarted, false) as restarted, coalesce(p.skew, 0) as skew_us, coalesce(hs.h, 0) as history,
+coalesce(t.ttl > 0 and t.last_event_at + to_microseconds(t.ttl) < now and t.kind <> 'absent', false) as expired, coalesce(t.user_id, s.user_id) % 25 as id, coalesce(t.user_id, s.user_id) % 25 % 11 <> 5 as reachable, coalesce(t.user_id, s.user_id) % 25 * 4 + 3 as pressure, coalesce(t.user_id, s.user_id) % 25 % 3 as evicted
+from xt t full join (select sread.*, user_id from sread join store using (key)) s on t.key = s.key cross join clock left join pm p on p.publisher = t.last_publisher left join hs on hs.key = t.key)"""
+
+
+def _shards(spark: SparkSession, d: str) -> DataFrame:
+    """id, reachable, pressure, evicted: the health of the store's parts, one for each nation."""
+    ids = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+    text = F.concat(F.lit("# Memory\r\nused_memory:"), (F.col("id") * 40 + 30).cast("string"), F.lit("\r\nmaxmemory:1000\r\nevicted_keys:"), (F.col("id") % 3).cast("string"), F.lit("\r\n"))
+    found = reconcile.health(ids.select("id", text.alias("info")))
+    return found.select("id", (F.col("id") % 11 != 5).alias("reachable"), fn.pressure_percent(F.col("used_memory"), F.col("max_memory")).alias("pressure"), F.col("evicted_keys").alias("evicted"))
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    judged = base.judged(spark, d)
+    judged = base.judged_once(spark, d)
     pubs = sequence.publishers(judged).select(F.col("publisher").alias("last_publisher"), F.col("missing").alias("m")).join(sequence.clock_skew(judged).withColumnRenamed("publisher", "last_publisher"), "last_publisher")
     events = state.effective(streams.as_scalars(base.applied(spark, d)))
     seen = events.groupBy("key").agg(F.least(F.count(F.lit(1)), F.lit(16)).alias("h"), (F.bool_or(F.col("epoch") == 2) & F.bool_or(F.col("epoch") == 1)).alias("r"))
-    read = reconcile.typed(base.store(spark, d), "scalar").select("key", F.col("kind").alias("s_kind"), F.col("value").alias("s_value"))
-    t = base.with_trust(spark, d).withColumn("known", F.lit(True)).join(F.broadcast(pubs), "last_publisher").join(seen, "key").join(read, "key", "full_outer")
+    read = reconcile.typed(base.store(spark, d), "scalar").select("key", F.col("kind").alias("s_kind"), F.col("value").alias("s_value")).join(base.store(spark, d).select("key", F.col("user_id").alias("s_user")), "key")
+    t = state.expired(base.with_trust(spark, d), base.clock(spark, d)).select("key", "is_expired")
+    t = base.with_trust(spark, d).withColumn("known", F.lit(True)).join(t, "key").join(pubs, "last_publisher").join(seen, "key")
+    t = t.withColumnRenamed("user_id", "u").join(read, "key", "full_outer").withColumn("id", F.coalesce("u", "s_user") % 25).join(_shards(spark, d), "id", "left")
     kind = F.coalesce("kind", F.lit("absent"))
     return t.select(
         "key", F.coalesce("known", F.lit(False)).alias("known"), F.col("s_kind").isNotNull().alias("stored"), F.coalesce(F.col("s_kind") != "wrong_type", F.lit(True)).alias("readable"), F.coalesce("is_settled", F.lit(True)).alias("settled"),
         F.coalesce("trust", F.lit("complete")).alias("trust"), kind.alias("kind"), ((F.coalesce("value", F.lit("")) == F.coalesce("s_value", F.lit(""))) & ((kind == "absent") == F.col("s_kind").isNull())).alias("equal"),
         F.coalesce("m", F.lit(0)).alias("publisher_missing"), F.coalesce("r", F.lit(False)).alias("restarted"), F.coalesce("skew_us", F.lit(0)).alias("skew_us"), F.coalesce("h", F.lit(0)).alias("history"),
-        F.lit(True).alias("reachable"), F.lit(95).alias("pressure"), F.lit(1).alias("evicted"), F.lit(False).alias("expired"), F.lit(1_000_000).alias("window_us"), F.lit(16).alias("ring"),
+        "reachable", "pressure", "evicted", F.coalesce("is_expired", F.lit(False)).alias("expired"), F.lit(1_000_000).alias("window_us"), F.lit(16).alias("ring"),
     )
 
 
@@ -399,8 +410,8 @@ def _(spark, d):
 
 
 RULES = FACTS + """, f2 as (select *, known and kind <> 'absent' and not stored as gone from facts), ru as (select key, unnest([case when settled and equal and readable then {'r': -3, 'c': 'AGREE', 'l': 'high'} end, case when known and not settled then {'r': -3, 'c': 'IN_FLIGHT', 'l': 'high'} end,
-case when publisher_missing > 0 then {'r': -3, 'c': 'SEQ_GAP_AFFECTING_PUBLISHER', 'l': 'high'} end, case when gone and settled and trust = 'complete' and publisher_missing = 0 then {'r': -3, 'c': 'MISSING_IN_TARGET_NO_GAPS', 'l': 'high'} end,
-case when stored and (not known or kind = 'absent') then {'r': -2, 'c': 'EXTRA_IN_TARGET', 'l': 'medium'} end, case when restarted then {'r': -2, 'c': 'PUBLISHER_RESTARTED', 'l': 'medium'} end, case when gone then {'r': -3, 'c': 'TARGET_EVICTION_LIKELY', 'l': 'high'} end,
+case when publisher_missing > 0 then {'r': -3, 'c': 'SEQ_GAP_AFFECTING_PUBLISHER', 'l': 'high'} end, case when gone and settled and reachable and trust = 'complete' and publisher_missing = 0 then {'r': -3, 'c': 'MISSING_IN_TARGET_NO_GAPS', 'l': 'high'} end,
+case when stored and (not known or kind = 'absent') then {'r': -2, 'c': 'EXTRA_IN_TARGET', 'l': 'medium'} end, case when restarted then {'r': -2, 'c': 'PUBLISHER_RESTARTED', 'l': 'medium'} end, case when gone and pressure >= 90 and evicted > 0 then {'r': -3, 'c': 'TARGET_EVICTION_LIKELY', 'l': 'high'} end, case when gone and pressure < 90 and evicted > 0 then {'r': -1, 'c': 'TARGET_EVICTION_POSSIBLE', 'l': 'low'} end, case when expired and not stored then {'r': -3, 'c': 'TTL_EXPIRED', 'l': 'high'} end,
 case when not readable and stored then {'r': -3, 'c': 'TYPE_MISMATCH', 'l': 'high'} end, case when abs(skew_us) > 1000000 then {'r': -2, 'c': 'CLOCK_SKEW_HIGH', 'l': 'medium'} end, case when history >= 16 then {'r': -1, 'c': 'HISTORY_TRUNCATED', 'l': 'low'} end,
 case when history = 0 then {'r': -2, 'c': 'NO_HISTORY', 'l': 'medium'} end]) as d from f2)"""
 
@@ -447,17 +458,17 @@ def _(spark, d):
     return rows.select("key", fn.render_value(F.lit("set"), F.lit(None).cast("string"), F.col("members"), F.lit(None).cast("long")).alias("shown"))
 
 
-@query("fn_2_normalise_op", "select event_id, 'snapshotend' as op from events where event_id < 500")
+@query("fn_2_normalise_op", "select event_id, 'snapshotend' as op from events")
 def _(spark, d):
     made = F.element_at(F.array(*[F.lit(x) for x in (" Snapshot_End", "SNAPSHOT-END ", "snapshotEnd")]), (F.col("event_id") % 3 + 1).cast("int"))
-    return spark.read.parquet(f"{d}/events.parquet").filter("event_id < 500").select("event_id", fn.normalise_op(made).alias("op"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.normalise_op(made).alias("op"))
 
 
-@query("fn_3_key_display", "select event_id, case when event_id % 3 = 0 then concat('hex:6b0', cast(event_id % 9 as varchar)) else concat('k', cast(event_id as varchar)) end as shown from events where event_id < 500")
+@query("fn_3_key_display", "select event_id, case when event_id % 3 = 0 then concat('hex:6b0', cast(event_id % 9 as varchar)) else concat('k', cast(event_id as varchar)) end as shown from events")
 def _(spark, d):
     e = F.col("event_id")
     key = F.when(e % 3 == 0, F.concat(F.lit("k"), F.char(e % 9))).otherwise(F.concat(F.lit("k"), e.cast("string")))
-    return spark.read.parquet(f"{d}/events.parquet").filter("event_id < 500").select("event_id", fn.key_display(F.when((e % 3 == 0) & (e % 9 == 0), F.concat(F.lit("k"), F.decode(F.unhex(F.lit("00")), "UTF-8"))).otherwise(key)).alias("shown"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.key_display(F.when((e % 3 == 0) & (e % 9 == 0), F.concat(F.lit("k"), F.decode(F.unhex(F.lit("00")), "UTF-8"))).otherwise(key)).alias("shown"))
 
 
 @query("fn_4_redact", "select distinct concat('user:', cast(user_id as varchar)) as key, concat('sha256:', left(sha256(concat('user:', cast(user_id as varchar))), 16)) as redacted from events")
@@ -497,7 +508,7 @@ def _(spark, d):
 @query("fn_11_intervals", V + """, o as (select *, row_number() over (partition by publisher, epoch order by lo) as k, count(*) over (partition by publisher, epoch) as n from gaps)
 select publisher, epoch, concat(string_agg(concat('[', cast(lo as varchar), ',', cast(hi as varchar), ']'), ' ' order by lo) filter (k <= 3), case when max(n) > 3 then concat(' and ', cast(max(n) - 3 as varchar), ' more') else '' end) as shown from o group by 1, 2""")
 def _(spark, d):
-    found = sequence.gaps(base.judged(spark, d).filter("verdict <> 'stale_epoch'"))
+    found = sequence.gaps(sequence.current(base.judged_once(spark, d)))
     return found.groupBy("publisher", "epoch").agg(fn.interval_listing(F.array_sort(F.collect_list(F.struct("lo", "hi")))).alias("shown"))
 
 

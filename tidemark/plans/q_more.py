@@ -38,9 +38,9 @@ def _(spark, d):
 
 @query("joi_8_enriched", A + """, top as (select publisher, max(epoch) as epoch from v group by 1) select x.key, x.last_publisher, coalesce((select cast(sum(hi - lo + 1) as bigint) from gaps g, top t where g.publisher = x.last_publisher and t.publisher = g.publisher and t.epoch = g.epoch), 0) as missing from x where key in ('user:8', 'user:46')""")
 def _(spark, d):
-    pubs = sequence.publishers(base.judged(spark, d)).select(F.col("publisher").alias("last_publisher"), "missing")
+    pubs = sequence.publishers(base.judged_once(spark, d)).select(F.col("publisher").alias("last_publisher"), "missing")
     keys = base.expected(spark, d).filter("key in ('user:8', 'user:46')").select("key", "last_publisher")
-    return keys.join(F.broadcast(pubs), "last_publisher").select("key", "last_publisher", "missing")
+    return keys.join(pubs, "last_publisher").select("key", "last_publisher", "missing")
 
 
 @query("str_3_sweep", A + " select (select count(*) from xs where is_settled) as compared, (select count(*) from findings) as found, (select count(*) from findings where trust = 'suspect') as suspect")
@@ -67,7 +67,8 @@ def _(spark, d):
 @query("str_13_snapshot_cycle", A + " select trust, count(*) as n from (select case when last_order < f and coalesce(60000, -1) < f then 'suspect' else 'complete' end as trust from xs, fl) group by 1")
 def _(spark, d):
     end = spark.range(1).select(F.lit(60000).cast("long").alias("order"))
-    rows = trust.effective_trust(base.settled(spark, d), trust.floors(base.judged(spark, d).filter("event_id < 5000")), end)
+    judged = base.judged_once(spark, d)
+    rows = trust.effective_trust(base.settled(spark, d), trust.floors(judged), end)
     return rows.groupBy("trust").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -32,7 +32,7 @@ def _(spark, d):
 
 @query("seq_4_gap_intervals", V + " select publisher, epoch, lo, hi from gaps")
 def _(spark, d):
-    return sequence.gaps(base.judged(spark, d).filter("verdict <> 'stale_epoch'"))
+    return sequence.gaps(sequence.current(base.judged_once(spark, d)))
 
 
 @query("seq_5_late_fills", V + " select publisher, epoch, seq, arrival from v where verdict = 'late_fill'")
@@ -42,7 +42,7 @@ def _(spark, d):
 
 @query("seq_6_missing", V + " select publisher, epoch, cast(sum(hi - lo + 1) as bigint) as missing, count(*) as intervals from gaps group by 1, 2")
 def _(spark, d):
-    return sequence.missing(sequence.gaps(base.judged(spark, d).filter("verdict <> 'stale_epoch'")))
+    return sequence.missing(sequence.gaps(sequence.current(base.judged_once(spark, d))))
 
 
 @query("seq_7_capped_intervals", V + """, ho as (select *, lo - lag(hi) over (partition by publisher, epoch order by lo) as hole from gaps),
@@ -50,7 +50,7 @@ rk as (select *, row_number() over (partition by publisher, epoch order by hole
 run as (select *, sum(case when hole is null or rk < 8 then 1 else 0 end) over (partition by publisher, epoch order by lo) as run from rk)
 select publisher, epoch, min(lo) as lo, max(hi) as hi, (select count(*) > 8 from gaps g where g.publisher = run.publisher and g.epoch = run.epoch) as truncated from run group by publisher, epoch, run""")
 def _(spark, d):
-    return sequence.capped_gaps(sequence.gaps(base.judged(spark, d).filter("verdict <> 'stale_epoch'")), 8)
+    return sequence.capped_gaps(sequence.gaps(sequence.current(base.judged_once(spark, d))), 8)
 
 
 @query("seq_8_restarts", V + " select publisher, cast(sum(case when verdict = 'after_restart' then 1 else 0 end) as bigint) as restarts from v group by 1")
@@ -58,17 +58,22 @@ def _(spark, d):
     return base.judged(spark, d).groupBy("publisher").agg(F.count_if(F.col("verdict") == "after_restart").alias("restarts"))
 
 
-@query("seq_9_implicit_restarts")
+@query("seq_9_implicit_restarts", sql.STREAM + """, i as (select publisher, case when epoch = 2 then seq else seq + 5000 end as seq, arrival from st),
+h as (select *, max(seq) over (partition by publisher order by arrival rows between unbounded preceding and 1 preceding) as h from i), rs as (select publisher, min(arrival) as ra from h where h - seq > 1000 and seq < 100 group by 1),
+k as (select i.*, case when i.arrival >= ra then ra else 0 end as incarnation from i left join rs using (publisher)),
+g as (select *, max(seq) over (partition by publisher, incarnation order by arrival rows between unbounded preceding and 1 preceding) as h, row_number() over (partition by publisher, incarnation, seq order by arrival) as rn, first_value(seq) over (partition by publisher, incarnation order by arrival) as b from k),
+w as (select publisher, incarnation, case when incarnation > 0 and arrival = incarnation then 'after_restart' when h is null then 'first_seen' when seq = h + 1 then 'accept' when seq > h + 1 then 'with_gap' when rn = 1 and seq > b then 'late_fill' else 'duplicate' end as verdict from g)
+select publisher, verdict, count(*) as n, max(incarnation) as incarnation from w group by 1, 2""")
 def _(spark, d):
+    # Both epochs of the stream read as one, in which each publisher counts from 1 again.
     rows = base.stream(spark, d).select("publisher", F.lit(1).cast("long").alias("epoch"), F.when(F.col("epoch") == 2, F.col("seq")).otherwise(F.col("seq") + 5000).alias("seq"), "arrival")
-    odd = sequence.needs_sequential(rows)
-    return sequence.sequential(rows.join(F.broadcast(odd), "publisher", "left_semi")).groupBy("publisher", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("incarnation").alias("incarnation"))
+    return sequence.verdicts(rows).groupBy("publisher", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("incarnation").alias("incarnation"))
 
 
 @query("seq_11_publishers", V + """, top as (select publisher, max(epoch) as epoch, count(*) as events, min(observed_at) as first_seen, max(observed_at) as last_seen, cast(sum(case when verdict = 'after_restart' then 1 else 0 end) as bigint) as restarts from v group by 1)
 select t.*, (select max(seq) from v where v.publisher = t.publisher and v.epoch = t.epoch) as high, coalesce((select cast(sum(hi - lo + 1) as bigint) from gaps g where g.publisher = t.publisher and g.epoch = t.epoch), 0) as missing from top t""")
 def _(spark, d):
-    return sequence.publishers(base.judged(spark, d))
+    return sequence.publishers(base.judged_once(spark, d))
 
 
 @query("seq_12_publisher_cap", V + " select publisher, max(observed_at) as last_seen from v group by 1 order by 2 desc, 1 limit 3")
@@ -80,13 +85,13 @@ def _(spark, d):
 @query("seq_13_publisher_trust", V + """, top as (select publisher, max(epoch) as epoch from v group by 1)
 select t.publisher, case when exists (select 1 from gaps g where g.publisher = t.publisher and g.epoch = t.epoch) then 'suspect' else 'complete' end as trust from top t""")
 def _(spark, d):
-    return sequence.trusted(sequence.publishers(base.judged(spark, d))).select("publisher", "trust")
+    return sequence.trusted(sequence.publishers(base.judged_once(spark, d))).select("publisher", "trust")
 
 
 @query("seq_14_cleared_gaps", V + " select publisher, epoch, lo, hi from gaps where lo > 200")
 def _(spark, d):
     # A snapshot that ended at number 200 clears what was missing up to there.
-    return sequence.gaps(base.judged(spark, d).filter("verdict <> 'stale_epoch'")).filter("lo > 200")
+    return sequence.gaps(sequence.current(base.judged_once(spark, d))).filter("lo > 200")
 
 
 @query("seq_15_clock_skew", V + " select publisher, arg_max(date_diff('microsecond', observed_at, published_at), arrival) as skew_us from v group by 1")
@@ -174,9 +179,11 @@ def _(spark, d):
     return validate.conservation(_reasoned(spark, d))
 
 
-@query("val_5_decode_suspicion", A + " select key, case when last_order < (select max(event_id * 10) from r where event_id % 53 = 0 and event_id <= 2650) then 'suspect' else 'complete' end as trust from xs")
+@query("val_5_decode_suspicion", A + " select key, case when last_order < (select max(event_id * 10) from r where event_id % 53 = 0 and event_id * 100 <= 99 * (select m from mx)) then 'suspect' else 'complete' end as trust from xs")
 def _(spark, d):
-    bad = base.received(spark, d).filter("event_id % 53 = 0 and event_id <= 2650").agg(F.max(F.col("event_id") * 10).alias("arrival"))
+    rows = base.received(spark, d)
+    early = F.col("event_id") * 100 <= rows.agg(F.max("event_id") * 99).scalar()
+    bad = rows.filter((F.col("event_id") % 53 == 0) & early).agg(F.max(F.col("event_id") * 10).alias("arrival"))
     floor = trust.floors(base.judged(spark, d).limit(0), errors=bad)
     return trust.effective_trust(base.settled(spark, d), floor).select("key", "trust")
 
@@ -367,7 +374,8 @@ def _(spark, d):
 @query("tru_6_cleared", A + " select key, case when last_order < f and 40000 < f then 'suspect' else 'complete' end as trust from xs, fl")
 def _(spark, d):
     clear = spark.range(1).select(F.lit(40000).cast("long").alias("order"))
-    return trust.effective_trust(base.settled(spark, d), trust.floors(base.judged(spark, d).filter("event_id < 5000")), clear).select("key", "trust")
+    judged = base.judged_once(spark, d)
+    return trust.effective_trust(base.settled(spark, d), trust.floors(judged), clear).select("key", "trust")
 
 
 @query("tru_7_multi_writers", V + " select key, count(distinct publisher) as writers from acc group by 1 having count(distinct publisher) > 1")

@@ -55,7 +55,7 @@ def compare(spark: SparkSession, spec: Spec, events: str, store: str) -> Result:
     rows = rows.withColumn("problem", F.when(F.col("err").isNull(), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")])))
     # Told apart from other runs, as a file may have changed since they kept its rows.
     good = rows.filter("err is null and problem is null").withColumn("run", F.lit(uuid.uuid4().hex)).persist()
-    judged = sequence.judged(good).persist()
+    judged = sequence.verdicts(good).persist()
     shape = spec.projection.get("type", "scalar")
     applied = judged.filter(sequence.accepted(F.col("verdict"))).filter(validate.touches_key(F.col("op")))
     now = F.lit(rows.agg(F.max("observed_at").alias("t")).first().t).cast("timestamp_ntz") + F.expr("interval 1 day")

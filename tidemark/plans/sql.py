@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 STREAM = """
-with st as (select event_id * 10 as arrival, event_type as publisher, cast(1 + cast(event_id >= 6000 as integer) as bigint) as epoch, ts as observed_at,
+with mx as (select max(event_id) as m from events), st as (select event_id * 10 as arrival, event_type as publisher, cast(1 + cast(event_id >= 6000 as integer) as bigint) as epoch, ts as observed_at,
     ts + to_seconds(length(event_type) - 5) as published_at, concat('user:', cast(user_id as varchar)) as key, user_id, event_id,
     row_number() over (partition by event_type, event_id >= 6000 order by event_id) as seq from events),
-seen as (select * from st where event_id % 37 <> 0),
-r as (select * replace (arrival + case when (event_id // 2) % 10 = 0 then case when event_id % 2 = 0 then 11 else -11 end else 0 end as arrival) from seen
+seen as (select * from st where event_id % 37 <> 0 or event_id * 100 > 99 * (select m from mx)),
+r as (select * replace (arrival + case when (event_id // 2) % 10 = 0 and event_id * 100 <= 99 * (select m from mx) then case when event_id % 2 = 0 then 11 else -11 end else 0 end as arrival) from seen
     union all select * replace (event_id * 10 + 10005 as arrival) from seen where event_id % 41 = 0)"""
 
 VERDICTS = STREAM + """,
@@ -56,7 +56,7 @@ WINDOW_US, MAX_WINDOW_US = 21_600_000_000, 864_000_000_000
 AUDIT = VERDICTS + state("acc", "x") + STORE + f""",
 clock as (select max(ts) + interval 10 second as now from events),
 xs as (select x.*, coalesce(last_event_at + to_microseconds({WINDOW_US}) < now or last_change_at + to_microseconds({min(10 * WINDOW_US, MAX_WINDOW_US)}) < now, false) as is_settled from x, clock),
-fl as (select max(arrival) as f from v where verdict in ('with_gap', 'after_restart') and event_id < 5000),
+fl as (select max(arrival) as f from v where verdict in ('with_gap', 'after_restart')),
 xt as (select xs.*, case when last_order < f then 'suspect' else 'complete' end as trust from xs, fl),
 sread as (select key, case when stored_type = 'string' then 'scalar' else 'wrong_type' end as s_kind, case when stored_type = 'string' then scalar end as s_value, stored_type from store),
 swept as (select t.*, s_kind, s_value, case when s_kind = 'wrong_type' then 'type_mismatch' when t.kind = 'absent' then case when s_kind is null then null else 'extra_in_target' end

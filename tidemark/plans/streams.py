@@ -23,9 +23,10 @@ def change_stream(spark: SparkSession, sf_dir: str, restart: bool = True) -> Dat
 
 
 def perturbed(stream: DataFrame) -> DataFrame:
-    """The stream as an auditor might see it: some changes lost, some neighbours swapped, some delivered again later."""
-    shift = F.when(F.expr("(event_id div 2) % 10 = 0"), F.when(F.col("event_id") % 2 == 0, 11).otherwise(-11)).otherwise(0)
-    seen = stream.filter(F.col("event_id") % 37 != 0)
+    """The stream as an auditor might see it: some changes lost, some neighbours swapped, some delivered again later; of the last hundredth nothing is lost or swapped."""
+    sound = F.col("event_id") * 100 > stream.agg(F.max("event_id") * 99).scalar()
+    shift = F.when(F.expr("(event_id div 2) % 10 = 0") & ~sound, F.when(F.col("event_id") % 2 == 0, 11).otherwise(-11)).otherwise(0)
+    seen = stream.filter((F.col("event_id") % 37 != 0) | sound)
     again = seen.filter(F.col("event_id") % 41 == 0).withColumn("arrival", F.col("event_id") * 10 + 10005)
     return seen.withColumn("arrival", F.col("arrival") + shift).unionByName(again)
 
