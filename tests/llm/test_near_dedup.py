@@ -104,3 +104,23 @@ def test_connected(spark, monkeypatch, edges, local):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
+def test_key_names_and_columns_that_clash(spark):
+    rows = [(i, "a b c d e f g h", i, i, i, i) for i in range(3)] + [(3, None, 3, 3, 3, 3)]
+    df = spark.createDataFrame(rows, "n long, text string, ident long, kept long, __key long, __n long")
+    assert {(r.n, r.component_id, r.kept) for r in nd.components(df, "n").collect()} == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True)}
+    assert sorted(nd.survivors(df, "n").collect()) == [rows[0], rows[3]]
+
+
+def test_stars_on_a_large_graph(spark, monkeypatch):
+
+    monkeypatch.setattr(components, "LOCAL", 1000)
+    # Chains, a star and pairs: 30,000 nodes, far more edges than one task would take.
+    edges = [(i, i + 1) for i in range(10_000) if i % 100] + [(20_000, 20_001 + i) for i in range(5000)] + [(30_000 + 2 * i, 30_001 + 2 * i) for i in range(5000)]
+    got = {r.node: r.label for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    want = {}
+    for a, b in sorted(edges):
+        want.setdefault(a, a)
+        want[b] = want[a]
+    assert got == want

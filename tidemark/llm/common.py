@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.shipping import ship
+from tidemark.tables import clean_up, shared_folder, stored
 
 #: The bytes that separate words everywhere in this subpackage: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,34 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Cuts the lineage: writes to the shared folder and reads again.
+materialize = stored
 
 
-#: What this application has written so far.
-written: list[str] = []
+class Names:
+    """Gives the columns of a result their names back."""
 
+    def __init__(self, before: list[str]) -> None:
+        self.before = before
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete all intermediate tables, once nothing reads them any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while written:
-        at = path(written.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def here(self, name: str) -> str:
+        """What a column is called meanwhile."""
+        return f"c{[c.lower() for c in self.before].index(name.lower())}_"
 
+    def columns(self) -> list:
+        return [F.col(f"c{i}_").alias(c) for i, c in enumerate(self.before)]
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: cuts the lineage, so a lost executor costs no more than a read."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    written.append(at)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    def __call__(self, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*self.columns(), *more)
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, Names]:
+    """df with columns c0_, c1_ and so on, so that no name clashes with those of an operator's own columns."""
+    return df.toDF(*[f"c{i}_" for i in range(len(df.columns))]), Names(df.columns)
 
 
 def release(spark: SparkSession) -> None:

@@ -14,7 +14,8 @@ judged from FINE registers of one byte on a coarser scale, made only for classes
 standard errors below 0.75. Only distinct texts are compared; copies belong to their class.
 
 Null or empty text: an empty set, linked with nothing. Null key: counts as larger than any other key. Repeated keys:
-every row has its own class; the component's smallest key is that of any of its rows. Empty table: no rows.
+every row has its own class; the component's smallest key is that of any of its rows. Empty table: no rows. Very long
+text: its words and shingles are one row of one task; sketches and registers are as small as any other's.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, release, settings, with_fields
+from tidemark.llm.common import materialize, release, renamed, settings, with_fields
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import identity, mixed, numbers, shingle_set, words_of
 from tidemark.shipping import ship
@@ -37,7 +38,7 @@ M = ROWS * BANDS
 #: Base of the scale, rate of the exponentials, and the largest register.
 B, A, Q = 1.001, 20.0, 65534
 FINE, FINE_B, FINE_Q, LOOKS = 768, 1.1, 254, 0.67
-BLOCK, FIRST_BANDS = 64, 4
+BLOCK, SQUARE, FIRST_BANDS = 64, 16, 4
 FACTORS, OFFSETS = numbers(FINE, 1) | np.uint64(1), numbers(FINE, 2)
 CHUNK = 1 << 15
 
@@ -146,13 +147,18 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, best_onl
     """
     labelled = shared.select("bucket", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # A bucket's main component takes the low blocks; a bucket of one component is done.
-    sizes = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.expr("mode(label)").alias("main"), F.count(F.lit(1)).alias("size")).filter("l < h").drop("l", "h")
+    each = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("size")).filter("labels > 1").drop("labels")
+    # A table of its own, so that Spark can split the join of a bucket that many classes share.
+    sizes = materialize(sizes, "sizes")
     placed = labelled.join(sizes, "bucket").withColumn("many", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "many") + F.when(F.col("label") == F.col("main"), 0).otherwise(F.col("many")))
     member = F.struct("node", "label", "n", "fine", "bands")
     blocks = placed.join(texts.select("node", "n", "fine", "bands"), "node").groupBy("bucket", "band", "many", "block").agg(F.collect_list(member).alias("m"))
-    a = blocks.select("bucket", "band", "many", F.col("block").alias("i"), F.col("m").alias("ma")).filter("i >= many")
-    b = blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("mb"))
-    both = a.join(b, "bucket").filter("j < many or i <= j").select("band", (F.col("i") == F.col("j")).alias("same"), "ma", "mb")
+    # Blocks meet in squares of SQUARE by SQUARE, so that a bucket with many of them is many keys.
+    last = F.floor((2 * F.col("many") - 1) / SQUARE)
+    a = blocks.filter("block >= many").select("bucket", "band", "many", F.col("block").alias("i"), F.col("m").alias("ma"), F.floor(F.col("block") / SQUARE).alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("v"))
+    b = blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("mb"), F.floor(F.col("block") / SQUARE).alias("v"), F.explode(F.sequence(F.floor(F.col("many") / SQUARE), last)).alias("u"))
+    both = a.join(b, ["bucket", "u", "v"]).filter("j < many or i <= j").select("band", (F.col("i") == F.col("j")).alias("same"), "ma", "mb")
 
     def side(members: list[dict]) -> tuple[np.ndarray, ...]:
         fine = np.frombuffer(b"".join(m["fine"] for m in members), "u1").reshape(-1, FINE)
@@ -245,6 +251,8 @@ def _best(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key that can be reached), kept (key = component_id)."""
     ship(docs.sparkSession)
+    # Names of our own, as a key may be called what we call something else.
+    docs, named_key, key, text = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")), key, "k_", "t_"
     rows = materialize(_sketched(docs, key, text), "rows")
     classes = rows.filter("ident is not null").groupBy("ident").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -275,11 +283,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     release(docs.sparkSession)
 
     named = classes.select("ident", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = materialize(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     ends = named.join(least, "label").select("ident", "component_id")
     found = rows.select(key, F.col("n").alias("n_shingles"), "ident").join(ends, "ident", "left")
     component = F.when(F.col("ident").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return found.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, component.isNull()).alias("kept"))
+    return found.select(F.col(key).alias(named_key), "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, component.isNull()).alias("kept"))
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,8 +295,10 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     If a component's smallest key is that of several rows, one row of each of their texts stays.
     """
+    docs, back = renamed(docs)
+    key, text = back.here(key), back.here(text)
     found = components(docs, key, text).select(F.col(key).alias("__key"), "kept", F.col("n_shingles").alias("__n"))
     keep = found.filter("kept").groupBy("__key").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__rows"))
     kept = docs.join(keep, F.col(key).eqNullSafe(F.col("__key")) if keep.filter("__key is null").limit(1).count() else F.col(key) == F.col("__key"))
     first = kept.filter("__rows > 1 and __n > 0").dropDuplicates(["__key", text])
-    return kept.filter("not (__rows > 1 and __n > 0)").unionByName(first).select(docs.columns)
+    return back(kept.filter("not (__rows > 1 and __n > 0)").unionByName(first))
