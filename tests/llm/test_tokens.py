@@ -47,6 +47,39 @@ def test_tree_concatenation_of_random_pieces(library):
         assert c.tree(piece.encode()) == library.encode(piece, add_special_tokens=False).ids
 
 
+def test_tree_concatenation_of_whole_texts(library, monkeypatch):
+    c = bpe.Codec(PATH)
+    words = ["it's", "we'll", "'s", "''re", "don't", "x1y2", "A_b", "é\u0301", "😀", "日本", "...", "<|endoftext|>", "<|", "12", " ", "\n", "\n\n ", "\t", "\x85", "\u00a0", "--", "word", "Word"]
+    for part in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(bpe, "PART", part)
+        monkeypatch.setattr(bpe, "LONG", 200)
+        for _ in range(150):
+            text = "".join(random.choice(words) + random.choice(["", "", " "]) for _ in range(random.randint(1, 60)))
+            assert c.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, (part, text)
+            cuts = sorted({0, len(text), *(random.randint(0, len(text)) for _ in range(4))})
+            parts = [c.encode(text[x:y]) for x, y in zip(cuts, cuts[1:])]
+            assert c.joined(text, cuts, parts).tolist() == library.encode(text, add_special_tokens=False).ids, (cuts, text)
+    assert c.joins > 1000
+
+
+def test_long_texts_are_encoded_in_parts_by_rows(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SPREAD", 300)
+    rows = [(i, t, i, i, i) for i, t in enumerate(TEXTS)] + [(99, "a <|endoftext|>" * 200, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "row_ long, text string, at_ long, part_ long, ids_ long").repartition(2)
+    got = {r.row_: r for r in bpe.digests(df, PATH).collect()}
+    for i, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert len(got) == len(rows)
+
+
+def test_ordinary_documents_take_the_tree(library):
+    c = bpe.Codec(PATH)
+    text = " ".join(random.choices(["plain", "words", "and", "more,", "don't"], k=3000))
+    assert c.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert c.joins >= 7
+
+
 def test_encode_then_decode(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
@@ -116,3 +149,20 @@ def test_sequences_hold_the_ids(spark, folder):
     placed = packing.pack_documents(spark.read.parquet(f"{folder}/documents.parquet"), PATH, with_ids=True)
     total = {r.sequence_id: r.n for r in placed.groupBy("sequence_id").sum("length").toDF("sequence_id", "n").collect()}
     assert {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(placed).collect()} == total
+
+
+def test_packing_of_columns_that_clash(spark):
+    rows = [(i, 100 + i % 7, 1, 2, 3, 4, 5, 6) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, length long, at long, bin long, fill long, up long, __uid long, bin_ long")
+    got = packing.pack(df, 1024).collect()
+    assert sorted(r.id for r in got) == list(range(500)) and {(r.at, r.bin, r.fill, r.up, r["__uid"], r.bin_) for r in got} == {(1, 2, 3, 4, 5, 6)}
+    assert packing.pieces(spark.createDataFrame([(1, "a")], "piece long, text string"), PATH, key="piece").first()[0] == 1
+
+
+def test_packing_through_several_levels_of_full_groups(spark):
+    n = packing.ITEMS * packing.FAN + 5000  # more than FAN groups of ITEMS, so three levels
+    df = spark.range(n).selectExpr("id", "1 + pmod(xxhash64(id), 700) as length")
+    got = packing.pack(df, 1024)
+    bins = got.groupBy("sequence_id").agg({"length": "sum"}).toPandas()["sum(length)"]
+    assert got.count() == n and bins.max() <= 1024
+    assert len(bins) <= 1.01 * -(-int(bins.sum()) // 1024)

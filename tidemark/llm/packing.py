@@ -7,7 +7,8 @@ one is half full or less, and each merge further up needs such a bin on one side
 CARRY emptiest bins of a node (more than FAN) are therefore all that can help, and every node stays bounded.
 
 Null text: read as the empty text (one end token). Null lengths count as 0 in pack(); lengths over the capacity are an
-error there. Ties: any order, the same for the same input. Empty table: no rows. Repeated rows: packed once each.
+error there. Ties: any order, the same for the same input. Empty table: no rows. Repeated rows: packed once each. Very long
+text: many pieces, made in one task, and packed like all others. Other columns of items pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import codec
-from tidemark.llm.common import materialize, union_all, with_fields
+from tidemark.llm.common import materialize, renamed, union_all, with_fields
 from tidemark.shipping import ship
 
 #: Items in a group of the first level, children of a tree node, emptiest bins that a node hands up.
@@ -54,9 +55,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _level(items: DataFrame, capacity: int, level: int, length: str) -> DataFrame:
-    """items (with node) plus bin, at, fill, up: the bin's id, the place in it, its fill, and whether it is handed up."""
+    """items (with __node) plus bin_, at_, fill_, up_: the bin's id, the place in it, its fill, and whether it is handed up."""
     ship(items.sparkSession)
-    kind = with_fields(items.schema, "bin long, at long, fill long, up boolean")
+    kind = with_fields(items.schema, "bin_ long, at_ long, fill_ long, up_ boolean")
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__uid"], kind="stable").reset_index(drop=True)
@@ -64,14 +65,15 @@ def _level(items: DataFrame, capacity: int, level: int, length: str) -> DataFram
         up = np.zeros(len(fills), bool)
         up[np.argsort(fills, kind="stable")[:CARRY]] = True
         up &= fills < capacity
-        return rows.assign(bin=(level << 58) + (int(key[0]) << 26) + bin_of, at=at, fill=fills[bin_of], up=up[bin_of])
+        return rows.assign(bin_=(level << 58) + (int(key[0]) << 26) + bin_of, at_=at, fill_=fills[bin_of], up_=up[bin_of])
 
     return items.groupBy("__node").applyInPandas(work, kind)
 
 
 def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """items plus sequence_id and offset, in as few sequences as hierarchical best fit finds."""
-    columns = items.columns
+    items, back = renamed(items)
+    length, columns = back.here(length), items.columns
     numbered = materialize(items.withColumn(length, F.coalesce(F.col(length).cast("long"), F.lit(0))).withColumn("__uid", F.monotonically_increasing_id()), "items")
     whole = numbered.filter(F.col(length) == capacity)
     rest = numbered.filter(F.col(length) != capacity)
@@ -81,18 +83,18 @@ def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     levels = [materialize(_level(start, capacity, 0, length), "level")]
     while nodes > 1:
         nodes = -(-nodes // FAN)
-        bins = levels[-1].filter("up and at = 0").select(F.col("bin").alias("__uid"), F.col("fill").alias("length"), F.floor(F.col("__node") / FAN).alias("__node"))
+        bins = levels[-1].filter("up_ and at_ = 0").select(F.col("bin_").alias("__uid"), F.col("fill_").alias("length"), F.floor(F.col("__node") / FAN).alias("__node"))
         levels.append(materialize(_level(bins, capacity, len(levels), "length"), "level"))
     # From the root down: where each bin that was handed up ended.
     ends = None
     for made in levels[:0:-1]:
-        here = made.select(F.col("__uid").alias("__child"), F.col("bin").alias("__bin"), F.col("at").alias("__at"), "up")
+        here = made.select(F.col("__uid").alias("__child"), F.col("bin_").alias("__bin"), F.col("at_").alias("__at"), "up_")
         ends = _follow(here, ends).select("__child", F.col("__bin").alias("__end"), F.col("__at").alias("__more"))
-    placed = _follow(levels[0].withColumnsRenamed({"bin": "__bin", "at": "__at"}), ends)
-    return union_all([
+    placed = _follow(levels[0].withColumnsRenamed({"bin_": "__bin", "at_": "__at"}), ends)
+    return back(union_all([
         whole.select(*columns, (-1 - F.col("__uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
         placed.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__at").alias("offset")),
-    ])
+    ]), "sequence_id", "offset")
 
 
 def _follow(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
@@ -100,8 +102,8 @@ def _follow(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
     if ends is None:
         return rows
     ends = ends.withColumnRenamed("__child", "__key")
-    moved = rows.filter("up").join(ends, F.col("__bin") == F.col("__key")).withColumn("__at", F.col("__at") + F.col("__more")).withColumn("__bin", F.col("__end"))
-    return rows.filter("not up").unionByName(moved.select(rows.columns))
+    moved = rows.filter("up_").join(ends, F.col("__bin") == F.col("__key")).withColumn("__at", F.col("__at") + F.col("__more")).withColumn("__bin", F.col("__end"))
+    return rows.filter("not up_").unionByName(moved.select(rows.columns))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, key:
     A document's ids are those of its text and one end id. Only documents over the capacity are cut; the first piece is the short one.
     """
     ship(docs.sparkSession)
-    kind = with_fields(docs.select(key).schema, "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    kind = with_fields(docs.select(F.col(key).alias("key_")).schema, "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -126,7 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, key:
             arrays = [b.column(0).take(pa.array(row, "int32")), pa.array(piece, "int32"), pa.array(start, "int64"), pa.array(length, "int64"), pa.array(crc, "int64")]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(raw, "binary")] * with_ids, names=[f.name for f in kind])
 
-    return docs.select(key, text).mapInArrow(work, kind)
+    return docs.select(key, text).mapInArrow(work, kind).withColumnRenamed("key_", key)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
