@@ -2,7 +2,8 @@
 
 Everything is a DataFrame expression on one row: no shuffle, no Python on the executors. Positions count code points,
 ends are exclusive. A null text is read as the empty text and has no spans; every input row gives one output row,
-repeated rows included, and other columns pass through untouched.
+repeated rows included, and other columns pass through untouched, whatever their names. Empty table: no rows. Very long
+text: one row of one task; lists are made in blocks, so time hardly grows faster than the text and its spans.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import renamed
+
 
 @dataclass(frozen=True)
 class CharClass:
@@ -47,7 +50,7 @@ ALLOWED = (
     r"^[^0-9]+$",
     r"(?i)example|placeholder|your[_-]?(?:api[_-]?)?key|x{6,}",
 )
-BLOCK = 256
+BLOCK, CHUNK = 256, 4096
 
 
 def _quoted(pattern: str) -> str:
@@ -99,8 +102,8 @@ def entropy_extent(value: str, c: CharClass) -> str:
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """docs with one more column: array<struct<start, ord, end, kind, value>>, sorted by start, then kind as listed."""
     kinds = [k for k, _ in BASE] + [c.kind for c in CLASSES]
-    columns = docs.columns
-    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    docs, back = renamed(docs.drop(out))
+    df = docs.withColumn("__t", F.coalesce(F.col(back.here(text)), F.lit("")))
     for kind, pattern in BASE:
         # A match that is too short fails; it has used up its text all the same. hex can ask for the length at once, as its run is maximal.
         long = pattern.replace("]+", "]{24,}") if kind == "hex" else pattern
@@ -122,16 +125,28 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
         )
     hex_kind, other = (f"__{c.kind}" for c in CLASSES)
     df = df.withColumn(other, F.expr(f"filter({other}, n -> not exists({hex_kind}, b -> b.start <= n.start and n.end <= b.end))"))
-    return df.select(*columns, F.array_sort(F.concat("__base", hex_kind, other)).alias(out))
+    return back(df, F.array_sort(F.concat("__base", hex_kind, other)).alias(out))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span of the text replaced by a mark; spans that touch or overlap become one. Texts without spans stay, nulls too."""
-    merged = """aggregate(__s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) ->
-        if(size(a) > 0 and s.start <= a[size(a) - 1].end,
-            concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end)))),
-            concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""
-    kept = """concat_ws('{mark}', transform(sequence(0, size(__m)), i -> substring({text}, int(if(i = 0, 0L, __m[i - 1].end) + 1),
-        int(if(i = size(__m), length({text}), __m[i].start) - if(i = 0, 0L, __m[i - 1].end)))))"""
-    df = scan(docs, text, "__s").withColumn("__m", F.expr(merged))
-    return df.withColumn(text, F.expr(f"if(size(__m) = 0, {text}, {kept.format(mark=mark, text=text)})")).select(docs.columns)
+    kind = "array<struct<start:bigint,end:bigint>>"
+    none = f"cast(array() as {kind})"
+    step = """(a, x) -> if(x.start <= a.hi, named_struct('lo', a.lo, 'hi', greatest(a.hi, x.end), 'done', a.done),
+        named_struct('lo', x.start, 'hi', x.end, 'done', if(a.hi < 0, a.done, concat(a.done, array(named_struct('start', a.lo, 'end', a.hi))))))"""
+    # As in matches(): a block's list is short, and only whole blocks are put behind what is there.
+    inner = f"aggregate(slice(s_, b * {BLOCK} + 1, {BLOCK}), named_struct('lo', o.lo, 'hi', o.hi, 'done', {none}), {step})"
+    merged = f"""aggregate(sequence(0, (size(s_) - 1) div {BLOCK}), named_struct('lo', -1L, 'hi', -1L, 'done', {none}),
+        (o, b) -> transform(array({inner}), i -> named_struct('lo', i.lo, 'hi', i.hi, 'done', concat(o.done, i.done)))[0],
+        o -> concat(o.done, array(named_struct('start', o.lo, 'end', o.hi))))"""
+    # What stays is cut from chunks, as finding a place in a string takes time in proportion to it.
+    chunks = f"regexp_extract_all(t_, '(?s).{{1,{CHUNK}}}', 0)"
+    part = f"""if(x.a >= x.b, '', if(x.a div {CHUNK} = (x.b - 1) div {CHUNK}, substring(c[int(x.a div {CHUNK})], int(x.a % {CHUNK}) + 1, int(x.b - x.a)),
+        concat(substring(c[int(x.a div {CHUNK})], int(x.a % {CHUNK}) + 1, {CHUNK}), array_join(slice(c, int(x.a div {CHUNK}) + 2, int((x.b - 1) div {CHUNK} - x.a div {CHUNK} - 1)), ''),
+            substring(c[int((x.b - 1) div {CHUNK})], 1, int((x.b - 1) % {CHUNK}) + 1))))"""
+    places = "transform(sequence(0, size(m)), i -> named_struct('a', if(i = 0, 0L, m[i - 1].end), 'b', if(i = size(m), bigint(length(t_)), m[i].start)))"
+    kept = f"""transform(array({merged}), m -> transform(array({chunks}), c -> array_join(transform({places}, x -> {part}), '{mark.replace("'", "\\'")}'))[0])[0]"""
+    docs, back = renamed(docs)
+    t = back.here(text)
+    df = scan(docs.withColumn("t_", F.col(t)), "t_", "s_")
+    return back(df.withColumn(t, F.expr(f"if(size(s_) = 0, t_, {kept})")))
