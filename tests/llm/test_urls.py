@@ -81,3 +81,11 @@ def test_scores_equal_a_plain_model(spark):
 def test_no_rule_and_no_rows(spark):
     assert {r.verdict for r in urls.judge(pages(spark, ["http://q.de/", None]), RULES).collect()} == {"allow"}
     assert urls.judge(pages(spark, []), RULES).count() == 0
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, f"http://a.com/en/{i}", 1, 2, 3, "x", 4) for i in range(5)] + [(9, "http://b.net/de/1", 1, 2, 3, "x", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, t long, i long, __row long, gram string, page_ long")
+    got = urls.judge(df, [("block", "com/en/"), ("allow", "net/de/")]).collect()
+    assert len(got) == 6 and {(r.t, r.i, r["__row"], r.gram, r.page_) for r in got} == {(1, 2, 3, "x", 4)}
+    assert {r.page_id: r.verdict for r in got} == {**{i: "block" for i in range(5)}, 9: "allow"}

@@ -10,7 +10,8 @@ any other. A gram is kept if it makes up MIN_SHARE of all grams at least, so the
 most, whatever the input, and may be broadcast.
 
 Null URL, or one without "://": empty host and path, no rule, judged by the model. Repeated rows: one output row each.
-No decided URLs of one kind: the model's verdict is allow. Empty table: no rows.
+No decided URLs of one kind: the model's verdict is allow. Empty table: no rows. Very long URL: as many rows as it has
+characters, for the time of scoring. Other columns pass through; those called as a result's column are replaced.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def longest_rule(rules: Sequence[tuple[str, str]], host: Column, path: Column) -
 
 
 def _positions(urls: DataFrame) -> DataFrame:
-    """One row per character to predict: t is the framed text, i the place of the character in it."""
+    """One row per character to predict: t is the framed text, i the place of the character in it; urls has no such columns."""
     return urls.withColumn("t", F.concat(F.lit(START), "host", "path", F.lit(END))).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("t"))))
 
 
@@ -77,7 +78,7 @@ def train(decided: DataFrame) -> DataFrame:
 
 
 def score(urls: DataFrame, model: DataFrame, out: str = "score") -> DataFrame:
-    """urls (with host and path) plus the mean ratio per character. Each row is its own group, by a number that only groups."""
+    """urls (with host and path, and no t, i, __row or __g1 and so on) plus the mean ratio per character. Each row is its own group, by a number that only groups."""
     names = urls.columns
     rows = _positions(urls.withColumn("__row", F.monotonically_increasing_id()))
     best = F.lit(0.0)
@@ -89,9 +90,11 @@ def score(urls: DataFrame, model: DataFrame, out: str = "score") -> DataFrame:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
     """pages plus host, path, rule, verdict, score and threshold."""
-    host, path = host_and_path(F.col(url))
-    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score", "threshold")]
-    parsed = pages.select(*rest, host.alias("host"), path.alias("path"))
+    made = ("host", "path", "rule", "verdict", "score", "threshold")
+    host, path = host_and_path(F.col(url).alias("u"))
+    # All columns of pages stay in one, so that no name clashes with those of the grams.
+    rest = F.struct(*[c for c in pages.columns if c.lower() not in made], F.lit(True).alias("__any_page"))
+    parsed = pages.select(rest.alias("page_"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(rules, F.col("host"), F.col("path"))
     parsed = parsed.withColumn("rule", rule).withColumn("verdict", verdict)
     scored = materialize(score(parsed, train(parsed.filter("verdict is not null"))), "scored")
@@ -102,4 +105,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url")
         da, dr = max(a.dev, 1e-9), max(r.dev, 1e-9)
         limit = (a.mean * dr + r.mean * da) / (da + dr)
     own = F.when(F.col("score") < limit, "block").otherwise("allow") if limit is not None else F.lit("allow")
-    return scored.withColumn("verdict", F.coalesce("verdict", own)).withColumn("threshold", F.lit(limit).cast("double"))
+    done = scored.withColumn("verdict", F.coalesce("verdict", own)).withColumn("threshold", F.lit(limit).cast("double"))
+    return done.select("page_.*", *made).drop("__any_page")
