@@ -44,13 +44,29 @@ def test_edited_texts_and_likeness(rows):
     assert rows[1].fingerprint == "" and len(rows[10].fingerprint) == 8 * fingerprints.SAMPLES
 
 
-def test_collisions_follow_weights(spark):
-    pairs = [("x " * a + "y " * b, "x " * c + "z " * d) for a, b, c, d in ((3, 1, 1, 3), (5, 5, 5, 1), (1, 9, 9, 1))]
-    got = spark.createDataFrame([(i, t) for i, p in enumerate(pairs) for t in p], "id long, text string").transform(fingerprints.fingerprint)
-    by = {}
-    for r in got.collect():
-        by.setdefault(r.id, []).append(r.fingerprint)
-    assert all(len(x) == 2 for x in by.values())
+def test_collision_rate_is_the_weighted_similarity(spark):
+    # 400 pairs of weighted sets; the error of a rate over SAMPLES draws has a known size.
+    rng, pairs = random.Random(12), []
+    for i in range(400):
+        words = [f"p{i}w{j}" for j in range(rng.randint(2, 9))]
+        pairs.append([" ".join(w for w in words for _ in range(rng.choice([0, 1, 1, 2, 5, 20]))) or "only" for _ in range(2)])
+    rows = [(2 * i + k, t, 1, 2) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "id long, text string, sig long, __row long")).collect()}
+    assert all((r.sig, r["__row"]) == (1, 2) for r in got.values())
+    rate = lambda x, y: sum(x[k : k + 8] == y[k : k + 8] for k in range(0, len(x), 8)) / fingerprints.SAMPLES
+    errors = [(rate(got[2 * i].fingerprint, got[2 * i + 1].fingerprint) - (j := similarity(*p)), j * (1 - j) / fingerprints.SAMPLES) for i, p in enumerate(pairs)]
+    mean, expected = sum(e for e, _ in errors) / len(errors), sum(v for _, v in errors) / len(errors)
+    assert abs(mean) < 4 * (expected / len(errors)) ** 0.5
+    assert 0.8 < (sum(e * e for e, _ in errors) / len(errors) / expected) ** 0.5 < 1.2
+
+
+def test_keys_that_are_texts_or_fractions(spark):
+    for kind, key in (("string", lambda i: f"doc-{i:04d}"), ("double", lambda i: i / 4 - 3)):
+        docs = spark.createDataFrame([(key(i), f"text {i} of many words") for i in range(300)], f"k {kind}, text string").repartition(5)
+        got = {r.k: r.edited_sha256 for r in fingerprints.with_edited(docs, "k").collect()}
+        for i in range(300):
+            t, after = (f"text {x} of many words" for x in (i, (i + 1) % 300))
+            assert got[key(i)] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
 
 
 def test_quantiles_invert_the_distribution():
