@@ -51,3 +51,9 @@ def test_null_keys_repeated_rows_and_empty(spark):
     assert sorted((str(r.doc_id), r.template) for r in lic.scan(docs).collect()) == [("1", "MIT"), ("None", "MIT")]
     assert lic.scan(docs.limit(0)).count() == 0
     assert lic.scan(docs, {}).count() == 0
+
+
+def test_a_short_template_at_the_very_beginning(spark):
+    rows = [(i, f"Released under the MIT License {' '.join(f'w{i}x{j}' for j in range(9))}") for i in range(4000)]
+    got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), {"MIT": lic.TEMPLATES["MIT"]})
+    assert got.count() == len(rows)

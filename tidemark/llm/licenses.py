@@ -12,6 +12,8 @@ Only DataFrame operations: word hashes are made once for a text, windows and ban
 generated loop, and only those that meet a template leave it. The table of templates is a parameter; it is broadcast, as
 its size does not depend on the data.
 
+A text's first two shingles are in a window less than the others; where a template's only shingle is there, a shorter window
+ahead of the text makes up for it. Very long text: its words are rows inside one task and are never collected.
 Null text, or one with fewer than five words: no matches. Null key: kept. Rows with equal key and text give one result.
 Empty table, or no templates: no rows.
 """
@@ -92,9 +94,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, key: str = "
 
     hashed = _hashed(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("v"), F.col(text).alias("t")), "t").filter(F.size("h") >= SHINGLE)
     last = F.size("h") - SHINGLE
-    starts = hashed.select("k", "v", "h", F.explode(F.sequence(F.lit(0), last, F.lit(STEP))).alias("i"))
-    # A window at the end of the text has fewer shingles: its first one stands in for those that are missing.
-    window = [_shingle(F.col("i") + F.when(F.col("i") + j <= last, j).otherwise(0)).alias(f"s{j}") for j in range(WINDOW)]
+    # The window at -STEP holds the first places only, so that these are in as many windows as any other.
+    starts = hashed.select("k", "v", "h", F.explode(F.sequence(F.lit(-STEP), last, F.lit(STEP))).alias("i"))
+    # A window at either end of the text has fewer shingles: its first or last one stands in for those that are missing.
+    window = [_shingle(F.least(F.greatest(F.col("i") + j, F.lit(0)), F.greatest(last, F.lit(0)))).alias(f"s{j}") for j in range(WINDOW)]
     banded = starts.select("k", "v", *window).select("k", "v", *[f"s{j}" for j in range(WINDOW)], _bands())
     met = banded.select("k", "v", _least([F.col(f"s{j}") for j in range(WINDOW)], F.col("band")).alias("m")).join(F.broadcast(keys), "m")
     candidates = met.groupBy("k", "v", "template").agg(F.count(F.lit(1)).alias("bands"))
