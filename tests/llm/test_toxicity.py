@@ -95,3 +95,54 @@ def test_no_labels_and_no_rows(spark, scored):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in tx.score(docs, tx.fit(docs, none)).collect()} == {0.0}
     assert tx.score(docs.limit(0), tx.fit(docs.limit(0), none)).count() == 0
+
+
+def test_scores_equal_a_plain_version(spark):
+    def one_off(a, b):
+        """Whether one letter wrong, too many or too few makes b of a."""
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    rng = random.Random(31)
+    plain = ["".join(rng.choices("bcdfglmnprst", k=rng.randint(3, 8))) for _ in range(200)]
+    bad = ["zonker", "blimfat", "quargly"]
+    rows = []
+    for i in range(400):
+        words = rng.choices(plain, k=rng.randint(0, 60))
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 4)):
+                w = rng.choice(bad)
+                if rng.random() < 0.3:
+                    k = rng.randrange(len(w))
+                    w = rng.choice([w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "x" + w[k + 1 :]])
+                words.insert(rng.randint(0, len(words)), rng.choice([w, w, f'said "{w}"']))
+        rows.append((i, " ".join(words) if i else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = tx.fit(docs, labels)
+    lexicon = model.lexicon
+    for r in tx.score(docs, model).collect():
+        words = tx.words_of(rows[r.doc_id][1])
+        kinds = []
+        for w in map(tx.plain, words):
+            if any(w.startswith(s) for s in lexicon.stems):
+                kinds.append(tx.STEM)
+            elif w in lexicon.words:
+                kinds.append(tx.EXACT)
+            else:
+                near = len(w) >= tx.LONG - 1 and w not in lexicon.clean and any(len(x) >= tx.LONG and one_off(w, x) for x in lexicon.words)
+                kinds.append(tx.NEAR if near else 0)
+        n = {}
+        for i, k in enumerate(kinds):
+            before, after = set(words[max(0, i - tx.WINDOW) : i]), set(words[i + 1 : i + 1 + tx.WINDOW])
+            quoted = bool(before & tx.QUOTES and after & tx.QUOTES) or bool(before & tx.REPORTING)
+            n[k, quoted] = n.get((k, quoted), 0) + 1
+        abuse = sum(n.get((k, False), 0) for k in (1, 2, 3))
+        near, stems = n.get((tx.NEAR, False), 0), n.get((tx.STEM, False), 0)
+        quoted = sum(n.get((k, True), 0) for k in (1, 2, 3))
+        x = [1, abuse > near, np.log1p(abuse - near), np.log1p(near), np.log1p(stems), np.log1p(quoted), 100 * abuse / (len(words) + 50)]
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))) < 1e-9

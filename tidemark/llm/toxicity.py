@@ -1,6 +1,8 @@
 """Toxicity scores: a learnt lexicon, met with spelling errors, and windows that tell quotation from abuse.
 
-The lexicon holds words and stems (prefixes) that occur in far more toxic than clean labelled texts. It is a trie; a
+The lexicon holds words and stems (prefixes) that occur in far more toxic than clean labelled texts, and in a share of
+MIN_TOXIC of the toxic ones and MIN_TEXTS of them at least; so it has no more entries than 1 / MIN_TOXIC times what a
+toxic text holds on average, whatever the input. It is a trie; a
 Levenshtein automaton runs along it. The product is made deterministic while it is used: a state is a set of trie nodes
 with the errors spent so far, a word costs one dictionary look-up per letter, and words that are no near match die after
 a few letters. Words of LONG letters or more may have one error (a wrong, extra or missing letter); stems none. Words
@@ -12,7 +14,8 @@ those with the least hashes. Labels never enter a score otherwise; held-out rows
 
 Null or empty text: no matches, so the score of a text without any. Null key: its text for the split is empty. Repeated
 rows: one output row each; repeated labels of a key: the largest. No labels of one kind: every score is the share of
-toxic labels (none: 0). Empty table: no rows.
+toxic labels (none: 0). Empty table: no rows. Very long text: one row of one task, read once. Other columns pass through;
+those called as a result's column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc32_mod, materialize, with_fields
 from tidemark.shipping import ship
 
-FIT_ROWS, MIN_TEXTS, MIN_TOXIC, MAX_ENTRIES = 50_000, 4, 0.02, 2000
+FIT_ROWS, MIN_TEXTS, MIN_TOXIC = 50_000, 4, 0.02
 LONG, WINDOW, STEMS = 5, 4, range(4, 8)
 #: Words that a task remembers, and terms that it counts, before it starts anew.
 MEMORY = 150_000
@@ -216,7 +219,7 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
     stems = {t[1:]: n for t, n, c in rows if t[0] == "^" and odds(n, c) >= STEM_ODDS and n > 1.2 * best.get(t[1:], 0)}
     # A longer stem of a chosen one says nothing more.
     kept = [s for s in sorted(stems, key=lambda s: (len(s), s)) if not any(s[:k] in stems for k in STEMS if k < len(s))]
-    words = [w for w in words if not any(w.startswith(s) for s in kept)]
+    # Words of a stem stay, as a stem takes no error and they do.
     return Lexicon(sorted(words), sorted(kept))
 
 
@@ -255,14 +258,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not toxic or not clean:
         return Model(Lexicon([], []), np.zeros(7), toxic / (toxic + clean) if toxic + clean else 0.0)
     likely = counts.filter((F.col("toxic") >= max(MIN_TEXTS, MIN_TOXIC * toxic)) & (F.col("toxic") * (clean + 1.0) > F.col("clean") * (toxic + 1.0) * math.exp(WORD_ODDS)) & (F.col("term") != "^"))
-    lexicon = choose([tuple(r) for r in likely.orderBy(F.desc("toxic"), "term").limit(MAX_ENTRIES).collect()], toxic, clean)
+    lexicon = choose([tuple(r) for r in likely.collect()], toxic, clean)
     first = spark.sparkContext.broadcast(lexicon)
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([t for t in b.column(0).to_pylist() if first.value.match(t) == NEAR], "string")], names=["term"])
 
-    # Words of clean texts that a misspelling would hit: a few for each letter of the lexicon.
+    # Words of clean texts that a misspelling would hit: a few for each letter of the lexicon, among those of FIT_ROWS texts.
     near = counts.filter("clean > 0 and substr(term, 1, 1) <> '^'").select("term").mapInArrow(spelt, "term string").collect()
     lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r.term for r in near))
     full = spark.sparkContext.broadcast(lexicon)
