@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is written as Parquet
 and read again. All but the last return the columns of documents.
+
+Every stage keeps null texts and empty ones (toxicity scores them as texts without any match, near-duplicate detection
+links them with nothing, redaction leaves them, packing makes one end token of them), takes very long texts whole, works on
+empty tables, and passes other columns on whatever their names. Null doc_ids are kept; of repeated ones each row counts.
 """
 
 from __future__ import annotations
