@@ -45,6 +45,20 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     assert nearest.search(frame(spark, []), F.col("id") == 0).count() == 0
 
 
+def test_fewer_curves_do_on_vectors_with_structure(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = nearest.search(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "double").repartition(8), F.col("id") % 500 == 0, k=10, n_curves=16, share=0.03).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:10]) & set(found.vec_id))
+    assert hits / 400 >= 0.9
+
+
 def test_hilbert_curve_visits_neighbours_in_turn():
     for d, bits in ((2, 4), (3, 3)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=d)))

@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by largest inner product, along shifted Hilbert curves.
 
-CURVES times, vectors are projected to DIMS random directions, shifted at random and put in the order of a Hilbert curve.
-Each order is cut into blocks of equal numbers of rows by quantiles of a sample; a query meets the blocks around its own
-place, SHARE of all rows. The best of a block are scored in double precision on the original vectors; the best of all
-blocks of all curves are merged. On vectors without any structure a share of the rows this large is what a recall above
-0.9 takes; blocks have BLOCK rows at most, more rows make more blocks.
+CURVES times, vectors are projected to DIMS directions, shifted at random and put in the order of a Hilbert curve. The
+directions of as many curves as fit are those of one random rotation, so that these curves look at different parts of a
+vector. Each order is cut into blocks of equal numbers of rows by quantiles of a sample; a query meets the blocks around
+its own place, SHARE of all rows. The best of a block are scored in double precision on the original vectors; the best of
+all blocks of all curves are merged. Blocks have BLOCK rows at most, more rows make more blocks.
+
+Work for a query is CURVES * SHARE = 0.6 of the rows, some of them met on several curves, so a full scan is less than
+twice as dear; below 100 * LEAST rows it is even cheaper. On vectors without any structure a recall above 0.9 takes that
+much; where vectors have some, fewer curves and a smaller share (parameters of search()) do.
 
 Equal vectors are one candidate: it stands for its `k + 1` smallest ids, which are all that can be among the k nearest.
 So a vector that a third of all rows have is one row of a block. If many different vectors share a place on a curve, its
@@ -17,6 +21,7 @@ is left out. No valid vectors: no rows. SAMPLE bounds the rows used to place cut
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +33,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 from tidemark.shipping import ship
 
-CURVES, DIMS, BITS, SHARE, SAMPLE = 32, 8, 4, 0.03, 20_000
-#: Blocks of a curve, and the least and most rows of a block.
-BLOCKS, LEAST, BLOCK = 100, 128, 8192
+CURVES, DIMS, BITS, SHARE, SAMPLE = 40, 8, 4, 0.015, 20_000
+#: The least and most rows of a block; a query meets its own block and one on either side, or more where that is less than its share.
+LEAST, BLOCK = 64, 8192
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,15 +69,18 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """The projections and shifts, with the cuts between the blocks of each curve."""
 
-    def __init__(self, sample: np.ndarray, rows: int, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, curves: int = CURVES, share: float = SHARE, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         size = sample.shape[1]
         self.dims = min(DIMS, size)
-        self.count = max(1, min(BLOCKS, rows // LEAST), -(-rows // BLOCK))
-        self.reach = max(1, int(np.ceil((SHARE * self.count - 1) / 2)))
+        self.count = max(1, min(math.ceil(3 / share), rows // LEAST), -(-rows // BLOCK))
+        self.reach = max(1, int(np.ceil((share * self.count - 1) / 2 - 1e-9)))
         self.ways, self.low, self.width, self.cuts = [], [], [], []
-        for _ in range(CURVES):
-            way = np.linalg.qr(rng.normal(size=(size, size)))[0][:, : self.dims]
+        for c in range(curves):
+            part = c % (size // self.dims)
+            if part == 0:
+                turn = np.linalg.qr(rng.normal(size=(size, size)))[0]
+            way = turn[:, part * self.dims : (part + 1) * self.dims]
             y = sample @ way
             spread = np.maximum(y.std(0), 1e-12)
             self.ways.append(way)
@@ -109,7 +117,7 @@ def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long"), vector).mapInArrow(work, "id long, v binary")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", n_curves: int = CURVES, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which the condition on `id` holds, its k nearest other rows."""
     spark = vectors.sparkSession
     ship(spark)
@@ -127,7 +135,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     picked = distinct.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    curves = spark.sparkContext.broadcast(Curves(np.frombuffer(b"".join(picked), "<f8").reshape(-1, size), rows))
+    curves = spark.sparkContext.broadcast(Curves(np.frombuffer(b"".join(picked), "<f8").reshape(-1, size), rows, n_curves, share))
     narrow = vectors.schema[vector].dataType.elementType.typeName() == "float"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +146,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 x = np.frombuffer(b"".join(b.column("v").to_pylist()), "<f8").reshape(-1, size)
                 vid, asked = b.column("vid").to_numpy(), b.column("asked").to_numpy(zero_copy_only=False)
                 raw = pa.array([v.tobytes() for v in (x.astype("<f4") if narrow else x)], "binary")
-                for c in range(CURVES):
+                for c in range(n_curves):
                     first, last = at.blocks(x, c)
                     block = first + (vid * 2654435761 + c) % (1 << 31) % (last - first + 1)
                     row, role, to = [np.arange(len(x))], [np.zeros(len(x), "i4")], [block]
