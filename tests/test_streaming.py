@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.__main__ import main
 from tidemark.plans import config
+from tidemark.sources import files
 from tidemark.streaming import ordering
 from tidemark.streaming.audit import Audit, Lifecycle
 from tidemark.operators.sequence import Tracker
@@ -124,3 +126,71 @@ def test_changes_after_a_restart_within_an_epoch_are_applied(spark, tmp_path):
     assert got.findings.count() == 0
     row = got.publishers.first()
     assert (row.restarts, row.high, row.missing) == (1, 3, 0)
+
+
+def test_watch_confirms_what_a_second_look_still_finds(spark, tmp_path):
+    from tidemark.streaming.watch import Watch
+
+    spec = config.load("source: {type: file_stream}\npolicy: {window: 5, sweep: 8s}\n")
+    event = lambda p, s, k, v, **x: json.dumps({"publisher": p, "epoch": 1, "seq": s, "op": "set", "key": k, "value": v, "ts": "2026-01-01T00:00:00Z"} | x)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": {"a": "1", "b": "old", "x": "left over"}}))
+    w = Watch(spark, str(tmp_path / "audit"), spec, str(tmp_path / "store.json"))
+
+    def step(number, minute, lines):
+        (tmp_path / f"f{number}").write_text("\n".join(lines))
+        w.now = F.expr(f"timestamp_ntz'2026-01-01 00:{minute:02d}:00'")
+        w.batch(files.lines(spark, str(tmp_path / f"f{number}")), number)
+        return w.status()[-1]
+
+    one = step(0, 1, [event("p", 1, "a", "1"), event("p", 2, "b", "2"), event("p", 3, "c", "3"), "{broken", event("p", 4, "d", "4", op="frob")])
+    assert (one["applied"], one["decode_errors"], one["divergent"], one["queue"], one["episodes"]) == (3, 2, 3, 3, 0)
+    # b is caught up with, c and x stay wrong; a publisher that lost numbers 4 to 8.
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": {"a": "1", "b": "2", "x": "left over"}}))
+    two = step(1, 2, [event("p", 9, "a", "1"), event("p", 9, "a", "1")])
+    assert (two["missing"], two["confirmed"], two["received"], two["applied"]) == (5, 1, 2, 1)  # c rests on a stream with a gap, so it is not confirmed
+    again = step(1, 2, [event("p", 9, "a", "1"), event("p", 9, "a", "1")])  # the batch once more
+    assert again == two
+    three = step(2, 3, [event("p", 1, "c", "3", epoch=2), event("p", 2, "c", "4", epoch=2)])
+    assert (three["restarts"], three["missing"], three["episodes"]) == (1, 0, 1)
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": {"a": "1", "b": "2", "c": "4"}}))
+    four = step(3, 4, [event("p", 3, "e", "", epoch=2, op="delete")])
+    assert (four["divergent"], four["episodes"], four["resolved"]) == (0, 0, 1)
+
+
+def test_watch_on_the_command_line_takes_sets_and_ends(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    events = [{"publisher": "p", "epoch": 1, "seq": i + 1, "op": op, "key": k, "member": m, "ts": "2026-01-01T00:00:00Z"} for i, (k, op, m) in enumerate([("a", "add", "x"), ("a", "add", "y"), ("b", "add", "z")])]
+    for i, e in enumerate(events):
+        (tmp_path / "in" / f"{i}.jsonl").write_text(json.dumps(e))
+    (tmp_path / "store.jsonl").write_text("\n".join(json.dumps(x) for x in ({"key": "a", "stored_type": "set", "members": ["y", "x"]}, {"key": "b", "stored_type": "set", "members": ["z", "w"]})))
+    (tmp_path / "spec.yaml").write_text("source: {type: file_stream}\nprojection: {type: set}\n")
+    at = ["--spec", f"{tmp_path}/spec.yaml", "--events", f"{tmp_path}/in", "--folder", f"{tmp_path}/audit", "--store", f"{tmp_path}/store.jsonl", "--once"]
+    before = (tmp_path / "store.jsonl").read_bytes()
+    assert main(["watch", *at]) == 3
+    assert "member_mismatch" in capsys.readouterr().out
+    assert (tmp_path / "store.jsonl").read_bytes() == before and sorted(x.name for x in tmp_path.iterdir()) == ["audit", "in", "spec.yaml", "store.jsonl"]
+
+
+def test_extras_explanations_and_widths(spark, tmp_path, capsys):
+    from tidemark.plans import run
+
+    events = [{"seq": i + 1, "op": "set", "key": k, "value": v} for i, (k, v) in enumerate([("a", "1"), ("b", "2"), ("k" * 200, "w" * 300)])]
+    got = _compare(spark, tmp_path, "scalar", events, {"scalars": {"a": "1", "x": "9"}, "sets": {"b": ["m"]}})
+    assert {(r.key[:1], r.category) for r in got.findings.collect()} == {("x", "extra_in_target"), ("b", "type_mismatch"), ("k", "missing_in_target")}
+    code = lambda key: {d["code"] for d in run.explanation(got, key)["diagnoses"]}
+    assert (run.explanation(got, "a")["verdict"], code("a")) == ("agrees", {"AGREE"})
+    assert code("x") == {"EXTRA_IN_TARGET", "NO_HISTORY"} and code("b") == {"TYPE_MISMATCH"} and code("k" * 200) == {"MISSING_IN_TARGET_NO_GAPS"}
+    assert run.explanation(got, "nowhere")["verdict"] == "unknown"
+    assert all(len(x) <= 100 for x in run.explain_key(got, "k" * 200).splitlines())
+    members = _compare(spark, tmp_path, "set", [{"seq": 1, "op": "add", "key": "s", "member": "m"}, {"seq": 2, "op": "add", "key": "s", "member": "n"}], {"sets": {"s": ["m"]}})
+    assert "MEMBER_SUBSET" in {d["code"] for d in run.explanation(members, "s")["diagnoses"]}
+
+
+def test_text_helpers():
+    from tidemark.functions import text
+
+    assert [text.clip("abcdef", n) for n in (6, 4, 1, 0)] == ["abcdef", "abc…", "…", ""]
+    assert text.clip_middle("abcdefgh", 5) == "ab…gh" and text.clip_middle("ab", 5) == "ab"
+    assert text.wrap("one two three", 8, "  ") == ["one two", "  three"] and text.wrap("") == [""]
+    assert [text.plural(n, "key") for n in (0, 1, 2)] == ["0 keys", "1 key", "2 keys"] and text.plural(2, "entry", "entries") == "2 entries"

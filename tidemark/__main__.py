@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 VERSION = "0.1.0"
@@ -21,6 +22,7 @@ def main(args: list[str] | None = None) -> int:
             c.add_argument("key")
         if name == "watch":
             c.add_argument("--folder", required=True)
+            c.add_argument("--once", action="store_true", help="take what is there, sweep, and end")
     sub.add_parser("version")
     a = p.parse_args(args)
     if a.command == "version":
@@ -35,24 +37,26 @@ def main(args: list[str] | None = None) -> int:
         return 2
     for w in spec.warnings():
         print(f"warning: {w}", file=sys.stderr)
-    if a.command == "watch" and spec.projection.get("type") != "scalar":
-        print("watch audits scalars only", file=sys.stderr)
-        return 2
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "watch":
-        from pyspark.sql import functions as F
-
+        from tidemark.operators import reconcile
         from tidemark.sources import files
-        from tidemark.streaming.audit import Audit
+        from tidemark.streaming.watch import Watch
 
-        changes = run.decode(files.line_stream(spark, a.events), spec).filter("err is null").withColumn("arrival", F.col("seq").cast("long"))
-        Audit(spark, a.folder).start(changes, f"{a.folder}/checkpoint").awaitTermination()
-        return 0
+        audit = Watch(spark, a.folder, spec, a.store)
+        audit.start(files.line_stream(spark, a.events), a.once).awaitTermination()
+        for line in audit.status():
+            print(json.dumps(line))
+        if not a.store:
+            return 0
+        for r in reconcile.report(audit.findings()).collect():
+            print(f"{r.category:<20}{r.n:>8}  suspect {r.suspect}")
+        return 3 if audit.findings().filter("trust <> 'suspect'").count() else 0
     result = run.compare(spark, spec, a.events, a.store)
     if a.command == "explain":
-        print(run.explain_key(result, a.key))
+        print(json.dumps(run.explanation(result, a.key), default=str) if a.output == "json" else run.explain_key(result, a.key))
         return 0
     print(result.json() if a.output == "json" else result.text())
     return 3 if result.alertable else 0

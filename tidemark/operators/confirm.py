@@ -16,6 +16,14 @@ def candidates(findings: DataFrame, waiting: DataFrame | None = None, most: int
     return new.orderBy("first_seen", "key").limit(most)
 
 
+def overflow(findings: DataFrame, waiting: DataFrame | None = None, most: int = MAX_QUEUE) -> DataFrame:
+    """dropped: how many disagreements candidates() leaves out, as the queue is full."""
+    new = findings.select("key")
+    if waiting is not None:
+        new = new.join(waiting.select("key"), "key", "left_anti").unionByName(waiting.select("key"))
+    return new.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("dropped"))
+
+
 def outcomes(queue: DataFrame, state: DataFrame, store: DataFrame) -> DataFrame:
     """queue with an outcome at a later look: key_evicted, oracle_advanced, read_failed, suspect, resolved or confirmed, in this order."""
     now = state.select("key", F.col("version").alias("v2"), F.col("value").alias("e2"), F.col("kind").alias("k2"), F.col("trust").alias("t2"))

@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 HIGH_PRESSURE = 90
+# The codes of diagnoses. What they say is ours.
+SAYS = {
+    "AGREE": "the store holds what is expected, and the key is settled",
+    "IN_FLIGHT": "the key changed within the settlement window, so a difference may be lag",
+    "SEQ_GAP_AFFECTING_PUBLISHER": "its publisher's stream lost numbers, so the expectation may lack a change",
+    "MISSING_IN_TARGET_NO_GAPS": "nothing was lost on the way to the auditor, yet the store lacks the key",
+    "EXTRA_IN_TARGET": "the store holds a key that no change explains",
+    "PUBLISHER_RESTARTED": "its publisher started again, so changes before may have been lost",
+    "TARGET_EVICTION_LIKELY": "the store is full and evicts keys",
+    "TARGET_EVICTION_POSSIBLE": "the store has evicted keys",
+    "TTL_EXPIRED": "the key's lifetime is over",
+    "TYPE_MISMATCH": "the store holds another type under this key",
+    "CLOCK_SKEW_HIGH": "its publisher's clock is further off than the settlement window",
+    "MEMBER_SUBSET": "the stored set only lacks members: changes did not arrive",
+    "MEMBER_SUPERSET": "the stored set only has more members: removals did not arrive",
+    "HISTORY_TRUNCATED": "there were more changes than the history keeps",
+    "NO_HISTORY": "no change of this key was seen",
+}
 
 
 def verdict(c: dict[str, Column]) -> Column:

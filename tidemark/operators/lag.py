@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, CAP_US, WINDOW_ROWS = 200, 60_000_000, 10_000
+# Bounds of a histogram's buckets in milliseconds.
 BUCKETS_MS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10_000, 30_000, 60_000, 120_000)
 
 

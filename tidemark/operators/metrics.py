@@ -16,6 +16,13 @@ oracle_keys oracle_settled_keys oracle_inflight_keys oracle_never_settled_keys t
 suspect_divergent_keys advisory_divergent_keys drift_duration_seconds confirm_queue_depth sweep_keys_compared coverage_ratio
 settlement_window_seconds source_connected build_info checks_active""".split()
 HISTOGRAMS = "oracle_apply_duration_seconds target_read_duration_seconds sweep_duration_seconds convergence_seconds".split()
+# Names of metrics, with the field of a status row that each shows and the factor between their units.
+OF_STATUS = {
+    "events_received_total": ("received", 1), "seq_gaps_total": ("gap_events", 1), "seq_missing_events": ("missing", 1), "publisher_restarts_total": ("restarts", 1),
+    "publishers_tracked": ("publishers", 1), "oracle_keys": ("keys", 1), "oracle_settled_keys": ("settled", 1), "oracle_inflight_keys": ("in_flight", 1), "oracle_never_settled_keys": ("never_settled", 1),
+    "divergent_keys": ("divergent", 1), "suspect_divergent_keys": ("suspect", 1), "confirm_queue_depth": ("queue", 1), "confirm_queue_dropped_total": ("queue_dropped", 1),
+    "sweep_keys_compared": ("settled", 1), "coverage_ratio": ("coverage", 1), "settlement_window_seconds": ("window_us", 1e-6), "target_keyspace_size": ("stored", 1),
+}
 PHASES = ("Paused", "AwaitingSnapshot", "Failed", "Degraded", "Watching")
 
 
@@ -27,6 +34,11 @@ def long_form(row: DataFrame, labels: Column | None = None) -> DataFrame:
     return row.select(label.alias("label"), pairs.alias("p")).select("p.name", "label", "p.value")
 
 
+def of_status(row: DataFrame) -> DataFrame:
+    """name, label, value: the metrics that a status row gives, by their public names."""
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit("").alias("label"), (F.col(c).cast("double") * k).alias("value")) for n, (c, k) in OF_STATUS.items()])))
+
+
 def bounded_labels(rows: DataFrame, label: str, first: str, most: int = MAX_LABELS) -> DataFrame:
     """rows with all labels but the first so many (by when they were first seen) replaced by __other__."""
     seen = rows.groupBy(label).agg(F.min(first).alias("__f")).orderBy("__f", label).limit(most).select(label, F.lit(True).alias("__own"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import saturating
@@ -48,9 +48,11 @@ def members(events: DataFrame, order: str = "arrival", delimiter: str = ",") ->
 
 
 def as_sets(rows: DataFrame, most: int = MAX_MEMBERS) -> DataFrame:
-    """key, members (sorted, at most so many), size, truncated."""
-    found = rows.groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    return found.select("key", F.slice("members", 1, most).alias("members"), F.size("members").cast("long").alias("size"), (F.size("members") > most).alias("truncated"))
+    """key, members (sorted, at most so many), size, truncated. Members are ranked, and cut to so many, before they are put together."""
+    w = Window.partitionBy("key").orderBy("member")
+    ranked = rows.withColumn("__n", F.row_number().over(w))
+    found = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("__n") <= most, F.col("member")))).alias("members"), F.max("__n").cast("long").alias("size"))
+    return found.withColumn("truncated", F.col("size") > most)
 
 
 @register("counter")
@@ -70,9 +72,22 @@ def increments(events: DataFrame) -> DataFrame:
     return events.filter("op = 'incr'").groupBy("key").agg(saturating(F.sum(F.col("delta").cast("decimal(38,0)"))).alias("value"))
 
 
-def exact_counter(events: DataFrame, order: str = "arrival") -> DataFrame:
-    """key, value: a counter that saturates at every step, not only at the end; for keys near the ends of the range."""
-    ops = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "op", "delta", F.col("value").try_cast("long").alias("v"))))
-    step = """aggregate(ops, cast(null as decimal(38,0)), (a, x) -> case x.op when 'delete' then null when 'set' then coalesce(cast(x.v as decimal(38,0)), a)
-        else least(greatest(coalesce(a, 0) + x.delta, -9223372036854775808), 9223372036854775807) end)"""
-    return events.filter("op in ('incr', 'set', 'delete')").groupBy("key").agg(ops.alias("ops")).select("key", F.expr(f"cast({step} as bigint)").alias("value")).filter("value is not null")
+def exact_counter(events: DataFrame, order: str = "arrival", block: int = 1_000_000) -> DataFrame:
+    """key, value: a counter that saturates at every step, not only at the end; for keys near the ends of the range.
+
+    What a run of changes does to a number is to add and then to keep within two limits, so runs can be put together: those
+    of each block of the order first, then the blocks of each key.
+    """
+    d = "decimal(38,0)"
+    lo, hi = f"cast('-9223372036854775808' as {d})", f"cast('9223372036854775807' as {d})"
+    made = lambda add, low, high, dead: f"named_struct('add', cast({add} as {d}), 'lo', cast({low} as {d}), 'hi', cast({high} as {d}), 'dead', {dead})"
+    kept = lambda x, low, high: f"least(greatest({x}, {low}), {high})"
+    same = made(0, lo, hi, "cast(null as boolean)")  # no change yet
+    # A set is a number whatever was before; a deleted counter is nothing, and counts from 0 if it is written again.
+    own = f"case op when 'delete' then {made(0, 0, 0, 'true')} when 'set' then if(v is null, {same}, {made(0, 'v', 'v', 'false')}) else {made('delta', lo, hi, 'false')} end"
+    then = made("a.add + x.f.add", kept("a.lo + x.f.add", "x.f.lo", "x.f.hi"), kept("a.hi + x.f.add", "x.f.lo", "x.f.hi"), "coalesce(x.f.dead, a.dead)")
+    fold = f"aggregate(array_sort(collect_list(struct(i, f))), {same}, (a, x) -> {then})"
+    ops = events.filter("op in ('incr', 'set', 'delete')").select("key", "op", "delta", F.col("value").try_cast("long").alias("v"), F.col(order).alias("i"), F.floor(F.col(order) / block).alias("b"))
+    blocks = ops.withColumn("f", F.expr(own)).groupBy("key", "b").agg(F.expr(fold).alias("f")).withColumnRenamed("b", "i")
+    whole = blocks.groupBy("key").agg(F.expr(fold).alias("f"))
+    return whole.filter("not f.dead").select("key", F.expr(f"cast({kept('f.add', 'f.lo', 'f.hi')} as bigint)").alias("value"))

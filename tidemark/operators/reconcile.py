@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Kinds of disagreement, in the order of reports.
 CATEGORIES = ("missing_in_target", "extra_in_target", "value_mismatch", "member_mismatch", "type_mismatch", "ttl_mismatch", "counter_mismatch")
 MAX_FINDINGS, MAX_LISTED = 10_000, 20
 TTL_TOLERANCE_US = 5_000_000
@@ -23,6 +24,11 @@ def typed(store: DataFrame, shape: str) -> DataFrame:
     return store.select("key", kind.alias("kind"), members.alias("members"), "stored_type")
 
 
+def shown(shape: str) -> Column:
+    """The value of a typed read as text: sets as their sorted members in JSON, counters as their digits."""
+    return F.to_json("members") if shape == "set" else F.col("counter").cast("string") if shape == "counter" else F.col("value")
+
+
 def category(e_kind: Column, s_kind: Column, equal: Column, adopted: Column, suppressed: Column) -> Column:
     """What differs between expected and stored, or null. Kinds may be null or absent for a key that is not there."""
     gone, here = F.coalesce(e_kind, F.lit("absent")), F.coalesce(s_kind, F.lit("absent"))
@@ -41,8 +47,7 @@ def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar") -> DataFram
 
     Values of sets are their sorted members as JSON, those of counters their digits.
     """
-    value = F.to_json("members") if shape == "set" else F.col("counter").cast("string") if shape == "counter" else F.col("value")
-    read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), value.alias("s_value"))
+    read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), shown(shape).alias("s_value"))
     rows = state.filter("is_settled and trust <> 'adopted'").join(read, "key", "left")
     found = rows.withColumn("category", category(F.col("kind"), F.col("s_kind"), F.col("value").eqNullSafe(F.col("s_value")), F.lit(False), F.lit(False)))
     return found.filter("category is not null").select("key", "category", "trust", F.col("value").alias("expected"), F.col("s_value").alias("stored"), "version", "user_id")

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import projections
+from tidemark.operators.sequence import running
 
 RING, NEVER_SETTLED = 16, 10
 
 
 def effective(events: DataFrame, order: str = "arrival") -> DataFrame:
-    """Scalar changes that change something: deleting an absent key is none. Adds prev_op and prev_value."""
-    w = Window.partitionBy("key").orderBy(order)
-    found = events.filter("op in ('set', 'delete')").withColumns({"prev_op": F.lag("op").over(w), "prev_value": F.lag("value").over(w)})
-    return found.filter("op = 'set' or prev_op = 'set'")
+    """Scalar changes that change something: deleting an absent key is none. Adds prev_op and prev_value.
+
+    In blocks of the order, so that a key with a third of all changes is not one task.
+    """
+    found = running(events.filter("op in ('set', 'delete')"), ["key"], order, {"__p": F.struct(F.col(order).alias("at"), "op", "value")})
+    return found.withColumns({"prev_op": F.col("__p.op"), "prev_value": F.col("__p.value")}).drop("__p").filter("op = 'set' or prev_op = 'set'")
 
 
 def expected(events: DataFrame, order: str = "arrival") -> DataFrame:

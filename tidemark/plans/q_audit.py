@@ -260,18 +260,30 @@ def _(spark, d):
     return metrics.deltas(rows, ["user_id"], "event_id", "total").select("event_id", "delta")
 
 
-STATUS = A + """, status as (select (select count(*) from xs) as keys, (select count(*) from xs where is_settled) as settled, (select count(*) from findings where trust <> 'suspect') as divergent, (select count(*) from findings where trust = 'suspect') as suspect,
+STATUS = A + f""", status as (select (select count(*) from xs) as keys, (select count(*) from xs where is_settled) as settled, (select count(*) from xs where not is_settled) as in_flight,
+(select count(*) from xs, clock where not is_settled and created_at + to_microseconds({10 * sql.WINDOW_US}) < now) as never_settled, (select count(*) from xs where kind = 'absent') as tombstones, (select count(*) filter (is_settled) / count(*) from xs) as coverage,
+(select max(version) from xs) as most_versions, (select count(distinct publisher) from v) as publishers, (select count(*) from v where verdict = 'after_restart') as restarts, (select count(*) from v where verdict = 'duplicate') as duplicates,
+(select count(*) from v where verdict = 'stale_epoch') as stale, (select count(*) from v where verdict = 'late_fill') as late_fills, (select count(*) from v where verdict = 'with_gap') as gap_events, (select count(*) from gaps) as gap_intervals,
+(select count(*) from (select key from acc group by 1 having count(distinct publisher) > 1)) as multi_writers, (select count(*) from findings where category = 'missing_in_target') as missing_in_target, (select count(*) from findings where category = 'extra_in_target') as extra_in_target,
+(select count(*) from findings where category = 'value_mismatch') as value_mismatch, (select count(*) from findings where category = 'type_mismatch') as type_mismatch, (select least(count(*), 10000) from findings) as queue, (select greatest(count(*) - 10000, 0) from findings) as queue_dropped,
+(select count(*) from store) as stored, {sql.WINDOW_US} as window_us, (select count(*) from findings where trust <> 'suspect') as divergent, (select count(*) from findings where trust = 'suspect') as suspect,
 (select coalesce(cast(sum(hi - lo + 1) as bigint), 0) from gaps) as missing, (select count(*) from v) as received, (select count(*) from acc) as applied)"""
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
     judged = base.judged_once(spark, d)
-    counts = base.settled(spark, d).agg(F.count(F.lit(1)).alias("keys"), F.count_if("is_settled").alias("settled"))
-    found = base.findings(spark, d).agg(F.count_if(F.col("trust") != "suspect").alias("divergent"), F.count_if(F.col("trust") == "suspect").alias("suspect"))
-    lost = sequence.gaps(sequence.current(judged)).agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("missing"))
-    seen = judged.agg(F.count(F.lit(1)).alias("received"), F.count_if(sequence.accepted(F.col("verdict"))).alias("applied"))
+    settled = base.kept("settled", lambda: base.settled(spark, d))
+    counts = state.counts(settled, base.clock(spark, d), sql.WINDOW_US).join(F.broadcast(settled.agg(metrics.coverage(F.count_if("is_settled"), F.count(F.lit(1))).alias("coverage"), F.max("version").alias("most_versions"))))
+    findings = base.kept("findings", lambda: base.findings(spark, d))
+    of = lambda c: F.count_if(F.col("category") == c).alias(c)
+    found = findings.agg(F.count_if(F.col("trust") != "suspect").alias("divergent"), F.count_if(F.col("trust") == "suspect").alias("suspect"), *[of(c) for c in ("missing_in_target", "extra_in_target", "value_mismatch", "type_mismatch")], F.least(F.count(F.lit(1)), F.lit(confirm.MAX_QUEUE)).alias("queue"))
+    found = found.join(F.broadcast(confirm.overflow(findings).withColumnRenamed("dropped", "queue_dropped"))).join(F.broadcast(base.store(spark, d).agg(F.count(F.lit(1)).alias("stored"))))
+    lost = sequence.gaps(sequence.current(judged)).agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("missing"), F.count(F.lit(1)).alias("gap_intervals"))
+    with_verdict = lambda v, name: F.count_if(F.col("verdict") == v).alias(name)
+    seen = judged.agg(F.count(F.lit(1)).alias("received"), F.count_if(sequence.accepted(F.col("verdict"))).alias("applied"), F.countDistinct("publisher").alias("publishers"), with_verdict("after_restart", "restarts"), with_verdict("duplicate", "duplicates"), with_verdict("stale_epoch", "stale"), with_verdict("late_fill", "late_fills"), with_verdict("with_gap", "gap_events"))
+    writers = trust.multi_writers(judged.filter(sequence.accepted(F.col("verdict")))).agg(F.count(F.lit(1)).alias("multi_writers"))
     # Each side is one row.
-    return counts.join(F.broadcast(found)).join(F.broadcast(lost)).join(F.broadcast(seen))
+    return counts.join(F.broadcast(found)).join(F.broadcast(lost)).join(F.broadcast(seen)).join(F.broadcast(writers)).withColumn("window_us", F.lit(sql.WINDOW_US))
 
 
 @query("agg_15_status", STATUS + " select * from status")
@@ -279,9 +291,16 @@ def _(spark, d):
     return _status(spark, d)
 
 
-@query("agg_16_metrics", STATUS + " select name, '' as label, cast(value as double) as value from (unpivot status on keys, settled, divergent, suspect, missing, received, applied into name name value value)")
+_NAMED = ", ".join(f"('{c}', '{n}', {k})" for n, (c, k) in metrics.OF_STATUS.items())
+
+
+METRICS = STATUS + f""", u as (from (select * replace (cast(coverage as double) as coverage), cast(null as bigint) as none from status) unpivot (value for field in (columns(* exclude (none))))),
+shown as (select n.name, '' as label, cast(u.value as double) * n.k as value from (values {_NAMED}) n(field, name, k) join u on u.field = n.field)"""
+
+
+@query("agg_16_metrics", METRICS + " select * from shown")
 def _(spark, d):
-    return metrics.long_form(_status(spark, d))
+    return metrics.of_status(_status(spark, d))
 
 
 # Confirmation
@@ -439,9 +458,9 @@ def _(spark, d):
     return reconcile.ranked(base.findings(spark, d)).select("category", "key", "place")
 
 
-@query("snk_2_exposition", STATUS + " select concat(name, ' ', cast(cast(value as double) as varchar)) as line from (unpivot status on keys, settled, divergent, suspect, missing, received, applied into name name value value)")
+@query("snk_2_exposition", METRICS + " select concat(name, ' ', cast(value as varchar)) as line from shown")
 def _(spark, d):
-    return metrics.exposition(metrics.long_form(_status(spark, d)))
+    return metrics.exposition(metrics.of_status(_status(spark, d)))
 
 
 # Scalar functions

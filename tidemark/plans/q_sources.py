@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs
 from tidemark.functions.columns import parse_duration
+from tidemark.plans import base, sql
 from tidemark.plans.base import query
 from tidemark.sources import files
+from tidemark.streaming import faults
 
 RAW = """with p as (select event_id as id, case event_id % 9 when 0 then concat('{"publisher":"', event_type, '","seq":', cast(event_id as varchar), ',"op":"set","key":"k', cast(user_id as varchar), '","value":"v"}')
     when 1 then concat('{"publisher":"', event_type, '","seq":"', cast(event_id as varchar), '","op":"ADD","key":"","member":"m","extra":[1,{"x":"}"}]}') when 2 then concat('{"publisher":"', event_type, '","seq":', cast(event_id as varchar), '.0,"op":"set"}')
@@ -183,10 +185,79 @@ def _(spark, d):
     return files.signals(rows.select(F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 2 == 0, "reconnect").otherwise("idle_timeout").alias("reason")))
 
 
+# Perturbations: what each does to the stream, for drills
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return base.stream(spark, d).withColumn("payload", F.concat("key", F.lit("#"), F.col("event_id").cast("string")))
+
+
 @query("snk_9_dropped_stream", "select event_id from events where event_id % 37 <> 0 and not (event_id between 100 and 120)")
 def _(spark, d):
-    from tidemark.streaming import faults
+    return faults.drop_range(faults.drop_every(base.stream(spark, d), "event_id", 37), "event_id", 100, 120).select("event_id")
+
+
+@query("snk_9_dropped_share")
+def _(spark, d):
+    # Which rows go is a matter of Spark's hash.
+    return faults.drop_share(base.stream(spark, d), "event_id", 0.1).select("event_id")
+
+
+@query("snk_9_duplicated", sql.STREAM + " select event_id, arrival from st union all select event_id, arrival + 5000 from st where event_id % 50 = 0")
+def _(spark, d):
+    return faults.duplicate(base.stream(spark, d), "event_id", 50, 5000).select("event_id", "arrival")
+
+
+@query("snk_9_swapped", sql.STREAM + " select event_id, arrival + case when (event_id // 2) % 7 = 0 then case when event_id % 2 = 0 then 11 else -11 end else 0 end as arrival from st")
+def _(spark, d):
+    return faults.swap(base.stream(spark, d), "event_id", 7, 10).select("event_id", "arrival")
+
+
+@query("snk_9_delayed", sql.STREAM + " select event_id, arrival + case when publisher = (select min(publisher) from st) then 70000 else 0 end as arrival from st")
+def _(spark, d):
+    rows = base.stream(spark, d)
+    return faults.delay(rows, rows.agg(F.min("publisher")).scalar(), 70_000).select("event_id", "arrival")
+
+
+@query("snk_9_partitioned", sql.STREAM + " select event_id from st where not (publisher = (select min(publisher) from st) and arrival between 1000 and 30000)")
+def _(spark, d):
+    rows = base.stream(spark, d)
+    return faults.partition(rows, rows.agg(F.min("publisher")).scalar(), 1000, 30_000).select("event_id")
 
-    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("seq", F.col("event_id"))
-    return faults.drop_range(faults.drop_every(rows, "event_id", 37), "seq", 100, 120).select("event_id")
 
+@query("snk_9_corrupted", sql.STREAM + " select event_id, event_id % 13 = 0 as bad, length(concat(key, '#', cast(event_id as varchar))) + case when event_id % 13 = 0 then 1 else 0 end as n from st")
+def _(spark, d):
+    rows = faults.corrupt(_stream(spark, d), "event_id", 13)
+    return rows.select("event_id", F.col("payload").startswith("\x00").alias("bad"), F.length("payload").cast("long").alias("n"))
+
+
+@query("snk_9_truncated", sql.STREAM + " select event_id, case when event_id % 11 = 0 then left(concat(key, '#', cast(event_id as varchar)), 4) else concat(key, '#', cast(event_id as varchar)) end as payload from st")
+def _(spark, d):
+    return faults.truncate(_stream(spark, d), "event_id", 11, 4).select("event_id", "payload")
+
+
+@query("snk_9_oversized", sql.STREAM + " select event_id, length(concat(key, '#', cast(event_id as varchar))) + case when event_id % 17 = 0 then 3000 else 0 end as n, event_id % 17 = 0 as dropped from st")
+def _(spark, d):
+    rows = faults.oversize(_stream(spark, d), "event_id", 17, 3000)
+    return files.capped(rows, 2000).select("event_id", F.length("payload").cast("long").alias("n"), F.col("oversized").alias("dropped"))
+
+
+@query("snk_9_skewed", sql.STREAM + " select event_id, date_diff('microsecond', observed_at, published_at + to_microseconds(case when publisher = (select max(publisher) from st) then 90000000 else 0 end)) as ahead_us from st")
+def _(spark, d):
+    rows = base.stream(spark, d)
+    skewed = faults.skew(rows, rows.agg(F.max("publisher")).scalar(), 90_000_000)
+    return skewed.select("event_id", F.timestamp_diff("MICROSECOND", F.col("observed_at"), F.col("published_at")).alias("ahead_us"))
+
+
+RESET = sql.STREAM + " select event_id, epoch{} as epoch, case when late then seq - 499 else seq end as seq from (select *, seq >= 500 and publisher = (select min(publisher) from st) as late from st)"
+
+
+@query("snk_9_sequence_reset", RESET.format(""))
+def _(spark, d):
+    rows = base.stream(spark, d)
+    return faults.restart(rows, rows.agg(F.min("publisher")).scalar(), 500, False).select("event_id", "epoch", "seq")
+
+
+@query("snk_9_epoch_bump", RESET.format(" + cast(late as bigint)"))
+def _(spark, d):
+    rows = base.stream(spark, d)
+    return faults.restart(rows, rows.agg(F.min("publisher")).scalar(), 500, True).select("event_id", "epoch", "seq")

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import codecs
-from tidemark.operators import reconcile, sequence, state, trust, validate
+from tidemark.functions import codecs, text
+from tidemark.operators import explain, reconcile, sequence, state, trust, validate
 from tidemark.plans.config import Spec
 from tidemark.sources import files
+from tidemark.tables import stored
 
 
 @dataclass
@@ -21,6 +21,10 @@ class Result:
     findings: DataFrame
     drops: DataFrame
     publishers: DataFrame
+    judged: DataFrame
+    store: DataFrame
+    shape: str
+    spec: Spec
 
     @property
     def alertable(self) -> int:
@@ -46,36 +50,111 @@ def decode(raw: DataFrame, spec: Spec) -> DataFrame:
     return codecs.decode_json(raw, c.get("fields"), c.get("ops"))
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """key, stored_type, scalar, members of a store's snapshot.
+
+    Parquet, or lines of JSON (.jsonl) with these fields, are read in parallel, whatever their size. A file .json is one
+    object {"scalars": {key: value}, "sets": {key: [member]}}, which one task reads: for small stores.
+    """
+    kind = "key string, stored_type string, scalar string, members array<string>"
+    if path.endswith(".jsonl"):
+        return spark.read.schema(kind).json(path)
+    if not path.endswith(".json"):
+        return spark.read.schema(kind).parquet(path)
+    whole = spark.read.text(path, wholetext=True)
+    part = lambda name, kind: F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"map<string,{kind}>"))
+    kept = whole.select(part("scalars", "string").alias("key", "scalar")).withColumn("stored_type", F.lit("string"))
+    kept = kept.unionByName(whole.select(part("sets", "array<string>").alias("key", "members")).withColumn("stored_type", F.lit("set")), allowMissingColumns=True)
+    return kept.select("key", "stored_type", "scalar", "members")
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """Decoded rows with the types and the problem column that the audit works on."""
+    rows = rows.withColumns({"epoch": F.col("epoch").cast("long"), "seq": F.col("seq").cast("long"), "observed_at": F.coalesce("published_at", F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
+    return rows.withColumn("problem", F.when(F.col("err").isNull(), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")])))
+
+
+def expectation(applied: DataFrame, shape: str) -> DataFrame:
+    return state.expected(applied) if shape == "scalar" else state.expected_fold(applied, shape)
+
+
+def disagreements(known: DataFrame, kept: DataFrame, shape: str) -> DataFrame:
+    """Findings of both directions: settled keys that are stored otherwise, and stored keys that nothing is known of."""
+    found = reconcile.sweep(known, kept, shape)
+    read = reconcile.typed(kept, shape).filter("kind <> 'absent'").select("key", reconcile.shown(shape).alias("stored"))
+    extra = reconcile.extras(read, known).select("key", F.lit("extra_in_target").alias("category"), F.lit("complete").alias("trust"), F.lit(None).cast("string").alias("expected"), "stored", F.lit(0).cast("long").alias("version"), F.lit(None).cast("long").alias("user_id"))
+    return found.unionByName(extra)
+
+
 def compare(spark: SparkSession, spec: Spec, events: str, store: str) -> Result:
-    """events: a file of lines; store: a file with one JSON object {"scalars": {key: value}, "sets": {key: [member]}}; counters are scalars."""
+    """events: a file of lines; store: see read_store(). A snapshot does not change, so one look is as good as two."""
     raw = files.lines(spark, events).drop("observed_at")
     # A file's lines come in order; numbers grow along a partition and from one to the next.
-    rows = decode(raw.withColumn("arrival", F.monotonically_increasing_id()), spec)
-    rows = rows.withColumns({"epoch": F.col("epoch").cast("long"), "seq": F.col("seq").cast("long"), "observed_at": F.coalesce("published_at", F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
-    rows = rows.withColumn("problem", F.when(F.col("err").isNull(), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")])))
-    # Told apart from other runs, as a file may have changed since they kept its rows.
-    good = rows.filter("err is null and problem is null").withColumn("run", F.lit(uuid.uuid4().hex)).persist()
-    judged = sequence.verdicts(good).persist()
+    rows = stored(prepared(decode(raw.withColumn("arrival", F.monotonically_increasing_id()), spec)), "events")
+    judged = stored(sequence.verdicts(rows.filter("err is null and problem is null")), "judged")
     shape = spec.projection.get("type", "scalar")
     applied = judged.filter(sequence.accepted(F.col("verdict"))).filter(validate.touches_key(F.col("op")))
     now = F.lit(rows.agg(F.max("observed_at").alias("t")).first().t).cast("timestamp_ntz") + F.expr("interval 1 day")
-    known = state.settled(state.expected(applied) if shape == "scalar" else state.expected_fold(applied, shape), now, spec.policy.window_us, spec.policy.max_window_us)
-    known = trust.effective_trust(known, trust.floors(judged, errors=rows.filter("err is not null")))
-    whole = spark.read.text(store, wholetext=True)
-    part = lambda name, kind: F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"map<string,{kind}>"))
-    kept = whole.select(part("scalars", "string").alias("key", "scalar")).withColumn("stored_type", F.lit("string"))
-    kept = kept.unionByName(whole.select(part("sets", "array<string>").alias("key", "members")).withColumn("stored_type", F.lit("set")), allowMissingColumns=True)
+    known = state.settled(expectation(applied, shape), now, spec.policy.window_us, spec.policy.max_window_us)
+    known = stored(trust.effective_trust(known, trust.floors(judged, errors=rows.filter("err is not null"))), "known")
+    kept = stored(read_store(spark, store), "store")
     dropped = rows.join(judged.select("arrival", "verdict"), "arrival", "left").withColumn("reason", validate.drop_reason(F.col("err"), F.col("problem"), F.col("verdict")))
     drops = dropped.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    return Result(known, reconcile.sweep(known, kept, shape), drops, sequence.publishers(judged))
-
-
-def explain_key(result: Result, key: str) -> str:
-    """What is known about one key, as lines."""
-    row = result.state.filter(F.col("key") == key).first()
-    found = result.findings.filter(F.col("key") == key).first()
-    if row is None:
-        return f"{key}: nothing is known"
-    lines = [f"{key}: {found.category if found else 'agrees'}", f"  expected {row.value} since {row.last_event_at}, version {row.version}, {row.trust}", f"  last written by {row.last_publisher} ({row.last_epoch}/{row.last_seq})"]
-    codes = [c for c, on in (("AGREE", found is None and row.is_settled), ("IN_FLIGHT", not row.is_settled), ("MISSING_IN_TARGET_NO_GAPS", bool(found) and found.category == "missing_in_target" and row.trust == "complete"), ("EXTRA_IN_TARGET", bool(found) and found.category == "extra_in_target")) if on]
-    return "\n".join(lines + [f"  {c}" for c in codes])
+    return Result(known, disagreements(known, kept, shape), drops, sequence.publishers(judged), judged, kept, shape, spec)
+
+
+def explanation(result: Result, key: str) -> dict:
+    """All that is known about one key, as a document: verdict, values, publisher, history, diagnoses."""
+    own = F.col("key") == key
+    row, kept = result.state.filter(own).first(), reconcile.typed(result.store.filter(own), result.shape).withColumn("shown", reconcile.shown(result.shape)).first()
+    events = result.judged.filter(own & sequence.accepted(F.col("verdict"))).select("arrival", "op", "value", "member", "delta", "observed_at", "epoch")
+    n = events.count()
+    steps = list(reversed(events.orderBy(F.desc("arrival")).limit(result.spec.policy.ring).collect()))
+    found = result.findings.filter(own).first()
+    pub = result.publishers.filter(F.col("publisher") == row.last_publisher).first() if row else None
+    readable, value = kept is None or kept.kind != "wrong_type", kept.shown if kept else None
+    here, gone = kept is not None and kept.kind != "absent", row is None or row.kind == "absent"
+    difference = [0, 0]
+    if result.shape == "set" and row and value:
+        mine, other = set(json.loads(row.value or "[]")), set(json.loads(value))
+        difference = [len(mine - other), len(other - mine)]
+    fact = {
+        "key": key, "known": row is not None, "stored": here, "readable": readable, "settled": bool(row.is_settled) if row else True, "trust": row.trust if row else "complete",
+        "kind": row.kind if row else "absent", "equal": readable and gone == (not here) and (gone or row.value == value), "publisher_missing": pub.missing if pub else 0,
+        "restarted": bool(pub and pub.restarts), "skew_us": 0, "history": n, "reachable": True, "pressure": 0, "evicted": 0, "expired": False, "window_us": result.spec.policy.window_us,
+        "ring": result.spec.policy.ring,
+    }
+    frame = result.state.sparkSession.createDataFrame([tuple(fact.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'string'}" for k, v in fact.items()))
+    codes = [(r.code, r.confidence) for r in explain.diagnoses(frame).orderBy("place").collect()]
+    if all(x == 0 for x in difference) is False and 0 in difference:
+        codes.append(("MEMBER_SUBSET" if difference[1] == 0 else "MEMBER_SUPERSET", "medium"))
+    before = None
+    history = []
+    for r in steps:
+        since = None if before is None else int((r.observed_at - before).total_seconds() * 1_000_000)
+        history.append({"op": r.op, "value": r.value, "member": r.member, "delta": r.delta, "at": str(r.observed_at), "since_us": since})
+        before = r.observed_at
+    return {
+        "key": key, "verdict": frame.select(explain.verdict({c: F.col(c) for c in frame.columns}).alias("v")).first().v, "category": found.category if found else None, "expected": row.value if row else None, "stored": value, "trust": fact["trust"],
+        "version": row.version if row else 0, "publisher": row.last_publisher if row else None, "epoch": row.last_epoch if row else None, "seq": row.last_seq if row else None, "missing": fact["publisher_missing"],
+        "history": history, "changes": n, "diagnoses": [{"code": c, "confidence": l, "says": explain.SAYS[c]} for c, l in codes],
+    }
+
+
+def explain_key(result: Result, key: str, width: int = text.WIDTH) -> str:
+    """explanation() as lines of at most so many characters."""
+    x = explanation(result, key)
+    lines = [text.clip_middle(f"{key}: {x['verdict']}" + (f" ({x['category']})" if x["category"] else ""), width)]
+    if x["version"]:
+        lines += text.wrap(f"  expected {x['expected']}, version {x['version']}, {x['trust']}", width, "    ")
+    lines += text.wrap(f"  stored {x['stored']}", width, "    ")
+    if x["publisher"]:
+        lines += text.wrap(f"  last written by {x['publisher']} ({x['epoch']}/{x['seq']}), which misses {text.plural(x['missing'], 'number')}", width, "    ")
+    for d in x["diagnoses"]:
+        lines += text.wrap(f"  {d['code']} ({d['confidence']}): {d['says']}", width, "    ")
+    if x["history"]:
+        lines.append(f"  the last {len(x['history'])} of {text.plural(x['changes'], 'change')}:")
+        for h in x["history"]:
+            what = next((str(h[c]) for c in ("value", "member", "delta") if h[c] is not None), "")
+            lines.append(text.clip(f"    {h['at']} {h['op']} {what}".rstrip(), width))
+    return "\n".join(lines)

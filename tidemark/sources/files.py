@@ -51,6 +51,15 @@ def kafka(spark: SparkSession, servers: str, topics: str, most: int = 100_000) -
     return rows.select("topic", F.col("value").cast("string").alias("payload"), F.col("timestamp").alias("observed_at"))
 
 
+#: Bytes of a frame that a transport takes, unless told otherwise.
+MAX_FRAME = 8 << 20
+
+
+def capped(raw: DataFrame, most: int = MAX_FRAME) -> DataFrame:
+    """raw with oversized: whether a frame is larger than its transport takes; such frames are dropped and count as a signal of loss."""
+    return raw.withColumn("oversized", F.octet_length("payload") > most)
+
+
 def envelope(raw: DataFrame) -> DataFrame:
     """raw with topic and ts as the payload's outermost fields say, without decoding the rest."""
     return raw.withColumns({"topic": F.get_json_object("payload", "$.topic"), "ts": F.get_json_object("payload", "$.ts")})

@@ -1,7 +1,7 @@
 """A continuous audit: each micro-batch goes through the batch operators and updates tables of a folder.
 
-The expectation is kept as one Parquet table for each batch of changes (a log of accepted events and, after compaction,
-the state), so a batch that is run again after a failure writes the same files and nothing is counted twice.
+The expectation is kept as one Parquet table for each batch of changes, of each key the last one of the batch, so a batch
+that is run again after a failure writes the same files and nothing is counted twice. watch.py has the whole audit.
 """
 
 from __future__ import annotations
