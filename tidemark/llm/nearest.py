@@ -184,7 +184,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         return pd.DataFrame({"vid": q.vid.to_numpy(), "best": pd.Series(out, dtype="object")})
 
     found = dealt.groupBy("curve", "block").applyInPandas(meet, "vid long, best array<struct<s:double,id:bigint>>")
-    merged = found.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
+    # Met on several curves, a row has the same score each time, so its entries stand side by side.
+    merged = found.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("a"))
+    merged = merged.select("vid", F.slice(F.expr("filter(a, (x, i) -> i = 0 or a[i - 1].id <> x.id)"), 1, k + 1).alias("best"))
     own = asked.join(distinct.filter("asked").select("v", "vid"), "v").select("id", "vid").join(merged, "vid")
     near = own.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.expr("filter(best, x -> x.id <> id)"), 1, k)).alias("pos", "x"))
     return near.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
