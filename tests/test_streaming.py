@@ -194,3 +194,28 @@ def test_text_helpers():
     assert text.clip_middle("abcdefgh", 5) == "ab…gh" and text.clip_middle("ab", 5) == "ab"
     assert text.wrap("one two three", 8, "  ") == ["one two", "  three"] and text.wrap("") == [""]
     assert [text.plural(n, "key") for n in (0, 1, 2)] == ["0 keys", "1 key", "2 keys"] and text.plural(2, "entry", "entries") == "2 entries"
+
+
+def test_stores_by_name_are_only_read(spark, tmp_path):
+    from tidemark.sources import stores
+
+    rows = {("a", "string", "1", None), ("s", "set", None, ("m", "n"))}
+    (tmp_path / "x.json").write_text(json.dumps({"scalars": {"a": "1"}, "sets": {"s": ["m", "n"]}}))
+    (tmp_path / "x.jsonl").write_text('{"key": "a", "stored_type": "string", "scalar": "1"}\n{"key": "s", "stored_type": "set", "members": ["m", "n"]}')
+    stores.reader("memory")(spark, {"a": "1"}, {"s": ["m", "n"]}).write.parquet(f"{tmp_path}/x")
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*")}
+    for at in ("x.json", "x.jsonl", "x"):
+        assert {(r.key, r.stored_type, r.scalar, r.members and tuple(r.members)) for r in stores.reader("file")(spark, f"{tmp_path}/{at}").collect()} == rows
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*")} == before
+    with pytest.raises(ValueError):
+        stores.reader("redis")
+    with pytest.raises(ValueError):
+        stores.register("file")(print)
+
+
+def test_numbers_at_the_end_of_the_range(spark, tmp_path):
+    top = (1 << 63) - 1
+    events = [{"seq": s, "op": "set", "key": f"k{i}", "value": "v"} for i, s in enumerate((top - 1, top, top + 1, (1 << 64) - 1))]
+    got = _compare(spark, tmp_path, "scalar", events, {"scalars": {"k0": "v", "k1": "v"}})
+    assert {r.verdict for r in got.judged.collect()} == {"first_seen", "accept"} and got.findings.count() == 0
+    assert {(r.reason, r.n) for r in got.drops.collect()} == {("validation_error", 2)}

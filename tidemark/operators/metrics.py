@@ -85,6 +85,7 @@ def transitions(history: DataFrame) -> DataFrame:
 
 def alerts(status: DataFrame) -> DataFrame:
     """id, alert: the conditions of the alert rules that hold in each status row (how long they must hold is the alerting system's)."""
+    # Names of the alert rules.
     rules = {
         "drift_detected": F.col("divergent") > 0, "drift_severe": F.col("divergent") > 0.01 * F.col("complete_keys"), "event_loss": F.col("gap_rate") > 0,
         "back_pressure": F.col("buffer_full_rate") > 0, "saturated": F.col("eviction_rate") > 0, "low_coverage": F.col("coverage") < 0.8,

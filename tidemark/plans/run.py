@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codecs, text
 from tidemark.operators import explain, reconcile, sequence, state, trust, validate
 from tidemark.plans.config import Spec
-from tidemark.sources import files
+from tidemark.sources import files, stores
 from tidemark.tables import stored
 
 
@@ -51,27 +51,14 @@ def decode(raw: DataFrame, spec: Spec) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """key, stored_type, scalar, members of a store's snapshot.
-
-    Parquet, or lines of JSON (.jsonl) with these fields, are read in parallel, whatever their size. A file .json is one
-    object {"scalars": {key: value}, "sets": {key: [member]}}, which one task reads: for small stores.
-    """
-    kind = "key string, stored_type string, scalar string, members array<string>"
-    if path.endswith(".jsonl"):
-        return spark.read.schema(kind).json(path)
-    if not path.endswith(".json"):
-        return spark.read.schema(kind).parquet(path)
-    whole = spark.read.text(path, wholetext=True)
-    part = lambda name, kind: F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"map<string,{kind}>"))
-    kept = whole.select(part("scalars", "string").alias("key", "scalar")).withColumn("stored_type", F.lit("string"))
-    kept = kept.unionByName(whole.select(part("sets", "array<string>").alias("key", "members")).withColumn("stored_type", F.lit("set")), allowMissingColumns=True)
-    return kept.select("key", "stored_type", "scalar", "members")
+    return stores.reader("file")(spark, path)
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """Decoded rows with the types and the problem column that the audit works on."""
-    rows = rows.withColumns({"epoch": F.col("epoch").cast("long"), "seq": F.col("seq").cast("long"), "observed_at": F.coalesce("published_at", F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
-    return rows.withColumn("problem", F.when(F.col("err").isNull(), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")])))
+    """Decoded rows with the types and the problem column that the audit works on. Epochs and numbers of 2^63 or more are refused."""
+    rows = rows.withColumns({"__over": F.expr("epoch > 9223372036854775807 or seq > 9223372036854775807"), "epoch": F.col("epoch").try_cast("long"), "seq": F.col("seq").try_cast("long"), "observed_at": F.coalesce("published_at", F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
+    problem = F.coalesce(F.when(F.col("__over"), "invalid:seq"), validate.problem(*[F.col(c) for c in ("op", "publisher", "member", "value", "delta", "ttl")]))
+    return rows.withColumn("problem", F.when(F.col("err").isNull(), problem)).drop("__over")
 
 
 def expectation(applied: DataFrame, shape: str) -> DataFrame:
