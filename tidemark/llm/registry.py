@@ -16,6 +16,9 @@ NAMES = {
     "op1_best_fit_packing": "q_tokens",
     "op5_bpe_round_trip": "q_tokens",
     "op7_secret_scan": "q_secrets",
+    "op11_fill_in_middle": "q_infill",
+    "op12_line_dedup": "q_line_dedup",
+    "op13_filter_audit": "q_filter_audit",
     # What SQL can check of operators whose whole result it cannot express.
     "facts_op1_places": "q_tokens",
     "facts_op4_texts": "q_fingerprints",
