@@ -1,4 +1,4 @@
-"""python -m tidemark diff|replay|explain|watch|version: exit codes 0 agreement, 1 failure, 2 bad specification, 3 disagreement."""
+"""python -m tidemark diff|replay|explain|watch|pause|resume|version: exit codes 0 agreement, 1 failure, 2 bad specification, 3 disagreement."""
 
 from __future__ import annotations
 
@@ -18,11 +18,15 @@ def main(args: list[str] | None = None) -> int:
         c.add_argument("--events", required=True)
         c.add_argument("--store", required=name != "watch")
         c.add_argument("--output", choices=("text", "json"), default="text")
+        if name != "watch":
+            c.add_argument("--at", help="when the store was read, as an SQL expression; now by default")
         if name == "explain":
             c.add_argument("key")
         if name == "watch":
             c.add_argument("--folder", required=True)
             c.add_argument("--once", action="store_true", help="take what is there, sweep, and end")
+    for name in ("pause", "resume"):
+        sub.add_parser(name).add_argument("--folder", required=True, help="the folder of a running watch")
     sub.add_parser("version")
     a = p.parse_args(args)
     if a.command == "version":
@@ -30,6 +34,13 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from tidemark.plans import config, run
 
+    if a.command in ("pause", "resume"):
+        from pyspark.sql import SparkSession
+
+        from tidemark.streaming.watch import Watch
+
+        getattr(Watch(SparkSession.builder.getOrCreate(), a.folder, config.Spec()), a.command)()
+        return 0
     try:
         spec = config.load(open(a.spec, encoding="utf-8").read())
     except (ValueError, OSError) as e:
@@ -48,13 +59,13 @@ def main(args: list[str] | None = None) -> int:
         audit = Watch(spark, a.folder, spec, a.store)
         audit.start(files.line_stream(spark, a.events), a.once).awaitTermination()
         for line in audit.status():
-            print(json.dumps(line))
+            print(json.dumps(line, default=str))
         if not a.store:
             return 0
         for r in reconcile.report(audit.findings()).collect():
             print(f"{r.category:<20}{r.n:>8}  suspect {r.suspect}")
         return 3 if audit.findings().filter("trust <> 'suspect'").count() else 0
-    result = run.compare(spark, spec, a.events, a.store)
+    result = run.compare(spark, spec, a.events, a.store, a.at)
     if a.command == "explain":
         print(json.dumps(run.explanation(result, a.key), default=str) if a.output == "json" else run.explain_key(result, a.key))
         return 0

@@ -120,14 +120,15 @@ def matches_glob(value: Column, glob: str, path: bool = True) -> Column:
     return F.lit(False) if pattern is None else value.rlike(pattern)
 
 
-def key_template(template: str, columns: dict[str, Column]) -> Column:
-    """A template such as user:{{.Key}} as a column; unknown fields are an error."""
+def key_template(template: str, columns: dict[str, Column | None]) -> Column | None:
+    """A template such as user:{{.Key}} as a column; unknown fields are an error. Without columns (all None) the template is only checked."""
     import re
 
     parts: list[Column] = []
+    check = all(c is None for c in columns.values())
     for literal, name in re.findall(r"([^{]+|\{(?!\{))|\{\{\s*\.(\w+)\s*\}\}", template):
         if name and name not in columns:
             raise ValueError(f"unknown field {name} in the key template")
-        parts.append(columns[name].cast("string") if name else F.lit(literal))
-    return F.concat(*parts) if parts else F.lit("")
-
+        if not check:
+            parts.append(columns[name].cast("string") if name else F.lit(literal))
+    return None if check else F.concat(*parts) if parts else F.lit("")

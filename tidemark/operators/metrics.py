@@ -23,6 +23,20 @@ OF_STATUS = {
     "divergent_keys": ("divergent", 1), "suspect_divergent_keys": ("suspect", 1), "confirm_queue_depth": ("queue", 1), "confirm_queue_dropped_total": ("queue_dropped", 1),
     "sweep_keys_compared": ("settled", 1), "coverage_ratio": ("coverage", 1), "settlement_window_seconds": ("window_us", 1e-6), "target_keyspace_size": ("stored", 1),
 }
+# Names of metrics, with the field of a running audit's last status that each shows, the factor between their units, and the sum over all batches where it is a total.
+OF_WATCH = {
+    "oracle_keys": ("keys", 1), "oracle_settled_keys": ("settled", 1), "oracle_inflight_keys": ("in_flight", 1), "oracle_never_settled_keys": ("never_settled", 1), "target_keyspace_size": ("stored", 1),
+    "divergent_keys": ("divergent", 1), "suspect_divergent_keys": ("suspect", 1), "confirm_queue_depth": ("queue", 1), "sweep_keys_compared": ("compared", 1), "coverage_ratio": ("coverage", 1),
+    "settlement_window_seconds": ("window_us", 1e-6), "publishers_tracked": ("publishers", 1), "ingest_queue_depth": ("held", 1), "sweeps_total": ("sweeps", 1), "sweeps_skipped_total": ("sweeps_skipped", 1),
+    "advisory_divergent_keys": ("extras", 1), "convergence_seconds": ("lag_p99", 1e-6),
+}
+TOTALS = {
+    "events_received_total": ("received",), "events_dropped_total": ("decode_errors", "validation_errors", "duplicates", "stale"), "seq_gaps_total": ("gap_events",), "oracle_evictions_total": ("evicted",),
+    "projection_errors_total": ("projection_errors",), "drift_episodes_total": ("opened",), "drift_resolved_total": ("resolved",), "transient_divergence_total": ("transient",),
+    "confirm_queue_dropped_total": ("queue_dropped",), "lag_probe_timeouts_total": ("probe_timeouts",),
+}
+OF_PUBLISHERS = {"seq_missing_events": "aggregate(t.gaps, 0L, (a, g) -> a + g[1] - g[0] + 1)", "seq_epoch": "t.epoch", "seq_high_water_mark": "t.high", "publisher_clock_skew_seconds": "t.skew_us / 1e6", "publisher_restarts_total": "t.restarts", "gapset_truncated": "int(t.truncated)"}
+SUMMED = [c for cs in TOTALS.values() for c in cs]
 PHASES = ("Paused", "AwaitingSnapshot", "Failed", "Degraded", "Watching")
 
 
@@ -39,6 +53,15 @@ def of_status(row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit("").alias("label"), (F.col(c).cast("double") * k).alias("value")) for n, (c, k) in OF_STATUS.items()])))
 
 
+def of_watch(last: DataFrame, totals: DataFrame, publishers: DataFrame) -> DataFrame:
+    """name, label, value from the last status and the sums of a running audit, and its publishers (publisher, t)."""
+    one = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit("").alias("label"), v.cast("double").alias("value"))
+    now = last.select(F.inline(F.array(*[one(n, F.coalesce(F.col(c), F.lit(0)) * k) for n, (c, k) in OF_WATCH.items()])))
+    sums = totals.select(F.inline(F.array(*[one(n, sum((F.coalesce(F.col(c), F.lit(0)) for c in cs), F.lit(0))) for n, cs in TOTALS.items()])))
+    own = publishers.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col("publisher").alias("label"), F.coalesce(F.expr(x).cast("double"), F.lit(0.0)).alias("value")) for n, x in OF_PUBLISHERS.items()])))
+    return now.unionByName(sums).unionByName(own)
+
+
 def bounded_labels(rows: DataFrame, label: str, first: str, most: int = MAX_LABELS) -> DataFrame:
     """rows with all labels but the first so many (by when they were first seen) replaced by __other__."""
     seen = rows.groupBy(label).agg(F.min(first).alias("__f")).orderBy("__f", label).limit(most).select(label, F.lit(True).alias("__own"))

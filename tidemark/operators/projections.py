@@ -72,14 +72,18 @@ def increments(events: DataFrame) -> DataFrame:
     return events.filter("op = 'incr'").groupBy("key").agg(saturating(F.sum(F.col("delta").cast("decimal(38,0)"))).alias("value"))
 
 
-def exact_counter(events: DataFrame, order: str = "arrival", block: int = 1_000_000) -> DataFrame:
-    """key, value: a counter that saturates at every step, not only at the end; for keys near the ends of the range.
+def _limits() -> tuple[str, str, str]:
+    d = "decimal(38,0)"
+    return d, f"cast('-9223372036854775808' as {d})", f"cast('9223372036854775807' as {d})"
+
+
+def counter_effects(events: DataFrame, order: str = "arrival", block: int = 10_000) -> DataFrame:
+    """key, f: what all changes of a key do to a number, as struct<add, lo, hi, dead>.
 
-    What a run of changes does to a number is to add and then to keep within two limits, so runs can be put together: those
-    of each block of the order first, then the blocks of each key.
+    A run of changes adds, then keeps within two limits, so runs can be put together: those of each block of the order
+    first, then the blocks of each key. dead: whether nothing is left; null: none of the changes could be read.
     """
-    d = "decimal(38,0)"
-    lo, hi = f"cast('-9223372036854775808' as {d})", f"cast('9223372036854775807' as {d})"
+    d, lo, hi = _limits()
     made = lambda add, low, high, dead: f"named_struct('add', cast({add} as {d}), 'lo', cast({low} as {d}), 'hi', cast({high} as {d}), 'dead', {dead})"
     kept = lambda x, low, high: f"least(greatest({x}, {low}), {high})"
     same = made(0, lo, hi, "cast(null as boolean)")  # no change yet
@@ -89,5 +93,10 @@ def exact_counter(events: DataFrame, order: str = "arrival", block: int = 1_000_
     fold = f"aggregate(array_sort(collect_list(struct(i, f))), {same}, (a, x) -> {then})"
     ops = events.filter("op in ('incr', 'set', 'delete')").select("key", "op", "delta", F.col("value").try_cast("long").alias("v"), F.col(order).alias("i"), F.floor(F.col(order) / block).alias("b"))
     blocks = ops.withColumn("f", F.expr(own)).groupBy("key", "b").agg(F.expr(fold).alias("f")).withColumnRenamed("b", "i")
-    whole = blocks.groupBy("key").agg(F.expr(fold).alias("f"))
-    return whole.filter("not f.dead").select("key", F.expr(f"cast({kept('f.add', 'f.lo', 'f.hi')} as bigint)").alias("value"))
+    return blocks.groupBy("key").agg(F.expr(fold).alias("f"))
+
+
+def exact_counter(events: DataFrame, order: str = "arrival", block: int = 10_000) -> DataFrame:
+    """key, value: a counter that saturates at every step, not only at the end; for keys near the ends of the range."""
+    found = counter_effects(events, order, block)
+    return found.filter("not f.dead").select("key", F.expr("cast(least(greatest(f.add, f.lo), f.hi) as bigint)").alias("value"))

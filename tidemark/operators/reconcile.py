@@ -42,14 +42,14 @@ def category(e_kind: Column, s_kind: Column, equal: Column, adopted: Column, sup
     )
 
 
-def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar") -> DataFrame:
+def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar", forgiven: Column | None = None) -> DataFrame:
     """key, category, trust, expected and stored value, version: disagreements of settled keys with what is stored.
 
-    Values of sets are their sorted members as JSON, those of counters their digits.
+    Values of sets are their sorted members as JSON, those of counters their digits. forgiven: which missing keys are none, see suppressed().
     """
     read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), shown(shape).alias("s_value"))
     rows = state.filter("is_settled and trust <> 'adopted'").join(read, "key", "left")
-    found = rows.withColumn("category", category(F.col("kind"), F.col("s_kind"), F.col("value").eqNullSafe(F.col("s_value")), F.lit(False), F.lit(False)))
+    found = rows.withColumn("category", category(F.col("kind"), F.col("s_kind"), F.col("value").eqNullSafe(F.col("s_value")), F.lit(False), F.lit(False) if forgiven is None else forgiven))
     return found.filter("category is not null").select("key", "category", "trust", F.col("value").alias("expected"), F.col("s_value").alias("stored"), "version", "user_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ def effective(events: DataFrame, order: str = "arrival") -> DataFrame:
     return found.withColumns({"prev_op": F.col("__p.op"), "prev_value": F.col("__p.value")}).drop("__p").filter("op = 'set' or prev_op = 'set'")
 
 
-def expected(events: DataFrame, order: str = "arrival") -> DataFrame:
+def expected(events: DataFrame, order: str = "arrival", carry: Sequence[str] = ()) -> DataFrame:
     """One row for each key that was ever set: kind (scalar, absent), value, ttl, version, last event and value change, who wrote it last.
 
-    A key's changes are ordered within the key alone, and the result is one aggregate.
+    A key's changes are ordered within the key alone, and the result is one aggregate. carry: more columns of the last write.
     """
     rows = effective(events, order)
     changed = F.col("prev_op").isNull() | (F.col("op") != F.col("prev_op")) | ~F.col("value").eqNullSafe(F.col("prev_value"))
-    last = F.max_by(F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at"), order).alias("w")
+    last = F.max_by(F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at", *carry), order).alias("w")
     found = rows.groupBy("key").agg(
         last, F.count(F.lit(1)).alias("version"), F.max(order).alias("last_order"), F.min("observed_at").alias("created_at"),
         F.max_by(F.when(changed, F.col("observed_at")), F.when(changed, F.col(order))).alias("last_change_at"), F.max("user_id").alias("user_id"),
@@ -35,11 +37,11 @@ def expected(events: DataFrame, order: str = "arrival") -> DataFrame:
     return found.select(
         "key", F.when(F.col("w.op") == "set", "scalar").otherwise("absent").alias("kind"), F.when(F.col("w.op") == "set", F.col("w.value")).alias("value"),
         F.when(F.col("w.op") == "set", F.col("w.ttl")).alias("ttl"), "version", "created_at", F.col("w.observed_at").alias("last_event_at"), "last_change_at",
-        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), "last_order", "user_id",
+        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), "last_order", "user_id", *[f"w.{c}" for c in carry],
     )
 
 
-def expected_fold(events: DataFrame, shape: str, order: str = "arrival") -> DataFrame:
+def expected_fold(events: DataFrame, shape: str, order: str = "arrival", carry: Sequence[str] = ()) -> DataFrame:
     """expected() for set and counter audits: kind (set, counter, absent) and value as reconcile.sweep() compares it. Each change counts as one of the value."""
     if shape == "set":
         rows = events.filter("op in ('set', 'delete', 'add', 'remove')").withColumn("member", F.when(F.col("op") == "set", F.coalesce("member", "value")).otherwise(F.col("member")))
@@ -47,12 +49,12 @@ def expected_fold(events: DataFrame, shape: str, order: str = "arrival") -> Data
     else:
         rows = events.filter("op in ('incr', 'delete') or (op = 'set' and try_cast(value as bigint) is not null)")
         found = projections.counter(rows, order).select("key", F.col("value").cast("string").alias("value"))
-    last = F.max_by(F.struct("seq", "epoch", "publisher", "observed_at"), order).alias("w")
+    last = F.max_by(F.struct("seq", "epoch", "publisher", "observed_at", *carry), order).alias("w")
     seen = rows.groupBy("key").agg(last, F.count(F.lit(1)).alias("version"), F.max(order).alias("last_order"), F.min("observed_at").alias("created_at"), F.max("user_id").alias("user_id"))
     return seen.join(found, "key", "left").select(
         "key", F.when(F.col("value").isNull(), "absent").otherwise(shape).alias("kind"), "value", F.lit(None).cast("long").alias("ttl"), "version", "created_at",
         F.col("w.observed_at").alias("last_event_at"), F.col("w.observed_at").alias("last_change_at"), F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"),
-        F.col("w.publisher").alias("last_publisher"), "last_order", "user_id",
+        F.col("w.publisher").alias("last_publisher"), "last_order", "user_id", *[f"w.{c}" for c in carry],
     )
 
 
@@ -68,16 +70,16 @@ def expired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("is_expired", over).withColumns({"kind": F.when(F.col("is_expired"), "absent").otherwise(F.col("kind")), "value": F.when(~F.col("is_expired"), F.col("value"))})
 
 
-def settled(rows: DataFrame, now: Column, window_us: int, max_window_us: int) -> DataFrame:
+def settled(rows: DataFrame, now: Column, window_us: int, max_window_us: int, never: float = NEVER_SETTLED) -> DataFrame:
     """rows with is_settled: quiet for a window, or with an unchanged value for ten windows (at most the largest window)."""
     quiet = plus(F.col("last_event_at"), window_us) < now
-    steady = plus(F.col("last_change_at"), min(10 * window_us, max_window_us)) < now
+    steady = plus(F.col("last_change_at"), int(min(never * window_us, max_window_us))) < now
     return rows.withColumn("is_settled", F.coalesce(quiet | steady, F.lit(False)))
 
 
-def counts(rows: DataFrame, now: Column, window_us: int) -> DataFrame:
+def counts(rows: DataFrame, now: Column, window_us: int, never: float = NEVER_SETTLED) -> DataFrame:
     """One row: keys, settled, in flight, never settled, tombstones."""
-    old = plus(F.col("created_at"), NEVER_SETTLED * window_us) < now
+    old = plus(F.col("created_at"), int(never * window_us)) < now
     return rows.agg(
         F.count(F.lit(1)).alias("keys"), F.count_if("is_settled").alias("settled"), F.count_if(~F.col("is_settled")).alias("in_flight"),
         F.count_if(~F.col("is_settled") & old).alias("never_settled"), F.count_if(F.col("kind") == "absent").alias("tombstones"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, fields
 
-from tidemark.functions.columns import valid_glob
+from tidemark.functions.columns import key_template, valid_glob
 
+#: What a template of keys can name, and the column of each.
+KEY_FIELDS = {"Key": "key", "Publisher": "publisher", "Member": "member", "Epoch": "epoch"}
 UNITS = {"ns": 0.001, "us": 1, "µs": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}
 
 
@@ -81,13 +83,32 @@ class Spec:
         need(p.expiry in ("strict", "ignore", "model"), "policy.expiry must be strict, ignore or model")
         need(p.expiry != "ignore" or p.assumed_ttl_us > 0, "policy.expiry ignore needs assumed_ttl")
         need(1000 <= p.max_keys <= 100_000_000, "policy.max_keys must be from 1 thousand to 100 million")
+        need(p.mode in ("static", "adaptive"), "policy.mode must be static or adaptive")
+        need(p.reorder_us >= 0, "policy.reorder must not be negative")
+        need(min(p.max_queue, p.max_findings, p.max_extras, p.max_members, p.max_payload) >= 1, "policy: max_queue, max_findings, max_extras, max_members and max_payload must be 1 or more")
+        need(p.ttl_tolerance_us == 5_000_000, "policy.ttl_tolerance can not be set: snapshots of a store have no lifetimes to compare")
+        need(p.batch == 500, "policy.batch can not be set: a store is read as a table")
         need(1 <= p.ring <= 1024, "policy.ring must be from 1 to 1024")
         need(p.max_publishers >= 1 and p.never_settled >= 1, "policy.max_publishers and policy.never_settled must be 1 or more")
         owner = self.projection.get("ownership")
         need(self.projection.get("partitioned") is not True or bool(owner), "projection.ownership is required if keys are partitioned")
         need(not owner or valid_glob(owner.replace("{{.Publisher}}", "p")), "projection.ownership is not a pattern")
+        try:
+            key_template(self.projection.get("key", ""), dict.fromkeys(KEY_FIELDS))
+        except ValueError as e:
+            need(False, f"projection.key: {e}")
         return found
 
+    @property
+    def ownership(self) -> str | None:
+        """The pattern of a publisher's keys, if keys are partitioned among publishers."""
+        return self.projection.get("ownership") if self.projection.get("partitioned") else None
+
+    @property
+    def commutative(self) -> bool:
+        """Whether the order of changes does not matter, so that nothing has to wait for another."""
+        return self.projection.get("type") == "counter" and bool(self.projection.get("incr_only"))
+
     def warnings(self) -> list[str]:
         found = []
         if self.policy.sweep_us < 2 * self.policy.window_us:

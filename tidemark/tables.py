@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +34,31 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _delete(spark: SparkSession, tables: list[str]) -> None:
+    for name in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables, once nothing reads them any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while written:
-        at = path(written.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, written)
+    written.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside, at its end: for a batch of a stream, whose results are written elsewhere."""
+    before = set(written)
+    try:
+        yield
+    finally:
+        own = [x for x in written if x not in before]
+        written[:] = [x for x in written if x in before]
+        _delete(spark, own)
+
+
+def together(*work: Callable[[], object]) -> list:
+    """Run independent steps at the same time, as most of the time of small ones goes on planning; their results, in order."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [x.result() for x in [pool.submit(f) for f in work]]
