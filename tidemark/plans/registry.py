@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import base, q_audit, q_more, q_sources, q_stream
+from tidemark.plans import base, q_audit, q_more, q_policy, q_sources, q_stream
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    assert q_audit and q_more and q_sources and q_stream  # their import registers the queries
+    assert q_audit and q_more and q_policy and q_sources and q_stream  # their import registers the queries
     return dict(base.QUERIES)
 
 
