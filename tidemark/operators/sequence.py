@@ -22,40 +22,44 @@ RESTART_DROP, RESTART_BELOW, MAX_INTERVALS, MAX_PUBLISHERS = 1000, 100, 1024, 10
 ACCEPTED = ("accept", "first_seen", "with_gap", "late_fill", "after_restart")
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """rows with one more column for each name: the largest value of the rows before, within the keys, in the order of `order`."""
-    rows = rows.withColumn("__b", F.floor(F.col(order) / block)).withColumns({f"__v_{n}": v for n, v in values.items()})
-    whole = rows.groupBy(*keys, "__b").agg(*[F.max(f"__v_{n}").alias(f"__m_{n}") for n in values])
+def running(rows: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], block: int = BLOCK, sums: dict[str, Column] | None = None) -> DataFrame:
+    """rows with one more column for each name: the largest value (of sums: the sum) of the rows before, within the keys, in the order of `order`."""
+    sums = sums or {}
+    both = [(n, F.max) for n in values] + [(n, F.sum) for n in sums]
+    rows = rows.withColumn("__b", F.floor(F.col(order) / block)).withColumns({f"__v_{n}": v for n, v in (values | sums).items()})
+    whole = rows.groupBy(*keys, "__b").agg(*[f(f"__v_{n}").alias(f"__m_{n}") for n, f in both])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select(*keys, "__b", *[F.max(f"__m_{n}").over(before).alias(f"__c_{n}") for n in values])
+    whole = whole.select(*keys, "__b", *[f(f"__m_{n}").over(before).alias(f"__c_{n}") for n, f in both])
     inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(whole, [*keys, "__b"])
-    rows = rows.withColumns({n: F.greatest(F.max(f"__v_{n}").over(inside), F.col(f"__c_{n}")) for n in values})
-    return rows.drop("__b", *[f"__{x}_{n}" for n in values for x in "vc"])
+    largest = {n: F.greatest(F.max(f"__v_{n}").over(inside), F.col(f"__c_{n}")) for n in values}
+    total = {n: F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
+    return rows.withColumns(largest | total).drop("__b", *[f"__{x}_{n}" for n, _ in both for x in "vc"])
 
 
 def verdicts(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """events (publisher, epoch, seq, arrival) with verdict and incarnation, as a tracker that sees them in the order of arrival gives them.
 
     An incarnation is named by the arrival of the restart that began it, 0 before any. Arrivals of a publisher are unique.
-    Epochs in which a publisher may have restarted are looked for first, by one aggregate; they go a longer way, step by
-    step through tables, as each step needs the one before twice.
+    The largest (epoch, number) so far tells both a change of epoch and the highest number of the epoch, in one pass. Epochs in which
+    a publisher may have restarted are looked for first, by one aggregate; they go a longer way, step by step through
+    tables, as each step needs the one before twice.
     """
-    epochs = running(events, ["publisher"], "arrival", {"__pe": F.col("epoch")}, block)
-    start = F.when(F.col("__pe").isNull(), "first_seen").when(F.col("epoch") > F.col("__pe"), "after_restart").when(F.col("epoch") < F.col("__pe"), "stale_epoch")
-    epochs = epochs.withColumn("__v0", start).drop("__pe")
-    stale = epochs.filter("__v0 = 'stale_epoch'").withColumn("incarnation", F.lit(0).cast("long")).withColumnRenamed("__v0", "verdict")
-    live = epochs.filter(~F.col("__v0").eqNullSafe("stale_epoch"))
+    rows = running(events, ["publisher"], "arrival", {"__t": F.struct("epoch", "seq")}, block)
+    before = F.col("__t.epoch")
+    start = F.when(before.isNull(), "first_seen").when(F.col("epoch") > before, "after_restart").when(F.col("epoch") < before, "stale_epoch")
+    rows = rows.withColumns({"__v0": start, "__h": F.when(F.col("epoch") == before, F.col("__t.seq"))}).drop("__t")
     keys = ["publisher", "epoch"]
     odd = events.groupBy(*keys).agg(F.max(F.when(F.col("seq") < RESTART_BELOW, F.col("arrival"))).alias("low"), F.min(F.when(F.col("seq") > RESTART_DROP, F.col("arrival"))).alias("high")).filter("low > high").select(*keys)
+    rows = rows.withColumn("incarnation", F.lit(0).cast("long"))
     if odd.isEmpty():
-        live = running(live, keys, "arrival", {"__h": F.col("seq")}, block).withColumn("incarnation", F.lit(0).cast("long"))
-        return _seen(live).unionByName(stale)
-    live, odd = stored(running(live, keys, "arrival", {"__h": F.col("seq")}, block), "live"), stored(odd, "odd")
-    plain = live.join(odd, keys, "left_anti").withColumn("incarnation", F.lit(0).cast("long"))
-    again = stored(_incarnations(live.join(odd, keys, "left_semi"), block).drop("__h"), "incarnations")
+        return _seen(rows)
+    rows, odd = stored(rows, "live"), stored(odd, "odd")
+    live, stale = rows.filter(~F.col("__v0").eqNullSafe("stale_epoch")), rows.filter("__v0 = 'stale_epoch'")
+    plain = live.join(odd, keys, "left_anti")
+    again = stored(_incarnations(live.join(odd, keys, "left_semi").drop("incarnation"), block).drop("__h"), "incarnations")
     again = running(again, [*keys, "incarnation"], "arrival", {"__h": F.col("seq")}, block)
-    return _seen(plain.unionByName(again)).unionByName(stale)
+    return _seen(plain.unionByName(again).unionByName(stale))
 
 
 def _may_restart(high: str) -> Column:
@@ -63,10 +67,13 @@ def _may_restart(high: str) -> Column:
 
 
 def _seen(rows: DataFrame) -> DataFrame:
-    """rows (with __v0 and __h, the highest number before) with the verdict within their incarnation."""
+    """rows (with __v0 and __h, the highest number before) with the verdict within their incarnation. Stale epochs are neither first nor a repeat of anything."""
     keys = ["publisher", "epoch", "incarnation"]
-    first = rows.groupBy(*keys).agg(F.min_by("seq", "arrival").alias("__base"))
-    rows = rows.join(first, keys).withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "seq").orderBy("arrival")))
+    live = ~F.col("__v0").eqNullSafe("stale_epoch")
+    first = rows.filter(live).groupBy(*keys).agg(F.min_by("seq", "arrival").alias("__base"))
+    # Which row of a number came first matters only for numbers that are not new highs.
+    rn = F.row_number().over(Window.partitionBy(*keys, "seq").orderBy((~live).cast("int"), "arrival"))
+    rows = rows.join(first, keys, "left").withColumn("__rn", rn)
     seen = F.when(F.col("seq") == F.col("__h") + 1, "accept").when(F.col("seq") > F.col("__h") + 1, "with_gap").when((F.col("__rn") == 1) & (F.col("seq") > F.col("__base")), "late_fill").otherwise("duplicate")
     return rows.withColumn("verdict", F.coalesce("__v0", seen)).drop("__v0", "__h", "__base", "__rn")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import projections
-from tidemark.operators.sequence import running
+from tidemark.operators.sequence import BLOCK, running
 
 RING, NEVER_SETTLED = 16, 10
 
@@ -25,19 +25,35 @@ def effective(events: DataFrame, order: str = "arrival") -> DataFrame:
 def expected(events: DataFrame, order: str = "arrival", carry: Sequence[str] = ()) -> DataFrame:
     """One row for each key that was ever set: kind (scalar, absent), value, ttl, version, last event and value change, who wrote it last.
 
-    A key's changes are ordered within the key alone, and the result is one aggregate. carry: more columns of the last write.
+    Changes are dealt once, by key and block of the order; each block becomes one row, and a key's blocks are put together. carry: more columns of the last write.
     """
-    rows = effective(events, order)
-    changed = F.col("prev_op").isNull() | (F.col("op") != F.col("prev_op")) | ~F.col("value").eqNullSafe(F.col("prev_value"))
-    last = F.max_by(F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at", *carry), order).alias("w")
-    found = rows.groupBy("key").agg(
-        last, F.count(F.lit(1)).alias("version"), F.max(order).alias("last_order"), F.min("observed_at").alias("created_at"),
-        F.max_by(F.when(changed, F.col("observed_at")), F.when(changed, F.col(order))).alias("last_change_at"), F.max("user_id").alias("user_id"),
+    block = F.floor(F.col(order) / BLOCK)
+    inside = Window.partitionBy("key", "__b").orderBy(order)
+    rows = events.filter("op in ('set', 'delete')").withColumn("__b", block).withColumn("__p", F.lag(F.struct("op", "value")).over(inside))
+    # Within a block: what counts whatever came before it, its first write, and its last.
+    write = F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at", F.col(order).alias("order"), "user_id", *carry)
+    known, inner = (F.col("op") == "set") | (F.col("__p.op") == "set"), F.col("__p").isNotNull()
+    changed = known & inner & ((F.col("op") != F.col("__p.op")) | ~F.col("value").eqNullSafe(F.col("__p.value")))
+    when = F.when
+    blocks = rows.groupBy("key", "__b").agg(
+        F.max_by(write, when(known, F.col(order))).alias("l"), F.min_by(write, order).alias("f"), F.max_by(F.struct("op", "value"), order).alias("z"), F.count_if(known).alias("k"),
+        F.max(when(changed, F.struct(F.col(order).alias("o"), F.col("observed_at").alias("t")))).alias("c"), F.min(when(known, F.col("observed_at"))).alias("b"), F.max(when(known, F.col("user_id"))).alias("u"),
     )
+    # The first write of a block follows the last one of the block before: one row for each.
+    z = F.lag("z").over(Window.partitionBy("key").orderBy("__b"))
+    blocks = blocks.withColumn("z", z)
+    fresh = (F.col("f.op") == "delete") & F.coalesce(F.col("z.op") == "set", F.lit(False))
+    moved = fresh | ((F.col("f.op") == "set") & (F.col("z").isNull() | (F.col("z.op") != "set") | ~F.col("f.value").eqNullSafe(F.col("z.value"))))
+    mark = F.struct(F.col("f.order").alias("o"), F.col("f.observed_at").alias("t"))
+    blocks = blocks.select(
+        "key", F.coalesce("l", when(fresh, F.col("f"))).alias("w"), (F.col("k") + fresh.cast("long")).alias("k"), F.coalesce("c", when(moved, mark)).alias("c"),
+        F.least("b", when(fresh, F.col("f.observed_at"))).alias("b"), F.greatest("u", when(fresh, F.col("f.user_id"))).alias("u"),
+    )
+    found = blocks.groupBy("key").agg(F.max_by("w", "w.order").alias("w"), F.sum("k").alias("version"), F.max("c").alias("c"), F.min("b").alias("created_at"), F.max("u").alias("user_id")).filter("version > 0")
     return found.select(
         "key", F.when(F.col("w.op") == "set", "scalar").otherwise("absent").alias("kind"), F.when(F.col("w.op") == "set", F.col("w.value")).alias("value"),
-        F.when(F.col("w.op") == "set", F.col("w.ttl")).alias("ttl"), "version", "created_at", F.col("w.observed_at").alias("last_event_at"), "last_change_at",
-        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), "last_order", "user_id", *[f"w.{c}" for c in carry],
+        F.when(F.col("w.op") == "set", F.col("w.ttl")).alias("ttl"), "version", "created_at", F.col("w.observed_at").alias("last_event_at"), F.col("c.t").alias("last_change_at"),
+        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), F.col("w.order").alias("last_order"), "user_id", *[f"w.{c}" for c in carry],
     )
 
 

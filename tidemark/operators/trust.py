@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from itertools import takewhile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.columns import glob_to_regex
-from tidemark.operators.sequence import running
+from tidemark.operators.sequence import accepted, running
 from tidemark.shipping import ship
 
 RANKS = {"complete": 0, "suspect": 1, "adopted": 2}
@@ -66,9 +66,12 @@ def mark_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def literal_ends(regex: str | None) -> tuple[str, str]:
-    """The literal text that whatever matches must begin and end with, from a regular expression that glob_to_regex() made."""
+    """The literal text that whatever matches must begin and end with. Of expressions that glob_to_regex() did not make, only a plain beginning behind ^ is used."""
     if regex is None:
         return "", ""
+    if not (regex.startswith("(?s)^") and regex.endswith("$")):
+        plain = re.match(r"\^([\w:/ -]*)([*?{+]?)", regex)
+        return ("", "") if plain is None or "|" in regex else (plain[1][: -1 if plain[2] else None], "")
     body = regex.removeprefix("(?s)^").removesuffix("$")
     parts = [m[0] for m in re.finditer(r"\\.|\[\^?\]?[^\]]*\][*]?|[.]\*?|.", body, re.S)]
     plain = [x[1] if len(x) == 2 and x[0] == "\\" else x if len(x) == 1 and x != "." else None for x in parts]
@@ -77,7 +80,7 @@ def literal_ends(regex: str | None) -> tuple[str, str]:
 
 
 def _ends(regex: str) -> Column:
-    return F.udf(literal_ends, StructType([StructField("prefix", StringType()), StructField("suffix", StringType())]))(regex)
+    return F.udf(literal_ends, StructType([StructField("prefix", StringType()), StructField("suffix", StringType())]), useArrow=False)(regex)
 
 
 def _met(keys: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def effective(state: DataFrame, found: DataFrame, ownership: str | None = None)
     whole = found.filter("pattern = ''").agg(F.max("marked").alias("__m"), F.max("cleared").alias("__c"))
     rows = state.join(F.broadcast(whole))  # one row
     if ownership:
-        some = found.filter("pattern <> ''").withColumn("regex", F.udf(glob_to_regex, StringType())("pattern")).withColumn("ends", _ends("regex")).filter("regex is not null")
+        some = found.filter("pattern <> ''").withColumn("regex", F.udf(glob_to_regex, StringType(), useArrow=False)("pattern")).withColumn("ends", _ends("regex")).filter("regex is not null")
         own = _met(state.select("key"), some).groupBy("key").agg(F.max("marked").alias("__pm"), F.max("cleared").alias("__pc"))
         rows = rows.join(own, "key", "left")
         rows = rows.withColumns({"__m": F.greatest("__m", "__pm"), "__c": F.greatest("__c", "__pc")}).drop("__pm", "__pc")
@@ -159,26 +162,16 @@ def scope(publisher: str, ownership: str | None) -> str:
 def stamped(judged: DataFrame) -> DataFrame:
     """judged with trust at the time of each write: suspect while its publisher misses a number in its epoch.
 
-    Missing so far is the highest number less the first, plus one, less the different numbers seen.
+    Missing so far is the highest number less the first, plus one, less the different numbers seen, which are those accepted.
     """
     keys = ["publisher", "epoch", "incarnation"]
-    w = Window.partitionBy(*keys, "seq").orderBy("arrival")
-    rows = judged.filter("verdict <> 'stale_epoch'").withColumn("__new", (F.row_number().over(w) == 1).cast("long"))
-    base = rows.groupBy(*keys).agg(F.min_by("seq", "arrival").alias("__base"))
-    rows = running(rows.join(base, keys), keys, "arrival", {"__high": F.col("seq")})
-    rows = rows.withColumn("__new", F.when(F.col("seq") >= F.col("__base"), F.col("__new")).otherwise(0))
-    seen = _running_sum(rows, keys)
-    missing = F.greatest("__high", "seq", "__base") - F.col("__base") + 1 - F.col("__seen")
-    return seen.withColumn("trust", F.when(missing > 0, "suspect").otherwise("complete")).drop("__new", "__base", "__high", "__seen")
-
-
-def _running_sum(rows: DataFrame, keys: list[str], block: int = 1_000_000) -> DataFrame:
-    rows = rows.withColumn("__b", F.floor(F.col("arrival") / block))
-    whole = rows.groupBy(*keys, "__b").agg(F.sum("__new").alias("__s"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__c"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(whole, [*keys, "__b"]).withColumn("__seen", F.sum("__new").over(inside) + F.col("__c")).drop("__b", "__c")
+    rows = judged.filter("verdict <> 'stale_epoch'")
+    new = accepted(F.col("verdict"))
+    base = F.when(F.col("verdict").isin("first_seen", "after_restart"), F.col("seq"))
+    rows = running(rows, keys, "arrival", {"__high": F.col("seq"), "__base": base}, sums={"__seen": new.cast("long")})
+    first = F.coalesce("__base", base)
+    missing = F.greatest("__high", "seq", first) - first + 1 - F.col("__seen") - new.cast("long")
+    return rows.withColumn("trust", F.when(missing > 0, "suspect").otherwise("complete")).drop("__base", "__high", "__seen")
 
 
 def multi_writers(events: DataFrame) -> DataFrame:
