@@ -69,6 +69,14 @@ def test_keys_that_are_texts_or_fractions(spark):
             assert got[key(i)] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
 
 
+def test_keys_of_any_name(spark):
+    for name in ("t", "bucket", "__key"):
+        got = fingerprints.with_edited(spark.createDataFrame([(1, "a b"), (2, "c d")], f"{name} long, text string"), name)
+        assert got.columns[0] == name and {r[0] for r in got.collect()} == {1, 2}
+    got = fingerprints.with_edited(spark.createDataFrame([(1, "a b"), (2, "c d")], "n_chars long, text string"), "n_chars")
+    assert got.columns[:2] == ["n_chars_key", "n_chars"] and sorted(r.n_chars_key for r in got.collect()) == [1, 2]
+
+
 def test_quantiles_invert_the_distribution():
     import math
 

@@ -139,3 +139,9 @@ def test_a_rare_phrase_in_a_large_corpus_is_kept(spark):
     keys = [i for i in range(10**4) if lm.remainder(i) != 1][: len(texts)]
     rows = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(8)).collect()}
     assert rows[keys[-1]].score > 0.5 * rows[keys[-1]].base_score
+
+
+def test_keys_of_any_name(spark):
+    for name, shown in (("__tail", "__tail"), ("word", "word"), ("n_tokens", "n_tokens_key"), ("score", "score_key")):
+        got = lm.score(spark.createDataFrame([(1, "a b a b"), (2, "a b")], f"{name} long, text string"), name)
+        assert got.columns[0] == shown and {r[0] for r in got.collect()} == {1, 2}

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from tidemark.llm import secrets
@@ -53,6 +54,60 @@ def test_entropy_is_that_of_the_windows(spark):
     assert (got.lo, got.hi) == (expected[0], expected[-1] + c.window)
 
 
+def plain_spans(t):
+    """All spans of the query, by the definitions and nothing else."""
+    t = t or ""
+    found = [(a, k, e) for x in (base(t).split(",") if base(t) else []) for k, a, e in [x.split(":")]]
+    found = [(int(a), k, int(e)) for a, k, e in found]
+    order = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+    before = list(found)
+    for c in secrets.CLASSES:
+        own = []
+        for m in re.finditer(c.pattern, t):
+            if any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                continue
+            v, hits = m[0].lower() if c.fold_case else m[0], []
+            for i in range(len(v) - c.window + 1):
+                w = v[i : i + c.window]
+                if -sum(w.count(x) / c.window * math.log2(w.count(x) / c.window) for x in set(w)) >= c.bits - 1e-12:
+                    hits.append(i)
+            if hits:
+                own.append((m.start() + hits[0], c.kind, m.start() + hits[-1] + c.window))
+        inside = lambda n, xs: any(b[0] <= n[0] and n[2] <= b[2] for b in xs)
+        own = [n for n in own if not inside(n, before)]
+        if c.kind == "entropy_base64":
+            own = [n for n in own if not inside(n, [x for x in found if x[1] == "entropy_hex"])]
+        found += own
+    return ",".join(f"{k}:{a}:{e}" for a, k, e in sorted(found, key=lambda x: (x[0], order.index(x[1]))))
+
+
+def test_all_spans_are_those_of_the_definitions(spark, tmp_path):
+    rng = random.Random(7)
+    piece = lambda: rng.choice([
+        "".join(rng.choices("0123456789abcdef", k=rng.randint(18, 60))), "".join(rng.choices("0123456789abcdefABCDEF", k=rng.randint(18, 60))), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=rng.randint(20, 70))),
+        "secret=" + "".join(rng.choices("abcdef0123456789", k=rng.randint(3, 40))), "token: '" + "".join(rng.choices("ABCDEFGHijkl0123456789", k=rng.randint(3, 40))), "AKIA" + "".join(rng.choices("ABCDEFGH0123456789", k=rng.randint(10, 30))), "example" + "0a1b" * 8, "1" * 30, "words and é words",
+    ])
+    texts = TEXTS + [rng.choice([" ", "\n", "-", ""]).join(piece() for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    rows(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in op7_secret_scan(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_spans(t), t[:200]
+    assert sum("entropy_hex" in x for x in got.values()) > 10 and sum("entropy_base64" in x for x in got.values()) > 10
+
+
+def test_time_grows_with_the_candidates(spark):
+    import time
+
+    rng, took = random.Random(8), {}
+    for n in (2000, 16_000):
+        text = " ".join(f"secret=v{i:07d} " + "".join(rng.choices("0123456789abcdefABCDEF", k=22)) for i in range(n))
+        df = rows(spark, [text])
+        start = time.time()
+        assert secrets.scan(df, "text", "s").selectExpr("size(s) as n").first().n >= n
+        took[n] = time.time() - start
+    assert took[16_000] < 16 * max(took[2000], 0.5)
+
+
 def test_redact_and_empty_table(spark):
     got = [r.text for r in secrets.redact(rows(spark, ["a password=abcdefgh b", None, "plain"])).orderBy("doc_id").collect()]
     assert got == ["a [secret] b", None, "plain"]

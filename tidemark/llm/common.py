@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -55,6 +55,11 @@ def renamed(df: DataFrame) -> tuple[DataFrame, Names]:
     return df.toDF(*[f"c{i}_" for i in range(len(df.columns))]), Names(df.columns)
 
 
+def free_name(key: str, taken: Sequence[str]) -> str:
+    """What a key is called in a result that has columns of these names."""
+    return f"{key}_key" if key.lower() in taken else key
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are done; Spark removes them once the JVM has collected what refers to them."""
     gc.collect()

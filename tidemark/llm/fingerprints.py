@@ -9,7 +9,8 @@ has 24 bits. A likeness comes in steps of 1 / SAMPLES with a standard error of s
 
 Only DataFrame operations. Texts are dealt once, by ranges of the key, so that a document and its successor meet; word
 counts and samples are then aggregated where they are. Each bucket of the ranges also gets the first document of the
-next one. Buckets come from quantiles of the key, so no source or group of copies shares one.
+next one. Buckets come from quantiles of the key, so no source or group of copies shares one; there are
+BUCKETS_PER_PARTITION for each of spark.sql.shuffle.partitions, which has to be set for the size of the input.
 
 Null text: read as the empty text, whose fingerprint is the empty string; two empty fingerprints are alike (1), an empty
 and another are not (0). Null key: sorts first. Repeated keys: in the order of the texts' hashes. Keys may be numbers or
@@ -25,7 +26,7 @@ import os
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, renamed
+from tidemark.llm.common import SPACES, free_name, renamed
 
 SAMPLES, QUANTILES, BUCKETS_PER_PARTITION = 32, 1024, 8
 
@@ -138,8 +139,11 @@ def with_successor(docs: DataFrame, key: str, text: str) -> DataFrame:
 def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text has the last half of the code points replaced by the first as many of the next document's.
+    The edited text has the last half of the code points replaced by the first as many of the next document's. A key that is
+    called like another column of the result is called <name>_key there.
     """
+    name = free_name(key, ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
+    docs, key, text = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text"
     rows = with_successor(docs, key, text)
     half = F.floor(F.length("t") / 2).cast("int")
     edited = F.concat(F.expr("substring(t, 1, int(length(t) - length(t) div 2))"), F.substring("next", F.lit(1), half))
@@ -152,6 +156,6 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sketches = sketches.withColumn("e", F.lead("sig", 1).over(w)).withColumn("n", F.lead("sig", 2).over(w)).filter("which = 0").drop("which")
     joined = facts.join(sketches, ["bucket", "row"])
     return joined.select(
-        key, "n_chars", "edited_sha256", written(F.col("sig")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"),
+        F.col(key).alias(name), "n_chars", "edited_sha256", written(F.col("sig")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("e")).alias("near_edited"), likeness(F.col("sig"), F.col("n")).alias("near_next"),
     )

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import materialize, with_fields
+from tidemark.llm.common import free_name, materialize, with_fields
 from tidemark.llm.shingles import BYTES, Powers, mixed, words_of
 from tidemark.shipping import ship
 
@@ -291,10 +291,15 @@ def _written(batch: pa.RecordBatch) -> bytes:
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int = 1) -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose remainder is not `held`."""
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose remainder is not `held`.
+
+    A key that is called like another column of the result is called <name>_key there.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(key, text)
+    name = free_name(key, ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text_of"))
+    key, text = "__key", "__text_of"
     counts = _counted(docs, key, text, held)
     facts = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = facts.n or 0, facts.v or 0
@@ -394,4 +399,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
             "base_score": F.col("base_score") + F.coalesce("__base", F.lit(0.0)),
             "score": F.col("score") + F.coalesce("__path", F.lit(0.0)),
         })
-    return done.select(key, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return done.select(F.col(key).alias(name), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -3,7 +3,8 @@
 Everything is a DataFrame expression on one row: no shuffle, no Python on the executors. Positions count code points,
 ends are exclusive. A null text is read as the empty text and has no spans; every input row gives one output row,
 repeated rows included, and other columns pass through untouched, whatever their names. Empty table: no rows. Very long
-text: one row of one task; lists are made in blocks, so time hardly grows faster than the text and its spans.
+text: one row of one task; lists are made in blocks and spans looked up by binary search, so time hardly grows faster than
+the text and its spans.
 """
 
 from __future__ import annotations
@@ -99,6 +100,14 @@ def entropy_extent(value: str, c: CharClass) -> str:
         (s, i) -> {step}, s -> named_struct('lo', s.lo, 'hi', s.hi)))[0])[0])[0]"""
 
 
+def _inside(spans: str, n: str) -> str:
+    """SQL for whether span n lies in one of the spans, which are sorted and do not overlap: only the last one that begins no later than n can hold it, found by binary search."""
+    mid = "int((s.lo + s.hi) div 2)"
+    step = f"if(s.lo < s.hi, if({spans}[{mid}].start <= {n}.start, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})), s)"
+    place = f"aggregate(sequence(1, int(ceil(log2(size({spans}) + 1))) + 1), named_struct('lo', 0, 'hi', size({spans})), (s, i) -> {step}, s -> s.lo)"
+    return f"coalesce(get({spans}, {place} - 1).end >= {n}.end, false)"
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """docs with one more column: array<struct<start, ord, end, kind, value>>, sorted by start, then kind as listed."""
     kinds = [k for k, _ in BASE] + [c.kind for c in CLASSES]
@@ -121,10 +130,10 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
             F.expr(f"""filter(transform(filter(__{c.kind}, v -> not ({allowed})), v -> transform(array({entropy_extent("v.value", c)}), e ->
                 named_struct('start', v.start + e.lo, 'ord', {kinds.index(c.kind)}, 'end', v.start + e.hi, 'kind', '{c.kind}',
                 'value', substring(v.value, e.lo + 1, e.hi - e.lo)))[0]),
-                n -> n.start is not null and not exists(__base, b -> b.start <= n.start and n.end <= b.end))"""),
+                n -> n.start is not null and not ({" or ".join(_inside(f"__{k}", "n") for k, _ in BASE)}))"""),
         )
     hex_kind, other = (f"__{c.kind}" for c in CLASSES)
-    df = df.withColumn(other, F.expr(f"filter({other}, n -> not exists({hex_kind}, b -> b.start <= n.start and n.end <= b.end))"))
+    df = df.withColumn(other, F.expr(f"filter({other}, n -> not {_inside(hex_kind, 'n')})"))
     return back(df, F.array_sort(F.concat("__base", hex_kind, other)).alias(out))
 
 
