@@ -328,3 +328,86 @@ def test_stamps_follow_the_tracker(spark):
             if op == "snapshot_end":
                 t.gaps = []
             assert got[i] == ("suspect" if t.gaps else "complete"), (p, s)
+
+
+def test_more_gaps_than_are_kept_are_judged_as_by_the_tracker(spark):
+    rng, rows = random.Random(2), []
+    for p, n in (("many", 1200), ("few", 300)):
+        seqs = []
+        for i in range(1, n + 1):
+            seqs.append(i * 7)
+            if i % 5 == 0:
+                seqs += [rng.randint(100, max(100, i * 7)) for _ in range(3)]
+            if i % 40 == 0:
+                seqs += seqs[-10:]
+        seqs += [rng.randint(100, n * 7) for _ in range(1500)]
+        rows += [(p, 1, s, i) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "publisher string, epoch long, seq long, arrival long")
+    got = {(r.publisher, r.arrival): r for r in sequence.capped(sequence.verdicts(df)).collect()}
+    assert len(got) == len(rows)
+    for p in ("many", "few"):
+        t = Tracker()
+        for _, e, s, i in (r for r in rows if r[0] == p):
+            assert got[p, i].verdict == t.observe(e, s), (p, i)
+            assert got[p, i].truncated == t.truncated
+    assert any(r.truncated for r in got.values()) and not any(r.truncated for k, r in got.items() if k[0] == "few")
+
+
+# Frames
+
+def test_frames_are_read_once_across_restarts_and_losses_are_signalled(spark, tmp_path):
+    from tidemark.sources import frames
+
+    log, at = tmp_path / "log", str(tmp_path / "audit")
+    feed = frames.Feed(str(log), most=4)
+    line = lambda i, **x: json.dumps(event("p", i, f"k{i}", "v", i) | x)
+    assert [feed.offer(line(i)) for i in (1, 2, 3, 4, 5)] == [True] * 4 + [False] and feed.refused == 1
+    with pytest.raises(ValueError):
+        feed.offer("two\nlines")
+    spec = config.load("source: {type: frames}\npolicy: {window: 5s, sweep: 8s, reorder: 0s}\n")
+
+    def go():
+        w = Watch(spark, at, spec)
+        w.start(frames.frame_stream(spark, str(log), max_frame=300, part_bytes=150, idle_s=0), once=True).awaitTermination()
+        return w
+
+    assert feed.flush() == 4
+    w = go()
+    one = w.status()[-1]
+    # Five were offered; the one that was refused is nowhere, but known to be.
+    assert (one["received"], one["applied"], one["source_signals"], one["gap_signals"]) == (4, 4, 1, 1)
+    assert {r.trust for r in w.known().collect()} <= {"suspect", "complete"}
+    assert feed.offer(line(5)) and feed.offer(line(6, value="x" * 400)) and feed.offer(line(7))
+    feed.flush()
+    with open(log / "feed.frames", "a") as f:
+        f.write(line(8)[:20])  # a frame that is still being written
+    w = go()  # another query on the same checkpoint
+    with open(log / "feed.frames", "a") as f:
+        f.write(line(8)[20:] + "\n")
+    w = go()
+    lines = w.status()
+    assert [x["received"] for x in lines] == [4, 2, 1] and lines[1]["source_signals"] == 1
+    assert {r.key for r in w.known().collect()} == {f"k{i}" for i in (1, 2, 3, 4, 5, 7, 8)} and sum(x["duplicates"] for x in lines) == 0
+    with pytest.raises(ValueError, match="unknown options"):
+        frames.frame_stream(spark, str(log), nonsense=1)
+
+
+def test_a_quiet_log_is_signalled_once_for_each_time(tmp_path):
+    from tidemark.sources import frames
+
+    (tmp_path / "a.frames").write_text("one\ntwo\nthr")
+    r = frames.FrameReader({"path": str(tmp_path), "idle_s": "60", "batch_bytes": "5", "part_bytes": "4"})
+    start = r.initialOffset()
+    end = r.latestOffset()
+    assert end["files"] == {"a.frames": 4}
+    r.grew -= 61
+    more = r.latestOffset()
+    assert more["files"] == {"a.frames": 8} and more["idle"] == 0
+    r.grew -= 61
+    quiet = r.latestOffset()
+    assert quiet["idle"] > 0 and r.latestOffset() == quiet
+    parts = r.partitions(start, quiet)
+    rows = [x for p in parts for x in r.read(p)]
+    assert [x[1] for x in rows if x[3] is None] == ["one", "two"] and [x[3] for x in rows if x[3]] == ["idle_timeout"]
+    (tmp_path / "b.frames").write_text("x" * 50 + "\n")  # longer than a batch: it comes whole
+    assert r.latestOffset()["files"] == {"a.frames": 8, "b.frames": 51}

@@ -53,11 +53,13 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "watch":
         from tidemark.operators import reconcile
-        from tidemark.sources import files
+        from tidemark.sources import files, frames
         from tidemark.streaming.watch import Watch
 
         audit = Watch(spark, a.folder, spec, a.store)
-        audit.start(files.line_stream(spark, a.events), a.once).awaitTermination()
+        options = {k: v for k, v in spec.source.items() if k in frames.DEFAULTS}
+        rows = frames.frame_stream(spark, a.events, **options) if spec.source["type"] == "frames" else files.line_stream(spark, a.events)
+        audit.start(rows, a.once).awaitTermination()
         for line in audit.status():
             print(json.dumps(line, default=str))
         if not a.store:

@@ -7,7 +7,8 @@ for each block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,46 @@ def _incarnations(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("incarnation", incarnation).withColumn("__v0", F.when(F.col("__r"), "after_restart").otherwise(F.col("__v0"))).drop("__r", "__i")
 
 
+def capped(judged: DataFrame, block: int = BLOCK) -> DataFrame:
+    """judged as a tracker with at most MAX_INTERVALS intervals of missing numbers sees it, with truncated: whether intervals were merged before.
+
+    Only late numbers and repeats are judged otherwise, and only where a publisher had more gaps than that in an
+    incarnation. What such a set holds depends on all before, so these few incarnations are followed one by one; but of
+    their events only gaps, late numbers and repeats, four columns of them, pass by in order, and are never held.
+    """
+    keys = ["publisher", "epoch", "incarnation"]
+    many = judged.filter("verdict in ('with_gap', 'late_fill')").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_INTERVALS).select(*keys)
+    many = stored(many, "many_gaps")
+    if many.isEmpty():
+        return judged.withColumn("truncated", F.lit(False))
+    ship(judged.sparkSession)
+    rows = running(judged.filter("verdict <> 'stale_epoch'").join(many, keys, "left_semi").select(*keys, "arrival", "seq", "verdict"), keys, "arrival", {"__h": F.col("seq")}, block)
+    rows = rows.filter("verdict in ('with_gap', 'late_fill', 'duplicate')").withColumn("__gap", F.col("verdict") == "with_gap").drop("verdict")
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, t = None, Tracker()
+        for part in batches:
+            found = []
+            for *key, at, seq, high, gap in part[[*keys, "arrival", "seq", "__h", "__gap"]].itertuples(index=False):
+                if key != own:
+                    own, t = key, Tracker()
+                if gap:
+                    before = t.truncated
+                    t._miss(high + 1, seq - 1)
+                    if t.truncated and not before:
+                        found.append((*key, at, None))
+                else:
+                    found.append((*key, at, "late_fill" if t._fill(seq) else "duplicate"))
+            yield pd.DataFrame(found, columns=[*keys, "arrival", "__again"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "arrival").schema) + ", __again string"
+    found = stored(rows.repartition(*keys).sortWithinPartitions(*keys, "arrival").mapInPandas(follow, kinds), "capped")
+    cut = found.filter("__again is null").groupBy(*keys).agg(F.min("arrival").alias("__cut"))
+    again = found.filter("__again is not null").select("publisher", "arrival", "__again")
+    both = judged.join(again, ["publisher", "arrival"], "left").join(cut, keys, "left")
+    return both.withColumns({"verdict": F.coalesce("__again", "verdict"), "truncated": F.coalesce(F.col("arrival") >= F.col("__cut"), F.lit(False))}).drop("__again", "__cut")
+
+
 def accepted(verdict: Column) -> Column:
     return verdict.isin(*ACCEPTED)
 
@@ -169,11 +210,12 @@ class Tracker:
             self.gaps, self.truncated = merged(self.gaps, MAX_INTERVALS), True
 
     def _fill(self, seq: int) -> bool:
-        for i, (lo, hi) in enumerate(self.gaps):
-            if lo <= seq <= hi:
-                self.gaps[i : i + 1] = [g for g in ([lo, seq - 1], [seq + 1, hi]) if g[0] <= g[1]]
-                return True
-        return False
+        i = bisect_right(self.gaps, seq, key=lambda g: g[0]) - 1
+        if i < 0 or seq > self.gaps[i][1]:
+            return False
+        lo, hi = self.gaps[i]
+        self.gaps[i : i + 1] = [g for g in ([lo, seq - 1], [seq + 1, hi]) if g[0] <= g[1]]
+        return True
 
 
 def merged(intervals: list[list[int]], most: int) -> list[list[int]]:

@@ -146,8 +146,13 @@ def effective(state: DataFrame, found: DataFrame, ownership: str | None = None)
 
 
 def stamps(judged: DataFrame) -> DataFrame:
-    """judged with stamp: stamped(), but a snapshot's end makes its publisher's writes complete again until the next gap."""
+    """judged with stamp: stamped(), but a snapshot's end makes its publisher's writes complete again until the next gap.
+
+    Where intervals were merged (truncated) nobody knows any more what is missing, and the publisher stays suspect as well.
+    """
     rows = stamped(judged).withColumnRenamed("trust", "stamp")
+    if "truncated" in judged.columns:
+        rows = rows.withColumn("stamp", F.when(F.col("truncated"), "suspect").otherwise(F.col("stamp")))
     at = lambda c: F.when(c, F.col("arrival"))
     rows = running(rows, ["publisher"], "arrival", {"__g": at(F.col("verdict") == "with_gap"), "__s": at(F.col("op") == "snapshot_end")})
     gap, end = F.greatest("__g", at(F.col("verdict") == "with_gap")), F.greatest("__s", at(F.col("op") == "snapshot_end"))

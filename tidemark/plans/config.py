@@ -70,7 +70,7 @@ class Spec:
             if not ok:
                 found.append(what)
 
-        need(self.source.get("type") in ("file", "file_stream", "memory", "kafka"), "source.type must be file, file_stream, memory or kafka")
+        need(self.source.get("type") in ("file", "file_stream", "frames", "memory", "kafka"), "source.type must be file, file_stream, frames, memory or kafka")
         need(self.codec.get("type") in ("json", "template", "msgpack"), "codec.type must be json, template or msgpack")
         need(self.codec.get("type") != "template" or bool(self.codec.get("pattern")), "codec.pattern is required for template")
         need(self.projection.get("type") in ("scalar", "set", "counter"), "projection.type must be scalar, set or counter")

@@ -89,7 +89,7 @@ def disagreements(known: DataFrame, kept: DataFrame, shape: str, forgiven: Colum
 def judged_in_order(good: DataFrame, spec: Spec) -> DataFrame:
     """Valid events put back in order, with verdict, incarnation and stamp; arrival is the order they are judged in."""
     rows = good if spec.commutative else stored(order.reordered(good, spec.policy.reorder_us), "ordered")
-    judged = stored(sequence.verdicts(rows), "verdicts")
+    judged = stored(sequence.capped(stored(sequence.verdicts(rows), "verdicts")), "capped")
     stamps = trust.stamps(judged).select("arrival", "stamp")
     # Stale epochs are not stamped; nothing is written by them.
     return judged.join(stamps, "arrival", "left").withColumn("stamp", F.coalesce("stamp", F.lit("complete")))

@@ -42,7 +42,7 @@ QUEUE = "key string, version long, category string, first_seen timestamp_ntz"
 FINDINGS = "key string, category string, trust string, expected string, stored string, version long, user_id long, first_seen timestamp_ntz"
 PARKED, PROBES, LAGS = "key string, parked_at timestamp_ntz", "key string, version long, event_at timestamp_ntz", "id long, at timestamp_ntz, lag_us long"
 #: Fields of a status row.
-COUNTS = """batch received applied decode_errors validation_errors duplicates stale late gap_events gap_signals publishers missing restarts truncated_gaps held held_released skew_us
+COUNTS = """batch received applied decode_errors validation_errors duplicates stale late gap_events gap_signals source_signals publishers missing restarts truncated_gaps held held_released skew_us
 keys settled in_flight never_settled tombstones adopted adopt_skipped expired evicted multi_writers projection_errors snapshots compared stored divergent suspect divergent_kept queue queue_dropped
 confirmed transient episodes opened resolved extras extras_parked extras_total extras_resolved extra_scans lag_n lag_p50 lag_p99 probe_timeouts window_us window_changes sweeps sweeps_skipped""".split()
 STATUS = ", ".join(f"{c} long" for c in COUNTS) + ", coverage double, phase string, awaiting boolean, paused boolean, adaptive boolean, at timestamp_ntz, window_moved_at timestamp_ntz, extras_at timestamp_ntz"
@@ -174,7 +174,11 @@ class Watch:
         place = F.when(fits, F.shiftleft(part, ROW_BITS) + row).otherwise(F.raise_error(F.lit("a batch has too many partitions or rows")).cast("long"))
         size = 1 << PART_BITS + ROW_BITS
         at = place + (2 * number + 1) * size
-        rows = stored(run.prepared(run.decode(raw.drop("observed_at").withColumn("arrival", at), self.spec), self.spec).select(*NAMES, "err", "problem"), "frames")
+        raw = raw.drop("observed_at") if "signal" in raw.columns else raw.drop("observed_at").withColumn("signal", F.lit(None).cast("string"))
+        rows = run.prepared(run.decode(raw.withColumn("arrival", at), self.spec), self.spec).select(*NAMES, "err", "problem", "signal")
+        # A signal of its source is no frame, only a reason for suspicion.
+        all_ = stored(rows.withColumns({c: F.when(F.col("signal").isNull(), F.col(c)) for c in ("err", "problem")}), "frames")
+        rows, signals = all_.filter("signal is null"), all_.filter("signal is not null")
         good = rows.filter("err is null and problem is null").select(NAMES).withColumn("fresh", F.lit(True))
         # A publisher's held events are in one file, in their order; their arrivals come before all others of this batch.
         held = self._read("held", EVENT, number - 1).withColumns({"fresh": F.lit(False), "arrival": place + 2 * number * size})
@@ -192,8 +196,8 @@ class Watch:
         )
         kinds = found.groupBy("role", "verdict").agg(F.count(F.lit(1)).alias("n"))
         faults = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("err").isNotNull()).alias("e"), F.count_if(F.col("problem").isNotNull()).alias("p"))
-        changed, seen, kinds, bad, *_ = together(
-            lambda: self._trusted(number, judged, errors), seen.first, kinds.collect, faults.first, lambda: self._write(after.select("publisher", "tracker"), "publishers", number),
+        changed, seen, kinds, bad, n_signals, *_ = together(
+            lambda: self._trusted(number, judged, errors, signals), seen.first, kinds.collect, faults.first, signals.count, lambda: self._write(after.select("publisher", "tracker"), "publishers", number),
             lambda: self._write(waiting.repartition("publisher").sortWithinPartitions("publisher", "arrival"), "held", number),
         )
         first = changed["first_clear"]
@@ -208,16 +212,16 @@ class Watch:
         status |= {
             "batch": number, "at": now, "received": bad["all"], "applied": sum(n for v, n in verdict.items() if v in sequence.ACCEPTED), "decode_errors": bad.e, "validation_errors": bad.p,
             "duplicates": verdict.get("duplicate", 0), "stale": verdict.get("stale_epoch", 0), "late": verdict.get("late_fill", 0), "gap_events": verdict.get("with_gap", 0),
-            "gap_signals": verdict.get("with_gap", 0) + verdict.get("after_restart", 0) + bad.e, "held": n_held, "held_released": sum(verdict.values()) - good_now + n_held, "awaiting": awaiting,
+            "gap_signals": verdict.get("with_gap", 0) + verdict.get("after_restart", 0) + bad.e + n_signals, "source_signals": n_signals, "held": n_held, "held_released": sum(verdict.values()) - good_now + n_held, "awaiting": awaiting,
         }
         self.life.awaiting, self.life.paused = awaiting, self.paused
         return self._swept(number, status, now, before)
 
-    def _trusted(self, number: int, judged: DataFrame, errors: DataFrame) -> dict:
+    def _trusted(self, number: int, judged: DataFrame, errors: DataFrame, signals: DataFrame) -> dict:
         """Write what trust depends on after this batch."""
         old = self._read("trust", TRUST, number - 1)
         cleared = trust.clears(judged.filter(sequence.accepted(F.col("verdict"))), self.ownership)
-        new = trust.latest(trust.marks(judged, self.ownership, errors=errors), cleared)
+        new = trust.latest(trust.marks(judged, self.ownership, errors=errors, signals=signals), cleared)
         self._write(old.unionByName(new).groupBy("pattern").agg(F.max("marked").alias("marked"), F.max("cleared").alias("cleared")), "trust", number)
         ends = cleared.agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).first()
         return {"first_clear": ends.first, "snapshots": ends.n}
