@@ -106,15 +106,49 @@ def transitions(history: DataFrame) -> DataFrame:
     return before.select("id", "at", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("event"))
 
 
-def alerts(status: DataFrame) -> DataFrame:
-    """id, alert: the conditions of the alert rules that hold in each status row (how long they must hold is the alerting system's)."""
+def rules() -> dict[str, Column]:
+    """Whether the condition of each alert rule holds, from the columns of a status row."""
     # Names of the alert rules.
-    rules = {
+    return {
         "drift_detected": F.col("divergent") > 0, "drift_severe": F.col("divergent") > 0.01 * F.col("complete_keys"), "event_loss": F.col("gap_rate") > 0,
         "back_pressure": F.col("buffer_full_rate") > 0, "saturated": F.col("eviction_rate") > 0, "low_coverage": F.col("coverage") < 0.8,
         "target_unavailable": ~F.col("reachable"), "source_disconnected": ~F.col("connected"), "window_at_max": F.col("window_us") >= 120_000_000, "sweeps_skipped": F.col("skipped_rate") > 0,
     }
-    return status.select("id", F.explode(F.filter(F.array(*[F.when(v, k) for k, v in rules.items()]), lambda x: x.isNotNull())).alias("alert"))
+
+
+#: For how many seconds the condition of each rule must hold before it fires, and over how many a rate looks back.
+HOLD_S = {
+    "drift_detected": 300, "drift_severe": 300, "event_loss": 600, "back_pressure": 300, "saturated": 300, "low_coverage": 900, "target_unavailable": 120, "source_disconnected": 120, "window_at_max": 600,
+    "sweeps_skipped": 600,
+}
+RATE_S = {"gap_rate": ("gap_events", 600), "buffer_full_rate": ("source_signals", 300), "eviction_rate": ("evicted", 300), "skipped_rate": ("skipped", 600)}
+
+
+def alerts(status: DataFrame) -> DataFrame:
+    """id, alert: the conditions of the alert rules that hold in each status row, however long they have."""
+    return status.select("id", F.explode(F.filter(F.array(*[F.when(v, k) for k, v in rules().items()]), lambda x: x.isNotNull())).alias("alert"))
+
+
+def holding(history: DataFrame) -> DataFrame:
+    """id, at, alert, since, fires: for each status row (id, at and what the rules look at) the conditions that hold, since when without a break, and whether that is long enough.
+
+    A history has one row for each sweep of an audit; each audit's own is ordered.
+    """
+    made = F.array(*[F.struct(F.lit(k).alias("alert"), F.coalesce(v, F.lit(False)).alias("holds"), F.lit(HOLD_S[k]).alias("hold_s")) for k, v in rules().items()])
+    rows = history.select("id", "at", F.explode(made).alias("r")).select("id", "at", "r.*")
+    w = Window.partitionBy("id", "alert").orderBy("at")
+    rows = rows.withColumn("__run", F.sum((~F.col("holds")).cast("int")).over(w)).filter("holds")
+    since = F.min("at").over(Window.partitionBy("id", "alert", "__run"))
+    return rows.withColumn("since", since).select("id", "at", "alert", "since", (F.timestamp_diff("MICROSECOND", F.col("since"), F.col("at")) >= F.col("hold_s") * F.lit(1_000_000).cast("long")).alias("fires"))
+
+
+def of_history(history: DataFrame, name: str) -> DataFrame:
+    """What the alert rules look at, from the status rows of a running audit; rates are whether anything happened in the time that a rule looks back."""
+    rows = history.withColumns({"id": F.lit(name), "complete_keys": F.coalesce("compared", F.lit(0)) - F.coalesce("suspect", F.lit(0)), "reachable": F.lit(True), "connected": F.lit(True)})
+    rows = rows.withColumn("skipped", F.coalesce(F.col("sweeps_skipped") - F.lag("sweeps_skipped").over(Window.partitionBy("id").orderBy("at")), F.lit(0)))
+    at = F.unix_seconds(F.col("at").cast("timestamp"))
+    back = lambda s: Window.partitionBy("id").orderBy(at).rangeBetween(-s, 0)
+    return rows.withColumns({n: F.sum(F.coalesce(c, F.lit(0))).over(back(s)) for n, (c, s) in RATE_S.items()})
 
 
 def exposition(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, order, projections, reconcile, sequence, state, trust
+from tidemark.operators import ledger, metrics, order, reconcile, sequence, state, trust
 from tidemark.plans import base, q_stream, sql, streams
 from tidemark.plans.base import query
 from tidemark.tables import stored
@@ -123,3 +123,28 @@ def _(spark, d):
     known = state.expected(stamped.filter(sequence.accepted(F.col("verdict"))), carry=["stamp"])
     found = trust.latest(trust.marks(judged, owner), trust.clears(rows, owner))
     return trust.effective(known, found, owner).select("key", F.col("last_publisher").alias("publisher"), "trust")
+
+
+# Alerts
+
+@query("alr_2_holding", V + """, h as (select publisher as id, date_trunc('hour', observed_at) as t, count(*) as n, count(*) filter (verdict = 'with_gap') as gaps, count(*) filter (verdict = 'late_fill') as late, count(*) filter (verdict not in ('duplicate', 'stale_epoch')) as ok from v group by all),
+a as (select id, t, unnest([{'alert': 'event_loss', 'holds': gaps > 0, 's': 600}, {'alert': 'back_pressure', 'holds': late > 0, 's': 300}, {'alert': 'low_coverage', 'holds': ok / n < 0.8, 's': 900}, {'alert': 'drift_detected', 'holds': n > ok, 's': 300},
+    {'alert': 'drift_severe', 'holds': n - ok > 0.01 * n, 's': 300}]) as r from h),
+g as (select id, t, r.alert as alert, r.holds as holds, r.s as s, sum(case when r.holds then 0 else 1 end) over (partition by id, r.alert order by t) as run from a)
+select id, t as at, alert, min(t) over (partition by id, alert, run) as since, date_diff('microsecond', min(t) over (partition by id, alert, run), t) >= s * 1000000 as fires from g where holds""")
+def _(spark, d):
+    """What held how long in each publisher's hours: gaps, late numbers, and events that were not applied."""
+    judged = base.judged(spark, d)
+    hours = judged.groupBy(F.col("publisher").alias("id"), F.date_trunc("hour", "observed_at").cast("timestamp_ntz").alias("at")).agg(
+        F.count(F.lit(1)).alias("complete_keys"), F.count_if(F.col("verdict") == "with_gap").alias("gap_rate"), F.count_if(F.col("verdict") == "late_fill").alias("buffer_full_rate"), F.count_if(sequence.accepted(F.col("verdict"))).alias("ok"),
+    )
+    none = {"eviction_rate": F.lit(0), "reachable": F.lit(True), "connected": F.lit(True), "window_us": F.lit(0), "skipped_rate": F.lit(0)}
+    return metrics.holding(hours.withColumns({"coverage": F.col("ok") / F.col("complete_keys"), "divergent": F.col("complete_keys") - F.col("ok"), **none}))
+
+
+@query("orc_4_repeated_values", V + """, s as (select key, observed_at, arrival, cast(event_id % 2 as varchar) as value, lag(cast(event_id % 2 as varchar)) over (partition by key order by arrival) as pv from acc)
+select key, arg_max(observed_at, arrival) as last_event_at, arg_max(case when pv is null or pv <> value then observed_at end, case when pv is null or pv <> value then arrival end) as last_change_at from s group by key having last_change_at <> last_event_at""")
+def _(spark, d):
+    """Keys whose last writes repeated their value: they changed before they were last written."""
+    rows = base.applied(spark, d).withColumns({"op": F.lit("set"), "value": (F.col("event_id") % 2).cast("string"), "ttl": F.lit(None).cast("long")})
+    return state.expected(rows).filter("last_change_at <> last_event_at").select("key", "last_event_at", "last_change_at")

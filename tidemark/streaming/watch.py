@@ -398,6 +398,11 @@ class Watch:
         publishers = self._read("publishers", TRACKERS, 1 << 62).select("publisher", F.from_json("tracker", TRACKER).alias("t"))
         return metrics.of_watch(last, totals, publishers)
 
+    def alerts(self) -> DataFrame:
+        """id, at, alert, since, fires: the conditions of the alert rules that hold after the last batch."""
+        rows = metrics.holding(metrics.of_history(self.history(), self.folder))
+        return rows.join(F.broadcast(self.history().agg(F.max("at").alias("at"))), "at", "left_semi").select("id", "at", "alert", "since", "fires")
+
     def start(self, frames: DataFrame, once: bool = False) -> StreamingQuery:
         writer = frames.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(lambda rows, n: self.batch(rows, n) and None)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{self.spec.policy.sweep_us // 1000} milliseconds")).start()
