@@ -276,6 +276,19 @@ def test_settings_without_effect_are_refused():
         config.load('source: {type: file}\nprojection: {type: scalar, key: "{{.Nothing}}"}\n')
 
 
+def test_a_store_that_can_not_be_read_is_a_condition_and_no_failure(spark, tmp_path):
+    d = Drill(spark, tmp_path, ", bootstrap: Wait", store={"a": "1"})
+    assert d.step(30, event("p", 1, "a", "2"))["divergent"] == 1
+    (tmp_path / "store.json").rename(tmp_path / "away")
+    two = d.step(60, event("p", 2, "b", "2", 31))
+    assert (two["reachable"], two["phase"], two["sweeps_skipped"], two["keys"]) == (False, "Degraded", 1, 2)
+    assert {(r.type, r.status) for r in d.watch.conditions().collect()} >= {("TargetAvailable", False), ("SequenceIntegrity", True), ("Ready", True), ("DriftDetected", False)}
+    d.put({"a": "2", "b": "2"})
+    three = d.step(90)
+    assert three["reachable"] and three["phase"] == "Watching" and three["divergent"] == 0
+    assert [r.event for r in d.watch.transitions().orderBy("at", "event").collect()] == ["DriftDetected", "DriftResolved", "TargetLost", "TargetRestored"]
+
+
 # State
 
 EVENTS = "key string, op string, value string, member string, delta long, ttl long, seq long, epoch long, publisher string, observed_at timestamp_ntz, arrival long, stamp string, user_id long"

@@ -28,7 +28,7 @@ OF_WATCH = {
     "oracle_keys": ("keys", 1), "oracle_settled_keys": ("settled", 1), "oracle_inflight_keys": ("in_flight", 1), "oracle_never_settled_keys": ("never_settled", 1), "target_keyspace_size": ("stored", 1),
     "divergent_keys": ("divergent", 1), "suspect_divergent_keys": ("suspect", 1), "confirm_queue_depth": ("queue", 1), "sweep_keys_compared": ("compared", 1), "coverage_ratio": ("coverage", 1),
     "settlement_window_seconds": ("window_us", 1e-6), "publishers_tracked": ("publishers", 1), "ingest_queue_depth": ("held", 1), "sweeps_total": ("sweeps", 1), "sweeps_skipped_total": ("sweeps_skipped", 1),
-    "advisory_divergent_keys": ("extras", 1), "convergence_seconds": ("lag_p99", 1e-6),
+    "target_reachable": ("reachable", 1), "advisory_divergent_keys": ("extras", 1), "convergence_seconds": ("lag_p99", 1e-6),
 }
 TOTALS = {
     "events_received_total": ("received",), "events_dropped_total": ("decode_errors", "validation_errors", "duplicates", "stale"), "seq_gaps_total": ("gap_events",), "oracle_evictions_total": ("evicted",),
@@ -56,7 +56,7 @@ def of_status(row: DataFrame) -> DataFrame:
 def of_watch(last: DataFrame, totals: DataFrame, publishers: DataFrame) -> DataFrame:
     """name, label, value from the last status and the sums of a running audit, and its publishers (publisher, t)."""
     one = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit("").alias("label"), v.cast("double").alias("value"))
-    now = last.select(F.inline(F.array(*[one(n, F.coalesce(F.col(c), F.lit(0)) * k) for n, (c, k) in OF_WATCH.items()])))
+    now = last.select(F.inline(F.array(*[one(n, F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * k) for n, (c, k) in OF_WATCH.items()])))
     sums = totals.select(F.inline(F.array(*[one(n, sum((F.coalesce(F.col(c), F.lit(0)) for c in cs), F.lit(0))) for n, cs in TOTALS.items()])))
     own = publishers.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col("publisher").alias("label"), F.coalesce(F.expr(x).cast("double"), F.lit(0.0)).alias("value")) for n, x in OF_PUBLISHERS.items()])))
     return now.unionByName(sums).unionByName(own)
@@ -144,7 +144,7 @@ def holding(history: DataFrame) -> DataFrame:
 
 def of_history(history: DataFrame, name: str) -> DataFrame:
     """What the alert rules look at, from the status rows of a running audit; rates are whether anything happened in the time that a rule looks back."""
-    rows = history.withColumns({"id": F.lit(name), "complete_keys": F.coalesce("compared", F.lit(0)) - F.coalesce("suspect", F.lit(0)), "reachable": F.lit(True), "connected": F.lit(True)})
+    rows = history.withColumns({"id": F.lit(name), "divergent": F.coalesce("divergent", F.lit(0)), "complete_keys": F.coalesce("compared", F.lit(0)) - F.coalesce("suspect", F.lit(0)), "connected": F.lit(True)})
     rows = rows.withColumn("skipped", F.coalesce(F.col("sweeps_skipped") - F.lag("sweeps_skipped").over(Window.partitionBy("id").orderBy("at")), F.lit(0)))
     at = F.unix_seconds(F.col("at").cast("timestamp"))
     back = lambda s: Window.partitionBy("id").orderBy(at).rangeBetween(-s, 0)

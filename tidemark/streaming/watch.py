@@ -17,6 +17,8 @@ import json
 from datetime import datetime
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,7 +47,7 @@ PARKED, PROBES, LAGS = "key string, parked_at timestamp_ntz", "key string, versi
 COUNTS = """batch received applied decode_errors validation_errors duplicates stale late gap_events gap_signals source_signals publishers missing restarts truncated_gaps held held_released skew_us
 keys settled in_flight never_settled tombstones adopted adopt_skipped expired evicted multi_writers projection_errors snapshots compared stored divergent suspect divergent_kept queue queue_dropped
 confirmed transient episodes opened resolved extras extras_parked extras_total extras_resolved extra_scans lag_n lag_p50 lag_p99 probe_timeouts window_us window_changes sweeps sweeps_skipped""".split()
-STATUS = ", ".join(f"{c} long" for c in COUNTS) + ", coverage double, phase string, awaiting boolean, paused boolean, adaptive boolean, at timestamp_ntz, window_moved_at timestamp_ntz, extras_at timestamp_ntz"
+STATUS = ", ".join(f"{c} long" for c in COUNTS) + ", coverage double, phase string, awaiting boolean, paused boolean, reachable boolean, adaptive boolean, at timestamp_ntz, window_moved_at timestamp_ntz, extras_at timestamp_ntz"
 
 
 def restored(text: str | None) -> tuple[Tracker, dict]:
@@ -271,7 +273,10 @@ class Watch:
         window = before.get("window_us") or (p.min_window_us if p.mode == "adaptive" else p.window_us)
         status |= {k: before.get(k) for k in ("window_moved_at", "extras_at")} | {k: before.get(k) or 0 for k in ("window_changes", "sweeps", "sweeps_skipped", "extra_scans")}
         comparing = bool(self.store) and not self.life.paused
-        known, kept = together(lambda: stored(self.known(number, at, window), "known"), lambda: stored(run.read_store(self.spark, self.store), "store") if comparing else None)
+        known, kept = together(lambda: stored(self.known(number, at, window), "known"), lambda: self._kept() if comparing else None)
+        # A store that can not be read is no reason to stop taking changes in.
+        reachable = kept is not None if comparing else before.get("reachable", True)
+        comparing, self.life.connected = comparing and reachable, reachable
         more = known.agg(F.count_if("is_expired").alias("expired"), F.count_if(F.col("trust") == "adopted").alias("adopted"), F.count_if((F.col("writers") > 1)).alias("multi_writers"))
         seen, more, *found = together(
             state.counts(known, at, window, p.never_settled).first, more.first, *([
@@ -282,7 +287,7 @@ class Watch:
         status |= {k: v for k, v in (seen.asDict() | more.asDict()).items()}
         if self.shape == "set" or self.spec.commutative or self.ownership:
             status["multi_writers"] = 0  # several writers are no danger to these
-        status |= {"phase": self.life.phase, "paused": self.life.paused, "coverage": round(seen.settled / seen["keys"], 6) if seen["keys"] else 1.0, "window_us": window, "adaptive": False}
+        status |= {"phase": self.life.phase, "paused": self.life.paused, "reachable": reachable, "coverage": round(seen.settled / seen["keys"], 6) if seen["keys"] else 1.0, "window_us": window, "adaptive": False}
         if comparing:
             for x in found:
                 status |= x
@@ -293,6 +298,13 @@ class Watch:
         self._write(self.spark.createDataFrame([tuple(row)], STATUS).coalesce(1), "status", number, keep=True)
         return {f.split()[0]: v for f, v in zip(STATUS.split(", "), row) if v is not None}
 
+    def _kept(self) -> DataFrame | None:
+        """What the store holds, or None if it can not be read now."""
+        try:
+            return stored(run.read_store(self.spark, self.store), "store")
+        except (PySparkException, Py4JJavaError):
+            return None
+
     def _compared(self, number: int, known: DataFrame, kept: DataFrame, now: datetime, window: int) -> dict:
         """Settled keys that are stored otherwise. They wait for a window, and are confirmed by a second look."""
         p, at = self.spec.policy, F.lit(now)
@@ -398,9 +410,21 @@ class Watch:
         publishers = self._read("publishers", TRACKERS, 1 << 62).select("publisher", F.from_json("tracker", TRACKER).alias("t"))
         return metrics.of_watch(last, totals, publishers)
 
+    def _told(self) -> DataFrame:
+        rows = metrics.of_history(self.history(), self.folder)
+        return rows.withColumns({"saturated": F.col("evicted") > 0, "commutative": F.lit(self.spec.commutative or self.shape != "counter"), "sweep_us": F.lit(self.spec.policy.sweep_us)})
+
+    def conditions(self) -> DataFrame:
+        """id, type, status: the conditions of this audit after the last batch."""
+        return metrics.conditions(self._told().orderBy(F.desc("batch")).limit(1))
+
+    def transitions(self) -> DataFrame:
+        """id, at, event: what changed from one batch to the next."""
+        return metrics.transitions(self._told())
+
     def alerts(self) -> DataFrame:
         """id, at, alert, since, fires: the conditions of the alert rules that hold after the last batch."""
-        rows = metrics.holding(metrics.of_history(self.history(), self.folder))
+        rows = metrics.holding(self._told())
         return rows.join(F.broadcast(self.history().agg(F.max("at").alias("at"))), "at", "left_semi").select("id", "at", "alert", "since", "fires")
 
     def start(self, frames: DataFrame, once: bool = False) -> StreamingQuery:
