@@ -121,7 +121,8 @@ def test_sets_and_counters_are_compared(spark, tmp_path):
 
 
 def test_changes_after_a_restart_within_an_epoch_are_applied(spark, tmp_path):
-    events = [{"seq": s, "op": "set", "key": "k", "value": f"{s}"} for s in (1, 2, 2000, 1, 2, 3)]
+    # A minute apart, so that no number waits for another.
+    events = [{"seq": s, "op": "set", "key": "k", "value": f"{s}", "ts": f"2026-01-01T00:{i:02d}:00Z"} for i, s in enumerate((1, 2, 2000, 1, 2, 3))]
     got = _compare(spark, tmp_path, "scalar", events, {"scalars": {"k": "3"}})
     assert got.findings.count() == 0
     row = got.publishers.first()
