@@ -13,9 +13,13 @@ the longest retained suffix.
 
 A branch of the tree is all contexts that end in the same token, and needs no other branch. So each token goes, with its
 context, to the bucket of its branch, once; there the branch is learnt and the token scored, and a sum for each text
-comes back. Nothing that grows with the input is broadcast. Blocks of texts travel as compressed columns. A context
-token with a share of more than 1 / (2 * buckets), of which there are few, has its branch split by the token before it;
-the next tokens of these few are counted ahead and broadcast. Equal tokens of a text in equal contexts travel once.
+comes back. Blocks of texts travel as compressed columns. Equal tokens of a text in equal contexts travel once.
+
+A context token with a share of more than 1 / (2 * buckets) has its branch split by the token before it, over as many
+buckets in a row as its share asks for, laid out one token after the other, so a bucket meets five split tokens or so.
+What follows a split token is counted ahead, in a table, and travels to that token's buckets, compressed. The driver and
+the broadcast hold the split tokens themselves, at most two for each bucket (a million tokens), and nothing of what
+follows them.
 
 Word counts are exact for all words. The HEAD most frequent words are numbered and broadcast; all others are joined for
 the unigram score, and in a retained context's prediction of one of them the root's part is that of the unknown type.
@@ -35,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,8 +53,8 @@ DEPTH, MIN_COUNT, NEXT_SHARE, GAIN_EACH, GAIN = 3, 2, 1e-6, 2.0, 10.0
 HEAD, BUCKETS, BUCKET_TOKENS, BLOCK = 2_500_000, 128, 1_000_000, 4_000_000
 ENDS = np.uint64(0)  # stands for the end token among the hashes
 TOP = np.uint64(1 << 63)  # marks the hash of a word that has no number
-#: What a row between the stages holds: tokens of a bucket, the texts of a block, their words without a number, sums of a bucket, words that no context predicted.
-TOKENS, TEXTS, WORDS, SUMS, FALLEN = range(5)
+#: What a row between the stages holds: tokens of a bucket, the texts of a block, their words without a number, sums of a bucket, words that no context predicted, what follows a split token.
+TOKENS, TEXTS, WORDS, SUMS, FALLEN, NEXTS = range(6)
 DEALT = "bucket int, block long, what tinyint, n int, body binary"
 
 
@@ -112,20 +116,18 @@ def decided(context: np.ndarray, n: np.ndarray, s: np.ndarray, c: np.ndarray) ->
 
 @dataclass
 class Roots:
-    """The unigram distribution with numbers for the most frequent words, and the first level of the split branches."""
+    """The unigram distribution with numbers for the most frequent words, and which branches are split."""
 
     words: np.ndarray  # sorted hashes of the numbered words
     number: np.ndarray  # of each of these
     count: np.ndarray  # by number
     below: float
     split: np.ndarray  # sorted tokens whose branches are split
+    whole: np.ndarray  # how often each of these occurs
+    parts: np.ndarray  # in how many buckets its branch is
+    start: np.ndarray  # the first of them
     buckets: int
     tail: bool  # whether some words have no number
-    # Of the split branches: sorted hashes of token and next token, predictions; which are retained, and what they leave.
-    nexts: np.ndarray | None = None
-    p: np.ndarray | None = None
-    retained: np.ndarray | None = None
-    rest: np.ndarray | None = None
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         at = find(self.words, hashes)
@@ -140,11 +142,34 @@ class Roots:
         return np.where(known, (self.count[np.where(known, ids, 0).astype("i8")] + 0.5) / self.below if len(self.count) else 0.0, self.unknown)
 
     def bucket(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        branch = np.where(find(self.split, last) >= 0, joined(last, before), mixed(last))
-        return ((branch >> np.uint64(33)) % np.uint64(self.buckets)).astype("i4")
-
-
-def branches(word: np.ndarray, before: list[np.ndarray], n: np.ndarray, learnt: np.ndarray, roots: Roots) -> tuple[np.ndarray, np.ndarray]:
+        home = ((mixed(last) >> np.uint64(33)) % np.uint64(self.buckets)).astype("i8")
+        of = find(self.split, last)
+        i = np.flatnonzero(of >= 0)
+        place = (joined(last[i], before[i]) >> np.uint64(33)).astype("i8") % self.parts[of[i]]
+        home[i] = (self.start[of[i]] + place) % self.buckets
+        return home.astype("i4")
+
+
+class FirstLevel:
+    """Predictions of what follows the split tokens, from the counts that a bucket was sent."""
+
+    def __init__(self, roots: Roots, of: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+        """of: places among the split tokens. A split token that nothing was sent for has no next token that counts."""
+        counted, p, self.retained, self.rest = decided(of, n.astype("f8"), roots.predict(word), roots.whole.astype("f8"))
+        nexts, p = joined(roots.split[of[counted]], word[counted]), p[counted]
+        order = np.argsort(nexts)
+        self.split, self.nexts, self.p = roots.split, nexts[order], p[order]
+
+    def amend(self, context: np.ndarray, word: np.ndarray, state: np.ndarray, hit: np.ndarray, value: np.ndarray, left: np.ndarray) -> None:
+        """Put in what is known of contexts that are split tokens, in place."""
+        which = find(self.split, context)
+        i = np.flatnonzero(which >= 0)
+        found = find(self.nexts, joined(context[i], word[i]))
+        state[i], hit[i], left[i] = self.retained[which[i]], found >= 0, self.rest[which[i]]
+        value[i] = self.p[found] if len(self.p) else 0.0
+
+
+def branches(word: np.ndarray, before: list[np.ndarray], n: np.ndarray, learnt: np.ndarray, roots: Roots, first: FirstLevel) -> tuple[np.ndarray, np.ndarray]:
     """Predictions of tokens, given the DEPTH before each (nearest first), and whether it is left to the root; learnt from those of the n that are `learnt`."""
     p, fallen, context = roots.predict(word), np.ones(len(word), bool), None
     seen = np.where(learnt, n, 0).astype("f8")
@@ -156,12 +181,8 @@ def branches(word: np.ndarray, before: list[np.ndarray], n: np.ndarray, learnt:
         of[gram], s[gram] = at, p
         counted, own, retained, rest = decided(of, np.bincount(gram, seen, len(nexts)), s, np.bincount(at, seen, len(contexts)))
         state, hit, value, left = retained[at], counted[gram], own[gram], rest[at]
-        if k == 0 and len(roots.split):
-            which = find(roots.split, context)
-            i = np.flatnonzero(which >= 0)
-            found = find(roots.nexts, joined(context[i], word[i]))
-            state[i], hit[i], left[i] = roots.retained[which[i]], found >= 0, roots.rest[which[i]]
-            value[i] = roots.p[found] if len(roots.p) else 0.0
+        if k == 0:
+            first.amend(context, word, state, hit, value, left)
         p = np.where(state, np.where(hit, value, left * p), p)
         fallen &= ~(state & hit)
     return p, fallen
@@ -218,12 +239,11 @@ def _counted(docs: DataFrame, key: str, text: str, held: int) -> DataFrame:
     return materialize(docs.select(key, text).mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
 
 
-def _split_nexts(docs: DataFrame, key: str, text: str, held: int, roots: Roots, counts: np.ndarray) -> Roots:
-    """roots with the first level of the branches that are split, whose tokens occur `counts` times."""
-    shared = docs.sparkSession.sparkContext.broadcast(roots)
+def _split_nexts(docs: DataFrame, key: str, text: str, held: int, model: Broadcast) -> DataFrame:
+    """Rows (as DEALT) with what follows the split tokens and how often, for each bucket that a token's branch is in."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = model.value
         for keys, texts in _blocks(batches):
             if texts := [t for k, t in zip(keys, texts) if remainder(k) != held]:
                 distinct, place, at, _ = tokens(texts)
@@ -233,15 +253,32 @@ def _split_nexts(docs: DataFrame, key: str, text: str, held: int, roots: Roots,
                 first, n = _once(of, word)
                 yield pa.RecordBatch.from_arrays([pa.array(of[first].astype("i4")), pa.array(word[first].view("i8")), pa.array(n)], names=["of", "word", "n"])
 
-    total = docs.select(key, text).mapInArrow(work, "of int, word long, n long").groupBy("of", "word").agg(F.sum("n").alias("n"))
-    least = F.get(F.array(*[F.lit(max(float(MIN_COUNT), NEXT_SHARE * c)) for c in counts.tolist()]), F.col("of"))
-    found = total.filter(F.col("n") >= least).toArrow()
-    of, word, n = found.column("of").to_numpy(), found.column("word").to_numpy().view("u8"), found.column("n").to_numpy().astype("f8")
-    counted, p, roots.retained, roots.rest = decided(of, n, roots.predict(word), counts.astype("f8"))
-    nexts = joined(roots.split[of], word)
-    order = np.argsort(nexts)
-    roots.nexts, roots.p = nexts[order], p[order]
-    return roots
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        r, table = model.value, pa.Table.from_batches(batches)
+        of, word, n = (table.column(c).to_numpy() for c in ("of", "word", "n"))
+        kept = n >= NEXT_SHARE * r.whole[of]
+        of, word, n = of[kept], word[kept].view("u8"), n[kept]
+        order = np.lexsort((word, of))
+        of, word, n = of[order], word[order], n[order].astype("u8")
+        there, edges = np.unique(of, return_index=True)
+        rows = [_row(int(r.start[t]), int(t), NEXTS, y - x, _packed(word[x:y], n[x:y])) for t, x, y in zip(there.tolist(), edges, [*edges[1:], len(of)])]
+        return _batch([x | {"parts": int(r.parts[x["block"]])} for x in rows], f"{DEALT}, parts int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= BUCKET_TOKENS:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    total = docs.select(key, text).mapInArrow(count, "of int, word long, n long").groupBy("of", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    # A token's counts travel once for each of its buckets.
+    sent = total.mapInArrow(pack, f"{DEALT}, parts int").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return sent.select(((F.col("bucket") + F.col("part")) % model.value.buckets).cast("int").alias("bucket"), "block", "what", "n", "body")
 
 
 def _least(counts: DataFrame, most: int) -> int:
@@ -254,8 +291,8 @@ def _least(counts: DataFrame, most: int) -> int:
     return 1 << least
 
 
-def _roots(counts: DataFrame, total: int, kinds: int, limit: int) -> tuple[Roots, np.ndarray]:
-    """The distribution with the words that occur `limit` times numbered, most frequent first; and counts of the tokens whose branches are to be split."""
+def _roots(counts: DataFrame, total: int, kinds: int, limit: int) -> Roots:
+    """The distribution with the words that occur `limit` times numbered, most frequent first, and the split branches laid out."""
     found = counts.filter(F.col("n") >= limit).toArrow()
     words, n = found.column("key").to_numpy().view("u8"), found.column("n").to_numpy()
     order = np.argsort(words)
@@ -264,13 +301,15 @@ def _roots(counts: DataFrame, total: int, kinds: int, limit: int) -> tuple[Roots
     rank = np.argsort(-n, kind="stable")
     number[rank] = np.arange(len(words), dtype="u8")
     buckets = max(BUCKETS, total // BUCKET_TOKENS)
-    roots = Roots(words, number, n[rank], total + 0.5 * (kinds + 1), np.zeros(0, "u8"), buckets, limit > 1)
     # 2 * buckets tokens at most.
     large = counts.filter(F.col("n") > total / (2 * buckets)).toArrow()
-    split, n = roots.ids(large.column("key").to_numpy().view("u8")), large.column("n").to_numpy()
-    order = np.argsort(split)
-    roots.split = split[order]
-    return roots, n[order]
+    split, whole = large.column("key").to_numpy().view("u8"), large.column("n").to_numpy()
+    parts = np.clip(np.ceil(2 * buckets * whole / max(total, 1)).astype("i8"), 1, buckets)
+    roots = Roots(words, number, n[rank], total + 0.5 * (kinds + 1), split, whole, parts, parts, buckets, limit > 1)
+    order = np.argsort(roots.ids(split))
+    roots.split, roots.whole, roots.parts = roots.ids(split)[order], whole[order], parts[order]
+    roots.start = (np.cumsum(roots.parts) - roots.parts) % buckets
+    return roots
 
 
 def _row(bucket: int, block: int, what: int, n: int, body: bytes) -> dict:
@@ -304,9 +343,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
     facts = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = facts.n or 0, facts.v or 0
     limit = _least(counts, HEAD)
-    roots, n = _roots(counts, total, kinds, limit)
-    if len(roots.split):
-        roots = _split_nexts(docs, key, text, held, roots, n)
+    roots = _roots(counts, total, kinds, limit)
     model = spark.sparkContext.broadcast(roots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,13 +381,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
 
     def learn(table: pa.Table) -> pa.Table:
         rows, r = table.to_pylist(), model.value
-        passed = [x for x in rows if x["what"] != TOKENS]
+        passed = [x for x in rows if x["what"] not in (TOKENS, NEXTS)]
+        nexts = [x for x in rows if x["what"] == NEXTS]
         rows = sorted((x for x in rows if x["what"] == TOKENS), key=lambda x: x["block"])
         if rows:
             parts = [_unpacked(x.pop("body"), x["n"], *["u8"] * (DEPTH + 1), "u4", "u4") for x in rows]
             word, *before, doc, n = (np.concatenate(c) for c in zip(*parts))
             del parts
-            p, fallen = branches(word, before, n, (doc & 1).astype(bool), r)
+            sent = [(np.full(x["n"], x["block"]), *_unpacked(x["body"], x["n"], "u8", "u8")) for x in nexts]
+            of, follows, often = (np.concatenate(c) for c in zip((np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "u8")), *sent))
+            p, fallen = branches(word, before, n, (doc & 1).astype(bool), r, FirstLevel(r, of, follows, often))
             fallen &= (word >= TOP) & r.tail
             value = n * np.log10(np.where(fallen, p / r.unknown, p))
             at = 0
@@ -387,7 +427,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
     key_type = to_arrow_type(docs.schema[key].dataType)
     kind = with_fields(StructType([docs.schema[key]]), "held_out boolean, n_tokens long, n_known long, base_score double, score double, __block long, __text long, __tail array<struct<word:bigint,base:bigint,path:bigint>>")
     names = [f.name for f in kind]
-    done = docs.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(learn, DEALT).groupBy("block").applyInArrow(gather, kind)
+    dealt = docs.mapInArrow(deal, DEALT)
+    if len(roots.split):
+        dealt = dealt.unionByName(_split_nexts(docs, key, text, held, model))
+    done = dealt.groupBy("bucket").applyInArrow(learn, DEALT).groupBy("block").applyInArrow(gather, kind)
     if limit > 1:
         done = materialize(done, "scored")
         tail = done.select("__block", "__text", F.inline("__tail"))
