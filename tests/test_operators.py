@@ -190,3 +190,23 @@ def test_every_pattern_of_a_long_table_is_tried(spark):
     got = trust.mark_patterns(rows, spark.createDataFrame([(f"^p{i}:",) for i in range(1100)], "regex string"))
     assert got.columns == rows.columns and got.count() == 1102
     assert [r.n for r in got.filter("trust = 'complete'").collect()] == [-1, -1]
+
+
+def test_large_sets_are_cut_as_small_ones(spark, monkeypatch):
+    rows = [("big", f"m{i:05d}") for i in range(3000)] + [("small", m) for m in "cab"]
+    df = spark.createDataFrame(rows, "key string, member string").repartition(3)
+    whole = {r.key: r for r in projections.as_sets(df).collect()}
+    cut = {r.key: r for r in projections.as_sets(df, 100).collect()}
+    assert (whole["big"].members, whole["big"].size, whole["big"].truncated) == (sorted(m for _, m in rows[:3000]), 3000, False)
+    assert (cut["big"].members, cut["big"].size, cut["big"].truncated) == (sorted(m for _, m in rows[:3000])[:100], 3000, True)
+    assert (cut["small"].members, cut["small"].size, cut["small"].truncated) == (["a", "b", "c"], 3, False)
+    assert projections.as_sets(df.limit(0)).count() == 0
+
+
+def test_totals_across_blocks_and_nulls(spark):
+    from tidemark.operators import metrics
+
+    block = sequence.BLOCK
+    rows = [("k", 1, 5), ("k", 2, 9), ("k", block, 12), ("k", 2 * block + 1, 3), ("k", 2 * block + 2, None), ("k", 2 * block + 3, 8), ("j", 7, 1), (None, 1, 4), (None, 2, 6)]
+    got = {(r.key, r.at): r.delta for r in metrics.deltas(spark.createDataFrame(rows, "key string, at long, total long"), ["key"], "at", "total").collect()}
+    assert got == {("k", 1): 0, ("k", 2): 4, ("k", block): 3, ("k", 2 * block + 1): 0, ("k", 2 * block + 2): 0, ("k", 2 * block + 3): 0, ("j", 7): 0, (None, 1): 0, (None, 2): 2}

@@ -10,7 +10,7 @@ from tidemark.functions.columns import glob_to_regex
 from tidemark.operators import ledger, order, projections, sequence, state, trust
 from tidemark.operators.sequence import Tracker
 from tidemark.plans import config, run
-from tidemark.sources import files
+from tidemark.sources import files, stores
 from tidemark.streaming.watch import Watch
 
 
@@ -426,3 +426,49 @@ def test_a_quiet_log_is_signalled_once_for_each_time(tmp_path):
     assert [x[1] for x in rows if x[3] is None] == ["one", "two"] and [x[3] for x in rows if x[3]] == ["idle_timeout"]
     (tmp_path / "b.frames").write_text("x" * 50 + "\n")  # longer than a batch: it comes whole
     assert r.latestOffset()["files"] == {"a.frames": 8, "b.frames": 51}
+
+
+TIMED = "source: {type: file}\nprojection: {type: scalar}\ntarget: {lifetimes: %s}\npolicy: {window: 5s, ttl_tolerance: 10s%s}\n"
+
+
+def test_lifetimes_are_compared_where_the_store_tells_them(spark, tmp_path):
+    events = [event("p", i + 1, k, "v", ttl=ttl) if ttl else event("p", i + 1, k, "v") for i, (k, ttl) in enumerate([("near", "1h"), ("far", "1h"), ("endless", "1h"), ("own", None), ("none", None), ("zero", "0s")])]
+    events.append(event("p", 7, "other", "w", ttl="1h"))
+    (tmp_path / "events").write_text("\n".join(json.dumps(x) for x in events))
+    # An hour's lifetime has 59 minutes left when the store is read.
+    left = 59 * 60_000_000
+    kept = {k: "v" for k in ("near", "far", "endless", "own", "none", "zero", "other")}
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": kept, "ttls": {"near": left + 9_000_000, "far": left - 11_000_000, "own": 5_000_000, "other": 1}}))
+
+    def found(lifetimes, more=""):
+        spec = config.load((TIMED if lifetimes else TIMED.replace(", ttl_tolerance: 10s", "")) % (str(lifetimes).lower(), more))
+        return {r.key: (r.category, r.expected, r.stored) for r in run.compare(spark, spec, str(tmp_path / "events"), str(tmp_path / "store.json"), clock(60)).findings.collect()}
+
+    # A key that holds another value is that, whatever its lifetime.
+    other = {"other": ("value_mismatch", "w", "v")}
+    apart = {"far": ("ttl_mismatch", "ends in 59.0m", "ends in 58.8m"), "endless": ("ttl_mismatch", "ends in 59.0m", "does not end"), "own": ("ttl_mismatch", "does not end", "ends in 5.0s")}
+    assert found(True) == other | apart
+    assert found(False) == found(True, ", expiry: ignore, assumed_ttl: 1h") == other
+
+
+def test_lifetimes_that_differ_are_confirmed_by_a_second_look(spark, tmp_path):
+    d = Drill(spark, tmp_path, ", bootstrap: Wait")
+    d.watch.spec.target["lifetimes"] = True
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": {"a": "1", "b": "1"}, "ttls": {"a": 3_570_000_000}}))
+    one = d.step(30, event("p", 1, "a", "1", ttl="1h"), event("p", 2, "b", "1", ttl="1h"))
+    assert (one["divergent"], one["queue"], one["episodes"]) == (1, 1, 0)
+    assert d.found() == {("b", "ttl_mismatch", "complete")}
+    two = d.step(60)
+    # Both lifetimes go on; now a's, which did not move, is too long as well.
+    assert (two["episodes"], two["confirmed"], two["divergent"]) == (1, 1, 2)
+    (tmp_path / "store.json").write_text(json.dumps({"scalars": {"a": "1", "b": "1"}, "ttls": {"a": 3_510_000_000, "b": 3_510_000_000}}))
+    three = d.step(90)
+    assert (three["divergent"], three["episodes"], three["resolved"]) == (0, 0, 1)
+
+
+def test_what_lifetimes_need(spark):
+    for text, what in ((TIMED.replace("scalar", "set") % ("true", ""), "scalar projection"), (TIMED % ("false", ""), "target.lifetimes"), (TIMED % ("often", ""), "true or false"), ((TIMED % ("true", "")).replace("10s", "-1s"), "negative")):
+        with pytest.raises(ValueError, match=what):
+            config.load(text)
+    kept = {r.key: r.ttl for r in stores.memory(spark, {"a": "1"}, {"s": ["x"]}, {"a": 7}).collect()}
+    assert kept == {"a": 7, "s": None}

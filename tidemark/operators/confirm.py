@@ -24,12 +24,18 @@ def overflow(findings: DataFrame, waiting: DataFrame | None = None, most: int =
     return new.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("dropped"))
 
 
-def outcomes(queue: DataFrame, state: DataFrame, store: DataFrame) -> DataFrame:
-    """queue with an outcome at a later look: key_evicted, oracle_advanced, read_failed, suspect, resolved or confirmed, in this order."""
+def outcomes(queue: DataFrame, state: DataFrame, store: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """queue with an outcome at a later look: key_evicted, oracle_advanced, read_failed, suspect, resolved or confirmed, in this order.
+
+    apart: keys whose lifetimes differ at the later look, though their values may agree.
+    """
     now = state.select("key", F.col("version").alias("v2"), F.col("value").alias("e2"), F.col("kind").alias("k2"), F.col("trust").alias("t2"))
     look = store.select("key", F.col("stored_type").alias("type2"), F.col("scalar").alias("s2"))
     rows = queue.join(now, "key", "left").join(look, "key", "left")
     agrees = F.when(F.col("k2") == "absent", F.col("type2").isNull()).otherwise(F.coalesce((F.col("type2") == "string") & F.col("e2").eqNullSafe(F.col("s2")), F.lit(False)))
+    if apart is not None:
+        rows = rows.join(apart.select("key", F.lit(True).alias("__apart")), "key", "left")
+        agrees = agrees & F.col("__apart").isNull()
     outcome = F.when(F.col("v2").isNull(), "key_evicted").when(F.col("v2") != F.col("version"), "oracle_advanced").when(F.col("type2") == "unreadable", "read_failed").when(F.col("t2") == "suspect", "suspect").when(agrees, "resolved").otherwise("confirmed")
     return rows.withColumn("outcome", outcome).select(*queue.columns, "outcome")
 

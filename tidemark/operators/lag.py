@@ -14,7 +14,7 @@ BUCKETS_MS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10_000, 30_000,
 
 def sample(keys: DataFrame, seed: int, k: int = SAMPLE) -> DataFrame:
     """k keys, uniform by a seeded hash: a top-k, the same for the same seed."""
-    return keys.select("key").distinct().orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(k)
+    return keys.select("key").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "key")), "key").limit(k)
 
 
 def convergence(probes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequence import running
+
 MAX_LABELS = 50
 # Kinds of metrics, by name.
 COUNTERS = """events_received_total events_dropped_total bytes_received_total seq_gaps_total publisher_restarts_total oracle_evictions_total
@@ -69,9 +71,10 @@ def bounded_labels(rows: DataFrame, label: str, first: str, most: int = MAX_LABE
 
 
 def deltas(totals: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """totals with what each added to the one before; the first and any decrease add nothing."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return totals.withColumn("delta", F.greatest(F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0)), F.lit(0)))
+    """totals with what each added to the one before; the first and any decrease add nothing. In blocks of the order (a number), so no key is one task."""
+    # As fields of a struct, nulls are equal to each other.
+    found = running(totals.withColumn("__key", F.struct(*keys)), ["__key"], order, {"__before": F.struct(F.col(order).alias("at"), F.col(value).alias("v"))})
+    return found.withColumn("delta", F.greatest(F.coalesce(F.col(value) - F.col("__before.v"), F.lit(0)), F.lit(0))).drop("__before", "__key")
 
 
 def coverage(compared: Column, tracked: Column) -> Column:

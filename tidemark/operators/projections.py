@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import saturating
 
-MAX_MEMBERS = 100_000
+#: Members of a set that are kept; parts that a key's members are ranked in.
+MAX_MEMBERS, PARTS = 100_000, 16
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 COMMUTATIVE = {"scalar": False, "set": False, "counter": False, "counter_incr": True}
 
@@ -48,10 +49,15 @@ def members(events: DataFrame, order: str = "arrival", delimiter: str = ",") ->
 
 
 def as_sets(rows: DataFrame, most: int = MAX_MEMBERS) -> DataFrame:
-    """key, members (sorted, at most so many), size, truncated. Members are ranked, and cut to so many, before they are put together."""
-    w = Window.partitionBy("key").orderBy("member")
-    ranked = rows.withColumn("__n", F.row_number().over(w))
-    found = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("__n") <= most, F.col("member")))).alias("members"), F.max("__n").cast("long").alias("size"))
+    """key, members (sorted, at most so many), size, truncated.
+
+    A key's members are ranked in parts, by their hash, so that a very large set is not one task; each part keeps at most so
+    many, and only these are put together.
+    """
+    w = Window.partitionBy("key", "__p").orderBy("member")
+    ranked = rows.withColumn("__p", F.pmod(F.xxhash64("member"), F.lit(PARTS))).withColumn("__n", F.row_number().over(w))
+    parts = ranked.groupBy("key", "__p").agg(F.collect_list(F.when(F.col("__n") <= most, F.col("member"))).alias("m"), F.max("__n").cast("long").alias("n"))
+    found = parts.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, most).alias("members"), F.sum("n").alias("size"))
     return found.withColumn("truncated", F.col("size") > most)
 
 

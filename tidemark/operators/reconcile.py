@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import compact_duration
+
 # Kinds of disagreement, in the order of reports.
 CATEGORIES = ("missing_in_target", "extra_in_target", "value_mismatch", "member_mismatch", "type_mismatch", "ttl_mismatch", "counter_mismatch")
 MAX_FINDINGS, MAX_LISTED = 10_000, 20
@@ -12,10 +14,10 @@ TTL_TOLERANCE_US = 5_000_000
 
 
 def typed(store: DataFrame, shape: str) -> DataFrame:
-    """key, kind (scalar, set, counter, absent, wrong_type), value/members/counter as the shape of the check reads them."""
+    """key, kind (scalar, set, counter, absent, wrong_type), value/members/counter as the shape of the check reads them; for scalars also ttl, if the store tells lifetimes."""
     t = F.col("stored_type")
     if shape == "scalar":
-        return store.select("key", F.when(t == "string", "scalar").otherwise("wrong_type").alias("kind"), F.when(t == "string", F.col("scalar")).alias("value"), "stored_type")
+        return store.select("key", F.when(t == "string", "scalar").otherwise("wrong_type").alias("kind"), F.when(t == "string", F.col("scalar")).alias("value"), "stored_type", *(["ttl"] if "ttl" in store.columns else []))
     if shape == "counter":
         number = F.when(t == "string", F.col("scalar").try_cast("long"))
         return store.select("key", F.when(number.isNotNull(), "counter").otherwise("wrong_type").alias("kind"), number.alias("counter"), "stored_type")
@@ -42,15 +44,29 @@ def category(e_kind: Column, s_kind: Column, equal: Column, adopted: Column, sup
     )
 
 
-def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar", forgiven: Column | None = None) -> DataFrame:
+def sweep(state: DataFrame, store: DataFrame, shape: str = "scalar", forgiven: Column | None = None, at: Column | None = None, tolerance_us: int | None = None) -> DataFrame:
     """key, category, trust, expected and stored value, version: disagreements of settled keys with what is stored.
 
     Values of sets are their sorted members as JSON, those of counters their digits. forgiven: which missing keys are none, see suppressed().
+    tolerance_us: scalars that agree are also held against the store's lifetimes (ttl: microseconds left when it was read, at `at`; null:
+    it does not end), and may differ by so much; None: lifetimes are not compared.
     """
-    read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), shown(shape).alias("s_value"))
+    timed = tolerance_us is not None and shape == "scalar"
+    read = typed(store, shape).select("key", F.col("kind").alias("s_kind"), shown(shape).alias("s_value"), *([F.col("ttl").alias("s_ttl")] if timed else []))
     rows = state.filter("is_settled and trust <> 'adopted'").join(read, "key", "left")
     found = rows.withColumn("category", category(F.col("kind"), F.col("s_kind"), F.col("value").eqNullSafe(F.col("s_value")), F.lit(False), F.lit(False) if forgiven is None else forgiven))
-    return found.filter("category is not null").select("key", "category", "trust", F.col("value").alias("expected"), F.col("s_value").alias("stored"), "version", "user_id")
+    mine, other = F.col("value"), F.col("s_value")
+    if timed:
+        left = lifetime_left(F.col("ttl"), F.col("last_event_at"), at)
+        apart = F.col("category").isNull() & (F.col("kind") == "scalar") & (F.col("s_kind") == "scalar") & ttl_mismatch(left, F.col("s_ttl"), tolerance_us=tolerance_us)
+        found = found.withColumn("category", F.when(apart, "ttl_mismatch").otherwise(F.col("category")))
+        mine, other = (F.when(F.col("category") == "ttl_mismatch", F.coalesce(F.concat(F.lit("ends in "), compact_duration(t)), F.lit("does not end"))).otherwise(v) for v, t in ((mine, left), (other, F.col("s_ttl"))))
+    return found.filter("category is not null").select("key", "category", "trust", mine.alias("expected"), other.alias("stored"), "version", "user_id")
+
+
+def lifetime_left(ttl_us: Column, last_event_at: Column, at: Column) -> Column:
+    """What is left at a time of a lifetime that began with the last event; null if it does not end."""
+    return F.when(ttl_us > 0, ttl_us - F.timestamp_diff("MICROSECOND", last_event_at, at))
 
 
 def extras(store: DataFrame, state: DataFrame) -> DataFrame:
@@ -80,11 +96,11 @@ def member_difference(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("key", F.size("m").cast("long").alias("missing"), F.size("x").cast("long").alias("unexpected"), shown("m").alias("missing_members"), shown("x").alias("unexpected_members"))
 
 
-def ttl_mismatch(expected_us: Column, stored_us: Column, ignore: bool = False) -> Column:
+def ttl_mismatch(expected_us: Column, stored_us: Column, ignore: bool = False, tolerance_us: int = TTL_TOLERANCE_US) -> Column:
     """Whether lifetimes differ by more than the tolerance; never under the policy that ignores them."""
     if ignore:
         return F.lit(False)
-    return (expected_us.isNull() != stored_us.isNull()) | F.coalesce(F.abs(expected_us - stored_us) > TTL_TOLERANCE_US, F.lit(False))
+    return (expected_us.isNull() != stored_us.isNull()) | F.coalesce(F.abs(expected_us - stored_us) > tolerance_us, F.lit(False))
 
 
 def suppressed(policy: str, last_event_at: Column, now: Column, assumed_ttl_us: int) -> Column:

@@ -86,7 +86,11 @@ class Spec:
         need(p.mode in ("static", "adaptive"), "policy.mode must be static or adaptive")
         need(p.reorder_us >= 0, "policy.reorder must not be negative")
         need(min(p.max_queue, p.max_findings, p.max_extras, p.max_members, p.max_payload) >= 1, "policy: max_queue, max_findings, max_extras, max_members and max_payload must be 1 or more")
-        need(p.ttl_tolerance_us == 5_000_000, "policy.ttl_tolerance can not be set: snapshots of a store have no lifetimes to compare")
+        timed = self.target.get("lifetimes")
+        need(timed in (None, True, False), "target.lifetimes must be true or false")
+        need(bool(timed) or p.ttl_tolerance_us == 5_000_000, "policy.ttl_tolerance needs target.lifetimes: other snapshots of a store have no lifetimes to compare")
+        need(p.ttl_tolerance_us >= 0, "policy.ttl_tolerance must not be negative")
+        need(not timed or self.projection.get("type") == "scalar", "target.lifetimes needs a scalar projection")
         need(p.batch == 500, "policy.batch can not be set: a store is read as a table")
         need(1 <= p.ring <= 1024, "policy.ring must be from 1 to 1024")
         need(p.max_publishers >= 1 and p.never_settled >= 1, "policy.max_publishers and policy.never_settled must be 1 or more")
@@ -104,6 +108,11 @@ class Spec:
         """The pattern of a publisher's keys, if keys are partitioned among publishers."""
         return self.projection.get("ownership") if self.projection.get("partitioned") else None
 
+    @property
+    def tolerance_us(self) -> int | None:
+        """By how much lifetimes may differ; None if they are not compared, as the store does not tell them or expiry is ignored."""
+        return self.policy.ttl_tolerance_us if self.target.get("lifetimes") and self.policy.expiry != "ignore" else None
+
     @property
     def commutative(self) -> bool:
         """Whether the order of changes does not matter, so that nothing has to wait for another."""

@@ -148,3 +148,19 @@ def _(spark, d):
     """Keys whose last writes repeated their value: they changed before they were last written."""
     rows = base.applied(spark, d).withColumns({"op": F.lit("set"), "value": (F.col("event_id") % 2).cast("string"), "ttl": F.lit(None).cast("long")})
     return state.expected(rows).filter("last_change_at <> last_event_at").select("key", "last_event_at", "last_change_at")
+
+
+# Lifetimes
+
+@query("dif_4_lifetimes_swept", A + """, ls as (select key, value as scalar, case when ttl is not null and user_id % 4 <> 2 then ttl * 1000 - date_diff('microsecond', last_event_at, now) + case user_id % 4 when 0 then 4000000 when 1 then 6000000 else 0 end end as s_left from present, clock),
+el as (select xt.*, ttl * 1000 - date_diff('microsecond', last_event_at, now) as e_left from xt, clock where is_settled),
+bl as (select el.*, case when ls.key is null then case when kind = 'scalar' then 'missing_in_target' end when kind = 'absent' then 'extra_in_target' when value is distinct from scalar then 'value_mismatch'
+    when (e_left is null) <> (s_left is null) or coalesce(abs(e_left - s_left) > 5000000, false) then 'ttl_mismatch' end as category from el left join ls using (key))
+select key, category, trust, version from bl where category is not null""")
+def _(spark, d):
+    """A store that also tells what is left of each key's lifetime: too long by 4 s (agreed to) or 6 s, or without an end."""
+    at, u = base.clock(spark, d), F.col("user_id") % 4
+    left = reconcile.lifetime_left(F.col("ttl") * 1000, F.col("last_event_at"), at) + F.when(u == 0, 4_000_000).when(u == 1, 6_000_000).otherwise(0)
+    store = base.present(spark, d).select("key", F.lit("string").alias("stored_type"), F.col("value").alias("scalar"), F.when(u != 2, left).alias("ttl"))
+    known = base.with_trust(spark, d).withColumn("ttl", F.col("ttl") * 1000)
+    return reconcile.sweep(known, store, at=at, tolerance_us=reconcile.TTL_TOLERANCE_US).select("key", "category", "trust", "version")

@@ -196,9 +196,8 @@ def _(spark, d):
     return faults.drop_range(faults.drop_every(base.stream(spark, d), "event_id", 37), "event_id", 100, 120).select("event_id")
 
 
-@query("snk_9_dropped_share")
+@query("snk_9_dropped_share", "select event_id from events where cast(concat('0x', left(md5(concat('1:', event_id)), 8)) as bigint) % 1000000 >= 100000")
 def _(spark, d):
-    # Which rows go is a matter of Spark's hash.
     return faults.drop_share(base.stream(spark, d), "event_id", 0.1).select("event_id")
 
 

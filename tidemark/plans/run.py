@@ -78,9 +78,9 @@ def expectation(applied: DataFrame, shape: str) -> DataFrame:
     return state.expected(applied, carry=["stamp"]) if shape == "scalar" else state.expected_fold(applied, shape, carry=["stamp"])
 
 
-def disagreements(known: DataFrame, kept: DataFrame, shape: str, forgiven: Column | None = None) -> DataFrame:
+def disagreements(known: DataFrame, kept: DataFrame, shape: str, forgiven: Column | None = None, at: Column | None = None, tolerance_us: int | None = None) -> DataFrame:
     """Findings of both directions: settled keys that are stored otherwise, and stored keys that nothing is known of."""
-    found = reconcile.sweep(known, kept, shape, forgiven)
+    found = reconcile.sweep(known, kept, shape, forgiven, at, tolerance_us)
     read = reconcile.typed(kept, shape).filter("kind <> 'absent'").select("key", reconcile.shown(shape).alias("stored"))
     extra = reconcile.extras(read, known).select("key", F.lit("extra_in_target").alias("category"), F.lit("complete").alias("trust"), F.lit(None).cast("string").alias("expected"), "stored", F.lit(0).cast("long").alias("version"), F.lit(None).cast("long").alias("user_id"))
     return found.unionByName(extra)
@@ -122,7 +122,7 @@ def compare(spark: SparkSession, spec: Spec, events: str, store: str, now: str |
     dropped = rows.join(judged.select(F.col("received").alias("arrival") if "received" in judged.columns else F.col("arrival"), "verdict"), "arrival", "left").withColumn("reason", validate.drop_reason(F.col("err"), F.col("problem"), F.col("verdict")))
     drops = dropped.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     forgiven = reconcile.suppressed(p.expiry, F.col("last_event_at"), at, p.assumed_ttl_us)
-    return Result(known, disagreements(known, kept, shape, forgiven), drops, sequence.publishers(judged), judged, kept, shape, spec, read_health(spark, spec))
+    return Result(known, disagreements(known, kept, shape, forgiven, at, spec.tolerance_us), drops, sequence.publishers(judged), judged, kept, shape, spec, read_health(spark, spec))
 
 
 def read_health(spark: SparkSession, spec: Spec) -> dict:

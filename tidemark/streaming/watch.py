@@ -309,13 +309,13 @@ class Watch:
         """Settled keys that are stored otherwise. They wait for a window, and are confirmed by a second look."""
         p, at = self.spec.policy, F.lit(now)
         forgiven = reconcile.suppressed(p.expiry, F.col("last_event_at"), at, p.assumed_ttl_us)
-        found = stored(reconcile.sweep(known, kept, self.shape, forgiven).withColumn("first_seen", at), "findings")
+        found = stored(reconcile.sweep(known, kept, self.shape, forgiven, at, self.spec.tolerance_us).withColumn("first_seen", at), "findings")
         queue, open_ = self._read("queue", QUEUE, number - 1), self._read("episodes", QUEUE, number - 1)
         is_due = state.plus(F.col("first_seen"), window) <= at
         due, waiting = queue.filter(is_due), queue.filter(~is_due)
         read = reconcile.typed(kept, self.shape)
         look = read.filter("kind <> 'absent'").select("key", F.when(F.col("kind") == "wrong_type", "other").otherwise("string").alias("stored_type"), reconcile.shown(self.shape).alias("scalar"))
-        looked = stored(confirm.outcomes(due, known, look), "looked")
+        looked = stored(confirm.outcomes(due, known, look, found.filter("category = 'ttl_mismatch'")), "looked")
         # An episode ends when its key agrees again or was written since.
         still = open_.join(found.select("key", "version"), ["key", "version"], "left_semi")
         fresh = looked.filter("outcome = 'confirmed'").join(found.select("key"), "key", "left_semi").join(still.select("key"), "key", "left_anti").select(*still.columns)
