@@ -210,3 +210,18 @@ def test_totals_across_blocks_and_nulls(spark):
     rows = [("k", 1, 5), ("k", 2, 9), ("k", block, 12), ("k", 2 * block + 1, 3), ("k", 2 * block + 2, None), ("k", 2 * block + 3, 8), ("j", 7, 1), (None, 1, 4), (None, 2, 6)]
     got = {(r.key, r.at): r.delta for r in metrics.deltas(spark.createDataFrame(rows, "key string, at long, total long"), ["key"], "at", "total").collect()}
     assert got == {("k", 1): 0, ("k", 2): 4, ("k", block): 3, ("k", 2 * block + 1): 0, ("k", 2 * block + 2): 0, ("k", 2 * block + 3): 0, ("j", 7): 0, (None, 1): 0, (None, 2): 2}
+
+
+def test_findings_are_ranked_across_ranges(spark):
+    from tidemark.operators import reconcile
+
+    rng = random.Random(3)
+    rows = [(f"k{i:04d}", c, i) for c in ("value_mismatch", "missing_in_target", "ttl_mismatch") for i in rng.sample(range(2000), 700)]
+    df = spark.createDataFrame(rows, "key string, category string, n long")
+    for found in (df, df.limit(0)):
+        got = {(r.category, r.place): (r.key, r.n, r.ordinal) for r in reconcile.ranked(found.repartition(5)).collect()}
+        want = {}
+        for c in reconcile.CATEGORIES if found is df else ():
+            for place, (k, _, n) in enumerate(sorted(r for r in rows if r[1] == c), 1):
+                want[c, place] = (k, n, reconcile.CATEGORIES.index(c) + 1)
+        assert got == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import compact_duration
+from tidemark.tables import stored
 
 # Kinds of disagreement, in the order of reports.
 CATEGORIES = ("missing_in_target", "extra_in_target", "value_mismatch", "member_mismatch", "type_mismatch", "ttl_mismatch", "counter_mismatch")
@@ -132,7 +133,15 @@ def scan(store: DataFrame, glob_regex: str) -> DataFrame:
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """findings in a fixed order: by category as listed, then key, with the place."""
-    at = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
-    w = Window.partitionBy("category").orderBy("key")
-    return findings.withColumn("ordinal", at).withColumn("place", F.row_number().over(w).cast("long"))
+    """findings in a fixed order: by category as listed, then key, with the place.
+
+    They are dealt by ranges of that order and numbered within each; what comes before a range in its category is added, one
+    row for each range and category.
+    """
+    at = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")), F.lit(0).cast("long"))
+    # Written once: where the ranges are cut must not change between the two uses.
+    rows = stored(findings.withColumn("ordinal", at).repartitionByRange("ordinal", "key").withColumn("__p", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy("ordinal").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("ordinal", "__p").agg(F.count(F.lit(1)).alias("__m")).select("ordinal", "__p", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("ordinal", "__p").orderBy("key"))
+    return rows.withColumn("__n", place).join(sizes, ["ordinal", "__p"]).select(*findings.columns, "ordinal", (F.col("__n") + F.col("__before")).alias("place"))
