@@ -4,8 +4,10 @@ import struct
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.functions import codecs
+from tidemark.plans import registry
 
 MALFORMED = ["", " ", "{", "[1]", "null", '{"op":"set"} {}', '{"op":"set"}x', '{"op":"set","seq":1.5,"publisher":"p"}', '{"op":"set","seq":-1}', '{"op":"set","ttl":-3}', '{"op":"set","ts":"2024-01-01t00:00:00z"}', '{"op":"se', "\x00{}"]
 
@@ -24,6 +26,20 @@ def test_fields(spark):
     assert r.published_at.microsecond == 123456
 
 
+def test_times_at_the_ends_of_64_bits(spark):
+    numbers = [str(-(2**63)), str(2**63 - 1), str(2**63), "9" * 19, "9" * 25, "0", "1700000000"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i long, text string")
+    got = rows.select("i", F.unix_micros(codecs.timestamp(F.col("text"))).alias("us")).orderBy("i").collect()
+    assert [r.us for r in got] == [-(2**63) // 1000, (2**63 - 1) // 1000, None, None, None, None, 1_700_000_000_000_000]
+
+
+def test_times_of_large_ids_are_no_error(spark, tmp_path):
+    ids = [0, 46, 47, 209_715, 209_716, 3_000_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: r.micros for r in registry.queries()["cod_10_unix_units"](spark, str(tmp_path)).collect()}
+    assert got == {0: -1, 46: 46**3 * 10**9, 47: 47**3 * 10**9, 209_715: 209_715**3, 209_716: -1, 3_000_000_000: -1}
+
+
 def test_foreign_names(spark):
     text = json.dumps({"replica": "r1", "event_id": 5, "event_type": "BlockStored", "hash": "h"})
     r = decode(spark, [text], names={"publisher": "replica", "member": "replica", "seq": "event_id", "op": "event_type", "key": "hash"}, foreign={"BlockStored": "add"})[0]

@@ -25,9 +25,11 @@ def unsigned(text: Column) -> Column:
 
 
 def timestamp(text: Column) -> Column:
-    """RFC 3339 with upper-case T and Z, or a number of seconds, milliseconds or nanoseconds by its size; 0 is unset."""
+    """RFC 3339 with upper-case T and Z, or a number of seconds, milliseconds or nanoseconds by its size; 0 is unset, and a number beyond 64 bits is none."""
     n = F.when(text.rlike(r"^-?[0-9]{1,19}$"), text.try_cast("long"))
-    at = F.when(n == 0, F.lit(None)).when(F.abs(n) < 100_000_000_000, F.timestamp_seconds(n)).when(F.abs(n) < 100_000_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_micros(F.floor(n.cast("decimal(20,0)") / 1000).cast("long")))
+    # Not by abs(), which the smallest of all numbers has none of.
+    within = lambda x: n.between(1 - x, x - 1)
+    at = F.when(n == 0, F.lit(None)).when(within(100_000_000_000), F.timestamp_seconds(n)).when(within(100_000_000_000_000), F.timestamp_millis(n)).otherwise(F.timestamp_micros(F.floor(n.cast("decimal(20,0)") / 1000).cast("long")))
     written = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"), text.try_cast("timestamp"))
     return F.when(n.isNotNull(), at).otherwise(written)
 
