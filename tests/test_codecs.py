@@ -40,6 +40,14 @@ def test_times_of_large_ids_are_no_error(spark, tmp_path):
     assert got == {0: -1, 46: 46**3 * 10**9, 47: 47**3 * 10**9, 209_715: 209_715**3, 209_716: -1, 3_000_000_000: -1}
 
 
+def test_strings_are_taken_out_once(spark):
+    text = r'{"publisher":"a\"[{\\","op":"delete","key":"%s"}'
+    long = [text % ("k" * n) for n in (4096, 4097)] + [text % "[" * 4096, text % ("\\\\" * 2000), '{"op":"set","key":"' + "\\" * 3]
+    assert [r.err for r in decode(spark, long)] == [None, "too_large", "malformed", None, "malformed"]
+    df = codecs.decode_json(spark.createDataFrame([("x",)], "payload string")).select("err")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(payload") == 1
+
+
 def test_foreign_names(spark):
     text = json.dumps({"replica": "r1", "event_id": 5, "event_type": "BlockStored", "hash": "h"})
     r = decode(spark, [text], names={"publisher": "replica", "member": "replica", "seq": "event_id", "op": "event_type", "key": "hash"}, foreign={"BlockStored": "add"})[0]

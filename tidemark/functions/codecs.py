@@ -70,8 +70,9 @@ def decode_json(raw: DataFrame, names: Mapping[str, str] | None = None, foreign:
     wire = {f: (names or {}).get(f, f) for f in FIELDS}
     schema = ", ".join(f"`{w}` string" for w in sorted(set(wire.values())))
     p = F.col(payload)
-    # Strings are taken out first, so that brackets in them do not count.
-    bare = F.regexp_replace(p, r'"(?:[^"\\]|\\.)*+"', '""')
+    # Strings are taken out first, so that brackets in them do not count. Once, as a column: all checks below read it.
+    raw = raw.withColumn("__bare", F.regexp_replace(p, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'))
+    bare = F.col("__bare")
     shape = F.regexp_replace(bare, r"[^\[\]{}]", "")
     deepest = F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, x: F.struct((a["d"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(x.isin("{", "["), 1).otherwise(0)).alias("m")), lambda a: a["m"])
     # Brackets are only counted where there are enough of them.
@@ -86,7 +87,7 @@ def decode_json(raw: DataFrame, names: Mapping[str, str] | None = None, foreign:
         .when(deep, "too_large").when(several, "malformed")
     )
     text = {f: F.col(f"__j.`{w}`") for f, w in wire.items()}
-    return _event(rows, text, broken, foreign or {}, False).drop("__j")
+    return _event(rows, text, broken, foreign or {}, False).drop("__j", "__bare")
 
 
 def decode_template(raw: DataFrame, pattern: str, foreign: Mapping[str, str] | None = None, payload: str = "payload") -> DataFrame:
