@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import duckdb
 import pytest
 
+from tidemark.operators import confirm
 from tidemark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -49,6 +50,13 @@ def test_query_equals_its_sql(results, db, name):
         assert rows(columns, found) == rows(other.columns, other.fetchall())
 
 
+@pytest.mark.parametrize("query", ["str_6_outcomes", "str_5_waiting_kept"])
+def test_no_finding_is_left_out(spark, monkeypatch, query):
+    """The queue of a running audit is bounded; the queries that look at all findings are not."""
+    monkeypatch.setattr(confirm.candidates, "__defaults__", (None, 3))
+    assert registry.queries()[query](spark, "/root/testdata/sf0.01").count() == 26
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(registry.queries())
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 MAX_QUEUE = 10_000
 
 
-def candidates(findings: DataFrame, waiting: DataFrame | None = None, most: int = MAX_QUEUE) -> DataFrame:
-    """key, version, category, first_seen: new disagreements, each key's earlier wait kept; the oldest first, at most so many."""
+def candidates(findings: DataFrame, waiting: DataFrame | None = None, most: int | None = MAX_QUEUE) -> DataFrame:
+    """key, version, category, first_seen: new disagreements, each key's earlier wait kept; the oldest first, at most so many, or all (None), in no order."""
     new = findings.select("key", "version", "category", "first_seen")
     if waiting is not None:
         new = new.join(waiting.select("key"), "key", "left_anti").unionByName(waiting.select("key", "version", "category", "first_seen"))
-    return new.orderBy("first_seen", "key").limit(most)
+    return new if most is None else new.orderBy("first_seen", "key").limit(most)
 
 
 def overflow(findings: DataFrame, waiting: DataFrame | None = None, most: int = MAX_QUEUE) -> DataFrame:
