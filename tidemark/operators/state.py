@@ -22,22 +22,25 @@ def effective(events: DataFrame, order: str = "arrival") -> DataFrame:
     return found.withColumns({"prev_op": F.col("__p.op"), "prev_value": F.col("__p.value")}).drop("__p").filter("op = 'set' or prev_op = 'set'")
 
 
-def expected(events: DataFrame, order: str = "arrival", carry: Sequence[str] = ()) -> DataFrame:
+def expected(events: DataFrame, order: str = "arrival", carry: Sequence[str] = (), span: Sequence[str] = ()) -> DataFrame:
     """One row for each key that was ever set: kind (scalar, absent), value, ttl, version, last event and value change, who wrote it last.
 
     Changes are dealt once, by key and block of the order; each block becomes one row, and a key's blocks are put together. carry: more columns of the last write.
+    span: columns of which the least and the greatest value of all changes that count are told, as least_x and greatest_x.
     """
     block = F.floor(F.col(order) / BLOCK)
     inside = Window.partitionBy("key", "__b").orderBy(order)
     rows = events.filter("op in ('set', 'delete')").withColumn("__b", block).withColumn("__p", F.lag(F.struct("op", "value")).over(inside))
     # Within a block: what counts whatever came before it, its first write, and its last.
-    write = F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at", F.col(order).alias("order"), "user_id", *carry)
+    write = F.struct("op", "value", "ttl", "seq", "epoch", "publisher", "observed_at", F.col(order).alias("order"), "user_id", *carry, *[F.col(c).alias(f"s_{c}") for c in span])
+    ends = [(f"{n}_{c}", f, c) for c in span for n, f in (("least", F.min), ("greatest", F.max))]
     known, inner = (F.col("op") == "set") | (F.col("__p.op") == "set"), F.col("__p").isNotNull()
     changed = known & inner & ((F.col("op") != F.col("__p.op")) | ~F.col("value").eqNullSafe(F.col("__p.value")))
     when = F.when
     blocks = rows.groupBy("key", "__b").agg(
         F.max_by(write, when(known, F.col(order))).alias("l"), F.min_by(write, order).alias("f"), F.max_by(F.struct("op", "value"), order).alias("z"), F.count_if(known).alias("k"),
         F.max(when(changed, F.struct(F.col(order).alias("o"), F.col("observed_at").alias("t")))).alias("c"), F.min(when(known, F.col("observed_at"))).alias("b"), F.max(when(known, F.col("user_id"))).alias("u"),
+        *[f(when(known, F.col(c))).alias(n) for n, f, c in ends],
     )
     # The first write of a block follows the last one of the block before: one row for each.
     z = F.lag("z").over(Window.partitionBy("key").orderBy("__b"))
@@ -48,12 +51,13 @@ def expected(events: DataFrame, order: str = "arrival", carry: Sequence[str] = (
     blocks = blocks.select(
         "key", F.coalesce("l", when(fresh, F.col("f"))).alias("w"), (F.col("k") + fresh.cast("long")).alias("k"), F.coalesce("c", when(moved, mark)).alias("c"),
         F.least("b", when(fresh, F.col("f.observed_at"))).alias("b"), F.greatest("u", when(fresh, F.col("f.user_id"))).alias("u"),
+        *[(F.least if f is F.min else F.greatest)(n, when(fresh, F.col(f"f.s_{c}"))).alias(n) for n, f, c in ends],
     )
-    found = blocks.groupBy("key").agg(F.max_by("w", "w.order").alias("w"), F.sum("k").alias("version"), F.max("c").alias("c"), F.min("b").alias("created_at"), F.max("u").alias("user_id")).filter("version > 0")
+    found = blocks.groupBy("key").agg(F.max_by("w", "w.order").alias("w"), F.sum("k").alias("version"), F.max("c").alias("c"), F.min("b").alias("created_at"), F.max("u").alias("user_id"), *[f(n).alias(n) for n, f, _ in ends]).filter("version > 0")
     return found.select(
         "key", F.when(F.col("w.op") == "set", "scalar").otherwise("absent").alias("kind"), F.when(F.col("w.op") == "set", F.col("w.value")).alias("value"),
         F.when(F.col("w.op") == "set", F.col("w.ttl")).alias("ttl"), "version", "created_at", F.col("w.observed_at").alias("last_event_at"), F.col("c.t").alias("last_change_at"),
-        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), F.col("w.order").alias("last_order"), "user_id", *[f"w.{c}" for c in carry],
+        F.col("w.seq").alias("last_seq"), F.col("w.epoch").alias("last_epoch"), F.col("w.publisher").alias("last_publisher"), F.col("w.order").alias("last_order"), "user_id", *[f"w.{c}" for c in carry], *[n for n, _, _ in ends],
     )
 
 
